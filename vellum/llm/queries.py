@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, sharding
+from . import chat, decontamination, exact_dedup, langid, lm, mixing, secrets, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,19 +27,52 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.filter(~out))
+    return langid.identify(docs.withColumn("held_out", out), model, keep=("held_out",))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_warc": op5_warc,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +104,18 @@ ORACLES: dict[str, str] = {
           doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op6_decontamination": r"""
+        WITH w AS (
+          SELECT doc_id AS id, 0 AS side, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark
+        ), l AS (
+          SELECT id, side, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM w
+        ), s AS (
+          SELECT DISTINCT id, side, array_to_string(ws[i:i + 4], ' ') AS s
+          FROM (SELECT id, side, ws, unnest(range(1, len(ws) - 3)) AS i FROM l WHERE len(ws) >= 5)
+        ), n AS (SELECT id, count(*) AS n_shingles FROM s WHERE side = 1 GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, n_shingles, count(*) AS n_found, count(*) / n_shingles AS containment
+        FROM s d JOIN s b ON d.s = b.s AND d.side = 0 AND b.side = 1 JOIN n ON n.id = b.id
+        GROUP BY d.id, b.id, n_shingles HAVING count(*) >= 0.8 * n_shingles
+    """,
 }

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 CELL_BITS = 16
-#: Rows that one task numbers at a time; cells with more are dealt by a hash of the document id.
-UNIT_ROWS = 10_000
+#: Rows that are numbered together; cells with more are dealt by a hash of the document id. At most 2^20 units more come of it.
+UNIT_ROWS, MOST_UNITS = 500, 1 << 20
+FILE_ROWS = 100_000
 
 
 def _reach(ends: np.ndarray, start: int, capacity: int) -> int:
@@ -75,8 +76,9 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     table = sorted(slim.groupBy("cell").agg(F.sum("size"), F.count(F.lit(1))).collect())  # at most 2^CELL_BITS rows
     cuts, _ = minimax_cuts(np.array([r[1] for r in table], dtype=np.int64), shards)
     shard = np.searchsorted(np.array(cuts), np.arange(len(table)), side="right") - 1
+    unit = max(UNIT_ROWS, sum(int(r[2]) for r in table) // MOST_UNITS)
     plan = docs.sparkSession.createDataFrame(
-        [(int(r[0]), int(s), -(-int(r[2]) // UNIT_ROWS)) for r, s in zip(table, shard, strict=True)], "cell int, shard int, parts int"
+        [(int(r[0]), int(s), -(-int(r[2]) // unit)) for r, s in zip(table, shard, strict=True)], "cell int, shard int, parts int"
     )
     units = slim.join(F.broadcast(plan), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     counts = units.groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -91,4 +93,4 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
     """The documents as Parquet, one folder a shard, rows of a file in slot order."""
     put = shard_rows(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot").dropDuplicates([id_col])
-    docs.drop("shard", "slot").join(put, id_col).repartition("shard", F.floor(F.col("slot") / UNIT_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    docs.drop("shard", "slot").join(put, id_col).repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
