@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from vellum.llm import queries, simhash
+from vellum.llm import lm, queries, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,8 +144,14 @@ def test_lm_scoring(spark, sf, docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i) % 10 == 0, len(ts), sum(c[t] > 0 for t in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts))
         assert math.isfinite(r.score) and r.score < 0
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # better on held-out texts than unigram counts of the same subwords
+    with open(lm.TOKENIZER, "rb") as f:
+        cut = lm.Subwords.of(f.read())
+    ids = {i: [*[x for w in ts[:-1] for x in cut(w)], cut.end] for i, ts in tokens.items()}
+    c = Counter(x for i, t in ids.items() if crc(i) % 10 for x in t)
+    size = sum(c.values()) + cut.end + 1
+    held = [i for i in ids if crc(i) % 10 == 0]
+    assert sum(got[i].score for i in held) > 0.9 * sum(math.log10((c[x] + 1) / size) for i in held for x in ids[i])
 
 
 def test_sharding(spark, sf, docs):

@@ -209,13 +209,13 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [t or "" for t in pdf.pop("text")]
+            texts = [t or "" for t in pdf.pop("_text")]
             told: list = [None] * len(texts)
             for some in chunks(texts):
                 for i, x in zip(some, shared.value.predict([texts[i] for i in some]), strict=True):
                     told[i] = x
             yield pdf.assign(lang_pred=[x[0] for x in told], score=[x[1] for x in told], n_spans=[x[2] for x in told])
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "text"]
+    slim = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text"]
     return slim.mapInPandas(predict, ", ".join([*kinds, "lang_pred string", "score double", "n_spans long"]))
