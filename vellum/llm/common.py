@@ -46,6 +46,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, wherever the optimizer moves the expression; lambdas would compute it anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles_of(words: Column, k: int, make) -> Column:
     """``make(list of k word columns)`` for each run of k words, repeats included; for fewer words an empty array."""
     last = F.size(words) - k

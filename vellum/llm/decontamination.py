@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_case, shingles_of, words_of
+from .common import fold_case, let, shingles_of, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -69,14 +69,18 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     small = n_hashes <= MOST_BROADCAST and (cut.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= MOST_BROADCAST
     put = F.broadcast if small else lambda df: df
 
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"), words_of(fold_case(F.col(doc_text))).alias("words"))
-    every = F.concat(*[_hashes(F.col("words"), k) for k in lengths])
-    low = F.filter(every, lambda h: h <= F.lit(ceiling)) if ceiling is not None else F.slice(every, 1, 0)
-    probes = found.select("doc_id", "text", F.size("words").alias("n_words"), F.explode(low).alias("hash"))
+    def low(words: Column) -> Column:
+        every = F.concat(*[_hashes(words, k) for k in lengths])
+        return F.filter(every, lambda h: h <= F.lit(ceiling)) if ceiling is not None else F.slice(every, 1, 0)
+
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+    found = texts.select("doc_id", let(words_of(fold_case(F.col("text"))), lambda words: F.struct(F.size(words).alias("n"), low(words).alias("hashes"))).alias("w"))
+    probes = found.select("doc_id", F.col("w.n").alias("n_words"), F.explode("w.hashes").alias("hash"))
     near = probes.join(put(sketch.select("item_id", "hash", "need")), "hash").filter(F.col("n_words") >= F.col("need"))
-    pairs = near.select("doc_id", "item_id", "text").distinct().join(put(cut.select("item_id", "k", "shingles")), "item_id")
-    pairs = pairs.withColumn("words", words_of(fold_case(F.col("text"))))
-    same = F.size(F.array_intersect(_by_length(F.col("k"), lambda n: _texts(F.col("words"), n)), F.col("shingles")))
+    near = near.select(F.col("doc_id").alias("_id"), "item_id").distinct()
+    # texts are read again for candidates alone, so none of them goes through the explode
+    pairs = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).join(put(cut.select("item_id", "k", "shingles")), "item_id")
+    same = let(words_of(fold_case(F.col("text"))), lambda words: F.size(F.array_intersect(_by_length(F.col("k"), lambda n: _texts(words, n)), F.col("shingles"))))
     pairs = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), same.cast("long").alias("n_found"))
     share = F.col("n_found") / F.col("n_shingles")
-    return pairs.filter(share >= threshold).groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found")).withColumn("containment", share)
+    return pairs.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_found").alias("n_found")).filter(share >= threshold).withColumn("containment", share)
