@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, attach, fold_case, materialize, shingles_of, words_of
+from .common import HOT_SHARE, attach, fold_case, let, materialize, shingles_of, words_of
 
 BITS, WORDS, THRESHOLD = 64, 3, 2
 #: Fingerprints that are compared with each other in one go (4 M comparisons); larger anchors use the finest code.
@@ -55,10 +55,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Shingles count with repeats; fewer than three words are one shingle; no words give 0.
     """
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(fold_case(F.col(text_col))).alias("words"))
-    short = F.when(F.size("words") > 0, F.array(F.xxhash64(F.array_join("words", " ")))).otherwise(F.array().cast("array<bigint>"))
-    hashes = F.coalesce(shingles_of(F.col("words"), WORDS, lambda ws: F.xxhash64(F.concat_ws(" ", *ws))), short)
-    return cut.select("doc_id", hashes.alias("hashes")).mapInArrow(_majorities, "doc_id long, fp long")
+
+    def hashes(words: Column) -> Column:
+        short = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
+        return F.coalesce(shingles_of(words, WORDS, lambda ws: F.xxhash64(F.concat_ws(" ", *ws))), short)
+
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), let(words_of(fold_case(F.col(text_col))), hashes).alias("hashes"))
+    return cut.mapInArrow(_majorities, "doc_id long, fp long")
 
 
 def stretches(n: int) -> list[tuple[int, int]]:
