@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, model_queries, usage_queries
+from . import corpus_queries, job_queries, model_queries, usage_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["all_oracles", "all_queries", "corpus_queries", "model_queries", "usage_queries"]
+__all__ = ["all_oracles", "all_queries", "corpus_queries", "job_queries", "model_queries", "usage_queries"]
 
 
 def all_queries() -> dict:
