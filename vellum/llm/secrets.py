@@ -87,9 +87,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = F.array(*[F.lit(k) for k in KINDS])
     said = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda keep: F.size(F.filter("s", keep)).cast("long")
+    of = lambda k: lambda x: x["kind"] == k
     return out.select(
         "doc_id",
-        *[count(lambda x, k=k: x["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[count(of(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(said(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         said(F.col("s")).alias("spans"),
         count(lambda x: x["owners"] == 1).alias("n_live"),
