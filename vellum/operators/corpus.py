@@ -12,14 +12,15 @@ NOTE_KEY = ["vault", "node_id"]
 
 
 def build_notes(raw: DataFrame) -> DataFrame:
-    """Notes from (vault, node_id, title, body): tokens, tier, frontmatter, and the position in the vault's order of ids.
-
-    One shuffle, for the position; all else is computed where the note is read.
-    """
+    """Notes from (vault, node_id, title, body): tokens, tier and frontmatter, computed where the note is read."""
     fields = fm.frontmatter_fields(fm.frontmatter_raw(F.col("body")))
     tokens = tx.estimate_tokens(F.col("body"))
     notes = raw.select("vault", "node_id", "title", "body", tokens.alias("token_count"), tx.classify_tier(tokens).alias("tier"), fields.alias("f"))
-    notes = notes.select("vault", "node_id", "title", "body", "token_count", "tier", "f.tags", "f.date", "f.aliases", "f.raw")
+    return notes.select("vault", "node_id", "title", "body", "token_count", "tier", "f.tags", "f.date", "f.aliases", "f.raw")
+
+
+def with_positions(notes: DataFrame) -> DataFrame:
+    """Each note's place in its vault's order of ids. To be asked for of slim rows: they are dealt by vault."""
     return notes.withColumn("position", (F.row_number().over(Window.partitionBy("vault").orderBy("node_id")) - 1).cast("long"))
 
 
@@ -97,7 +98,7 @@ def tier_stats(notes: DataFrame) -> DataFrame:
 
 def corpus_profile(notes: DataFrame) -> DataFrame:
     """Per vault: notes, tokens, and the largest note, the first of equals."""
-    first = F.max_by(F.struct("title", "token_count"), F.struct(F.col("token_count"), -F.col("position"))).alias("l")
+    first = F.min_by(F.struct("title", "token_count"), F.struct(-F.col("token_count"), F.col("node_id"))).alias("l")
     return notes.groupBy("vault").agg(F.count(F.lit(1)).alias("notes"), F.sum("token_count").alias("tokens"), first).select("vault", "notes", "tokens", F.col("l.title").alias("largest"), F.col("l.token_count").alias("largest_tokens"))
 
 
@@ -107,8 +108,8 @@ def corpus_health(notes: DataFrame) -> DataFrame:
 
 def tag_histogram(notes: DataFrame, top: int = 20) -> DataFrame:
     """Notes per tag, most first; equal counts in the order in which tags are first seen."""
-    seen = notes.select("vault", "position", F.posexplode("tags").alias("k", "tag"))
-    counts = seen.groupBy("tag").agg(F.count(F.lit(1)).alias("notes"), F.min(F.struct("vault", "position", "k")).alias("first"))
+    seen = notes.select("vault", "node_id", F.posexplode("tags").alias("k", "tag"))
+    counts = seen.groupBy("tag").agg(F.count(F.lit(1)).alias("notes"), F.min(F.struct("vault", "node_id", "k")).alias("first"))
     return counts.orderBy(F.desc("notes"), "first").limit(top).select("tag", "notes")
 
 

@@ -24,14 +24,16 @@ KEY = ["query_id", "vault"]
 
 
 def build_nodes(notes: DataFrame, sections: DataFrame | None = None) -> DataFrame:
-    """Folders, notes and top-level sections of long notes as (vault, node_id, parent_id, position, kind, title, summary, content, has_children)."""
+    """Folders, notes and top-level sections of long notes as (vault, node_id, parent_id, place, kind, title, summary, content, has_children).
+
+    ``place`` orders the children of a node: folders by name, then notes by id; sections by number.
+    """
     none = F.lit(None).cast("string")
-    folders = corpus.folder_nodes(notes).select("vault", F.col("folder").alias("node_id"), F.col("parent").alias("parent_id"), "position", F.lit("folder").alias("kind"), F.regexp_replace("folder", "^.*/", "").alias("title"), none.alias("summary"), none.alias("content"), F.lit(True).alias("has_children"))
-    place = (F.col("position") + (1 << 32)).alias("position")  # notes stand after folders
-    base = notes.select("vault", "node_id", tx.parent_folder(F.col("node_id")).alias("parent_id"), place, F.lit("note").alias("kind"), "title", F.col("summary") if "summary" in notes.columns else none.alias("summary"), F.col("body").alias("content"))
+    folders = corpus.folder_nodes(notes).select("vault", F.col("folder").alias("node_id"), F.col("parent").alias("parent_id"), F.concat(F.lit("0"), "folder").alias("place"), F.lit("folder").alias("kind"), F.regexp_replace("folder", "^.*/", "").alias("title"), none.alias("summary"), none.alias("content"), F.lit(True).alias("has_children"))
+    base = notes.select("vault", "node_id", tx.parent_folder(F.col("node_id")).alias("parent_id"), F.concat(F.lit("1"), "node_id").alias("place"), F.lit("note").alias("kind"), "title", F.col("summary") if "summary" in notes.columns else none.alias("summary"), F.col("body").alias("content"))
     if sections is None:
         return folders.unionByName(base.withColumn("has_children", F.lit(False)))
-    tops = sections.filter("parent_seq IS NULL").select("vault", F.col("section_id").alias("node_id"), F.col("node_id").alias("parent_id"), F.col("seq").alias("position"), F.lit("section").alias("kind"), "title", none.alias("summary"), F.col("text").alias("content"), F.lit(False).alias("has_children"))
+    tops = sections.filter("parent_seq IS NULL").select("vault", F.col("section_id").alias("node_id"), F.col("node_id").alias("parent_id"), F.lpad(F.col("seq").cast("string"), 12, "0").alias("place"), F.lit("section").alias("kind"), "title", none.alias("summary"), F.col("text").alias("content"), F.lit(False).alias("has_children"))
     owners = tops.select("vault", F.col("parent_id").alias("node_id")).distinct().withColumn("has_children", F.lit(True))
     base = base.join(owners, ["vault", "node_id"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
     return folders.unionByName(base).unionByName(tops)
@@ -57,16 +59,16 @@ def step(state: DataFrame, nodes: DataFrame, edges: DataFrame | None, enough: fl
     """One step of every open walk: pick, then enter a folder, or load a note and look whether it is enough."""
     open_ = state.filter(~F.col("done") & (F.size("cited") < MOST_GATHERED))
     closed = state.join(open_.select(*KEY), KEY, "left_anti")
-    slim = nodes.select("vault", "node_id", "parent_id", "position", "kind", "title", "summary", "has_children")
+    slim = nodes.select("vault", "node_id", "parent_id", "place", "kind", "title", "summary", "has_children")
     look = open_.select(*KEY, "asked", "cursor", "visited", "xref")
     below = look.join(slim.withColumnRenamed("parent_id", "cursor"), ["vault", "cursor"]).filter(~F.array_contains("visited", F.col("node_id")))
-    below = below.select(*KEY, "asked", "node_id", "position", "kind", "title", "summary", "has_children", F.lit(None).cast("string").alias("label"))
+    below = below.select(*KEY, "asked", "node_id", "place", "kind", "title", "summary", "has_children", F.lit(None).cast("string").alias("label"))
     refs = look.select(*KEY, "asked", "visited", "cursor", F.explode("xref").alias("x")).select(*KEY, "asked", "visited", "cursor", F.col("x.node_id").alias("node_id"), F.col("x.label").alias("label"))
     refs = refs.filter(~F.array_contains("visited", F.col("node_id"))).join(slim, ["vault", "node_id"]).filter(F.coalesce(F.col("parent_id") != F.col("cursor"), F.lit(True)))
-    refs = refs.select(*KEY, "asked", "node_id", (F.col("position") + (1 << 40)).alias("position"), "kind", "title", "summary", "has_children", "label")
+    refs = refs.select(*KEY, "asked", "node_id", F.concat(F.lit("2"), "place").alias("place"), "kind", "title", "summary", "has_children", "label")
     scored = below.unionByName(refs).withColumn("has", tx.tokenize(F.concat_ws(" ", "title", "summary"))).withColumn("score", _score(F.col("asked"), F.col("has")))
-    order = F.struct("score", -F.col("position"))
-    best = scored.groupBy(*KEY).agg(F.max_by(F.struct("node_id", "kind", "has_children", "label", "score"), order).alias("pick"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(-F.col("score"), F.col("place"))
+    best = scored.groupBy(*KEY).agg(F.min_by(F.struct("node_id", "kind", "has_children", "label", "score"), order).alias("pick"), F.count(F.lit(1)).alias("n"))
     told = open_.join(best, KEY, "left").withColumn("enter", (F.col("pick.kind") == "folder") | ((F.col("pick.kind") == "note") & F.col("pick.has_children")))
     loaded = told.filter(~F.col("enter")).select(*KEY, F.col("pick.node_id").alias("node_id"), "asked")
     loaded = loaded.join(nodes.select("vault", "node_id", "content"), ["vault", "node_id"]).select(*KEY, (tx.strip(F.coalesce("content", F.lit(""))) != "").alias("full"), F.array_intersect(F.array_distinct("asked"), tx.tokenize(F.coalesce("content", F.lit("")))).alias("got"))

@@ -2,46 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 KEY = ["vault", "node_id"]
-HEADING = r"^(#{1,6})\s+(\S.*)$"
+HEADING = r"\A(#{1,6})[^\S\n]+(\S[^\n]*)"
+AT_HEADING = r"(?dm)^(?=#{1,6}[^\S\n]+\S)"
+FENCE = r"(?dm)^ *```[^\n]*"
 LEAST_TOKENS = 500
 INTRO = "(intro)"
 
 
-def headings(notes: DataFrame) -> DataFrame:
-    """Heading lines outside of ``` fences: level, title, line (from 1), characters before them; and the note's totals.
+def section_tree(notes: DataFrame) -> DataFrame:
+    """Sections with their parent (the last earlier heading of a lower level) and end (the next of the same or a lower one).
 
-    Lines are dealt by note and sorted once; that order serves these windows and those of `section_tree`.
+    A note is cut at its headings where it stands: no line, and no text at all, is shuffled. Headings inside
+    of ``` fences do not count. The work is linear in the text and quadratic, in small steps, in the number
+    of a note's headings.
     """
-    lines = F.split("body", "\n")
-    each = notes.select(*KEY, F.col("title").alias("note_title"), F.size(lines).cast("long").alias("n_lines"), F.length("body").cast("long").alias("n_chars"), F.posexplode(lines).alias("k", "line"))
-    upto = Window.partitionBy(*KEY).orderBy("k")
-    fence = F.sum(F.when(F.ltrim("line").startswith("```"), 1).otherwise(0)).over(upto) % 2 == 1
-    before = F.sum(F.length("line") + 1).over(upto) - F.length("line") - 1
-    each = each.select(*KEY, "note_title", "n_lines", "n_chars", (F.col("k") + 1).cast("long").alias("start_line"), "line", fence.alias("fenced"), before.alias("before"))
-    found = each.filter(~F.col("fenced") & F.regexp_like("line", F.lit(HEADING)))
-    return found.select(*KEY, "note_title", "n_lines", "n_chars", "start_line", "before", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), tx.strip(F.regexp_extract("line", HEADING, 2)).alias("title"))
-
-
-def section_tree(notes: DataFrame) -> DataFrame:
-    """Sections with their parent (the last earlier heading of a lower level) and end (the next of the same or a lower one)."""
-    order = Window.partitionBy(*KEY).orderBy("start_line")
-    back, on = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    heads = headings(notes).withColumn("seq", F.row_number().over(order).cast("long"))
-    at = F.struct("start_line", "before")
-    ends = {n: F.first(F.when(F.col("level") <= n, at), ignorenulls=True).over(on) for n in range(1, 7)}
-    parents = {n: F.last(F.when(F.col("level") < n, F.col("seq")), ignorenulls=True).over(back) for n in range(2, 7)}
-    pick = lambda of: F.coalesce(*[F.when(F.col("level") == n, c) for n, c in of.items()])
-    tree = heads.withColumn("end", pick(ends)).withColumn("parent_seq", pick(parents))
-    chars = F.coalesce(F.col("end.before"), F.col("n_chars") + 1) - F.col("before") - 1
-    return tree.select(
-        *KEY, "note_title", "seq", "level", "title", "start_line", F.coalesce("end.start_line", F.col("n_lines") + 1).alias("end_line"), "parent_seq", chars.alias("chars"), "n_lines",
-    )
+    parts, marks = F.split("body", FENCE), F.regexp_extract_all("body", F.lit(FENCE), 0)
+    cut = notes.select(*KEY, F.col("title").alias("note_title"), "body", parts.alias("parts"), marks.alias("marks"))
+    plain = F.transform("parts", lambda p, i: F.concat(F.when(i % 2 == 1, F.translate(p, "#", " ")).otherwise(p), F.coalesce(F.get("marks", i), F.lit(""))))
+    cut = cut.select(*KEY, "note_title", (F.length("body") + 1).cast("long").alias("end_chars"), F.split(F.array_join(plain, ""), AT_HEADING).alias("pieces"))
+    breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+    level = lambda p: F.length(F.regexp_extract(p, HEADING, 1))
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p).alias("chars"), breaks(p).alias("lines"), level(p).alias("level"), tx.strip(F.regexp_extract(p, HEADING, 2)).alias("title")))
+    cut = cut.select(*KEY, "note_title", "end_chars", sizes.alias("p"))
+    upto = lambda i, field: F.aggregate(F.slice("p", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x[field])
+    placed = F.transform("p", lambda x, i: F.struct(x["level"].alias("level"), x["title"].alias("title"), (upto(i, "lines") + 1).alias("start_line"), upto(i, "chars").alias("before")))
+    cut = cut.select(*KEY, "note_title", "end_chars", (upto(F.size("p"), "lines") + 1).alias("n_lines"), F.filter(placed, lambda h: h["level"] > 0).alias("h"))
+
+    def whole(me: Column, i: Column) -> Column:
+        after = F.get(F.filter(F.slice("h", i + 2, F.size("h")), lambda x: x["level"] <= me["level"]), F.lit(0))
+        above = F.filter(F.sequence(F.lit(0), i), lambda j: F.get("h", j)["level"] < me["level"])
+        return F.struct(
+            (i + 1).cast("long").alias("seq"), me["level"].alias("level"), me["title"].alias("title"), me["start_line"].alias("start_line"),
+            F.coalesce(after["start_line"], F.col("n_lines") + 1).alias("end_line"), (F.get(above, F.size(above) - 1) + 1).cast("long").alias("parent_seq"),
+            (F.coalesce(after["before"], F.col("end_chars")) - me["before"] - 1).alias("chars"),
+        )
+
+    return cut.select(*KEY, "note_title", "n_lines", F.explode(F.transform("h", whole)).alias("s")).select(*KEY, "note_title", "s.*", "n_lines")
 
 
 def thin_sections(tree: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:

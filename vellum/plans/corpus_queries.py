@@ -25,7 +25,8 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT vault, node_id, title, token_count, tier, date, position, array_to_string(tags, ',') AS tags FROM notes")
 def scan_notes(spark, sf):
-    return notes(spark, sf).select("vault", "node_id", "title", "token_count", "tier", "date", "position", F.array_join("tags", ",").alias("tags"))
+    slim = notes(spark, sf).select("vault", "node_id", "title", "token_count", "tier", "date", F.array_join("tags", ",").alias("tags"))
+    return corpus.with_positions(slim)
 
 
 @query("SELECT vault, node_id FROM notes_src WHERE starts_with(node_id, 'de/')")
@@ -392,7 +393,8 @@ def topk_candidates(spark, sf):
 def rank_candidates(spark, sf):
     asked = queries_(spark, sf)
     vaults = asked.select("query_id", F.concat(F.lit("src"), F.col("query_id") % 20).alias("vault"))
-    given = notes(spark, sf).join(vaults, "vault").select("query_id", "vault", "node_id", "position", F.concat_ws(" ", "title", "body").alias("text"))
+    place = corpus.with_positions(raw_notes(spark, sf).select("vault", "node_id"))
+    given = note_texts(spark, sf).join(vaults, "vault").join(place, ["vault", "node_id"])
     return ranking.rank_candidates(asked, given, ["vault", "node_id"]).withColumn("score", F.round("score", 6))
 
 
