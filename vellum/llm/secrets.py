@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,10 +46,12 @@ def scan(text: str) -> list[tuple[int, int, int, str]]:
     if LONG_HEX.search(text):
         found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text) if len(m[0]) >= 24]
     if DIGIT.search(text):
-        base = [(a, b) for a, _, b, _ in found]
+        found.sort()
+        starts, ends = [f[0] for f in found], list(accumulate((f[2] for f in found), max))
         for m in RANDOM.finditer(text):
             s = m[0]
-            if DIGIT.search(s) and not s.isdigit() and _entropy(s) >= LEAST_ENTROPY and not any(a < m.end() and m.start() < b for a, b in base):
+            before = bisect_left(starts, m.end())  # base spans that begin before its end; it meets one if any of them ends after its start
+            if DIGIT.search(s) and not s.isdigit() and not (before and ends[before - 1] > m.start()) and _entropy(s) >= LEAST_ENTROPY:
                 found.append((m.start(), 3, m.end(), s))
     return sorted(found)
 
