@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.operators import corpus, enrich, links, navigate, ranking, sections, usage
@@ -118,6 +119,27 @@ def test_enrich_asks_only_misses_and_survives_errors(spark):
     assert used.count() == 1
 
 
+def test_enrich_retries_and_is_strict_if_asked(spark):
+    def moody():
+        calls = []
+
+        def model(batch):
+            calls.append(batch)
+            if len(calls) < 4:
+                raise RuntimeError("busy")
+            return ["ok"] * len(batch)
+
+        return model
+
+    rows = spark.createDataFrame([(1, "a")], "k long, prompt_text string").coalesce(1)
+    assert [r.response for r in enrich.ask(rows, moody(), "p", ["k"], retries=2).collect()] == ["ok"]
+    assert [r.error for r in enrich.ask(rows, moody(), "p", ["k"], retries=1).collect()] == ["RuntimeError: busy"]
+    with pytest.raises(Exception, match="busy"):
+        enrich.ask(rows, moody(), "p", ["k"], strict=True).collect()
+    with pytest.raises(ValueError):
+        usage.parse_time_bound("yesterday")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "f g").mkdir()
     (tmp_path / ".hid").mkdir()

@@ -22,10 +22,11 @@ def echo_model(batch: list[str]) -> list[str]:
     return [f"{len(p)}:{p[-20:]}" for p in batch]
 
 
-def ask(rows: DataFrame, model_fn: ModelFn, phase: str, keys: list[str]) -> DataFrame:
+def ask(rows: DataFrame, model_fn: ModelFn, phase: str, keys: list[str], retries: int = 0, strict: bool = False) -> DataFrame:
     """(keys, response, error, phase, prompt, completion, elapsed) of rows with keys and ``prompt_text``.
 
-    A model that fails on a batch is asked prompt by prompt, so one bad row gets an ``error`` and no other.
+    A model that fails on a batch is asked prompt by prompt, each up to ``retries`` times more, so one bad row
+    gets an ``error`` and no other; with ``strict`` the job fails instead.
     Tokens are estimated from characters; the time of a batch is shared evenly.
     """
 
@@ -37,12 +38,16 @@ def ask(rows: DataFrame, model_fn: ModelFn, phase: str, keys: list[str]) -> Data
             except Exception:
                 said, errors = [], []
                 for p in asked:
-                    try:
-                        said.append(model_fn([p])[0])
-                        errors.append(None)
-                    except Exception as e:
-                        said.append(None)
-                        errors.append(f"{type(e).__name__}: {e}")
+                    for left in range(retries, -1, -1):
+                        try:
+                            answer, error = model_fn([p])[0], None
+                            break
+                        except Exception as e:
+                            if strict and not left:
+                                raise
+                            answer, error = None, f"{type(e).__name__}: {e}"
+                    said.append(answer)
+                    errors.append(error)
             each = (time.perf_counter() - began) / max(1, len(asked))
             tokens = lambda texts: [max(1, len(t) // tx.CHARS_PER_TOKEN) if t else 0 for t in texts]
             yield pdf.assign(response=said, error=errors, phase=phase, prompt=tokens(asked), completion=tokens(said), elapsed=each)
@@ -52,14 +57,14 @@ def ask(rows: DataFrame, model_fn: ModelFn, phase: str, keys: list[str]) -> Data
     return kept.mapInPandas(run, f"{kinds}, response string, error string, phase string, prompt long, completion long, elapsed double")
 
 
-def enrich(rows: DataFrame, keys: list[str], model_fn: ModelFn = echo_model, phase: str = "model", cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def enrich(rows: DataFrame, keys: list[str], model_fn: ModelFn = echo_model, phase: str = "model", cache: DataFrame | None = None, retries: int = 0, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(responses, usage): the cached response of each row or a fresh one, and a usage event for each fresh one.
 
     ``rows`` has the keys and ``prompt_text``, ``cache`` the keys and ``response``. Fresh answers are stored
     before they are used twice, so a model is asked once.
     """
     misses = cache_misses(rows, cache, keys) if cache is not None else rows
-    fresh = stored(ask(misses, model_fn, phase, keys), "responses")
+    fresh = stored(ask(misses, model_fn, phase, keys, retries, strict), "responses")
     out = fresh.select(*keys, "response", "error", F.lit(False).alias("cached"))
     if cache is not None:
         out = cache_hits(rows.select(*keys), cache, keys).select(*keys, "response", F.lit(None).cast("string").alias("error"), F.lit(True).alias("cached")).unionByName(out)

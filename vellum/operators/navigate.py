@@ -57,8 +57,8 @@ def start(queries: DataFrame) -> DataFrame:
 
 def step(state: DataFrame, nodes: DataFrame, edges: DataFrame | None, enough: float) -> DataFrame:
     """One step of every open walk: pick, then enter a folder, or load a note and look whether it is enough."""
-    open_ = state.filter(~F.col("done") & (F.size("cited") < MOST_GATHERED))
-    closed = state.join(open_.select(*KEY), KEY, "left_anti")
+    going = ~F.col("done") & (F.size("cited") < MOST_GATHERED)
+    open_ = state.filter(going)
     slim = nodes.select("vault", "node_id", "parent_id", "place", "kind", "title", "summary", "has_children")
     look = open_.select(*KEY, "asked", "cursor", "visited", "xref")
     below = look.join(slim.withColumnRenamed("parent_id", "cursor"), ["vault", "cursor"]).filter(~F.array_contains("visited", F.col("node_id")))
@@ -69,7 +69,7 @@ def step(state: DataFrame, nodes: DataFrame, edges: DataFrame | None, enough: fl
     scored = below.unionByName(refs).withColumn("has", tx.tokenize(F.concat_ws(" ", "title", "summary"))).withColumn("score", _score(F.col("asked"), F.col("has")))
     order = F.struct(-F.col("score"), F.col("place"))
     best = scored.groupBy(*KEY).agg(F.min_by(F.struct("node_id", "kind", "has_children", "label", "score"), order).alias("pick"), F.count(F.lit(1)).alias("n"))
-    told = open_.join(best, KEY, "left").withColumn("enter", (F.col("pick.kind") == "folder") | ((F.col("pick.kind") == "note") & F.col("pick.has_children")))
+    told = state.join(best, KEY, "left").withColumn("enter", (F.col("pick.kind") == "folder") | ((F.col("pick.kind") == "note") & F.col("pick.has_children")))
     loaded = told.filter(~F.col("enter")).select(*KEY, F.col("pick.node_id").alias("node_id"), "asked")
     loaded = loaded.join(nodes.select("vault", "node_id", "content"), ["vault", "node_id"]).select(*KEY, (tx.strip(F.coalesce("content", F.lit(""))) != "").alias("full"), F.array_intersect(F.array_distinct("asked"), tx.tokenize(F.coalesce("content", F.lit("")))).alias("got"))
     told = told.join(loaded, KEY, "left")
@@ -95,16 +95,18 @@ def step(state: DataFrame, nodes: DataFrame, edges: DataFrame | None, enough: fl
     known = F.transform("xref", lambda x: x["node_id"])
     more = F.filter(F.coalesce("links", F.col("xref")), lambda x: ~F.array_contains(known, x["node_id"]))
     phase = F.when(lost, "exhausted").when(stuck, "reset").when(give_up, "done").when(enter, "enter").when(sufficient, "sufficient").when(gather, "insufficient").otherwise("empty")
-    moved = told.select(
-        *KEY, "asked",
-        F.when(enter, F.col("pick.node_id")).when(stuck | (load & F.col("pick.label").isNotNull()), F.lit(ROOT)).otherwise(F.col("cursor")).alias("cursor"),
-        F.when(enter | load, F.array_append("visited", F.col("pick.node_id"))).otherwise(F.col("visited")).alias("visited"),
-        F.when(gather & ~sufficient & F.col("links").isNotNull(), F.concat("xref", more)).otherwise(F.col("xref")).alias("xref"),
-        F.when(gather, F.array_append("cited", F.col("pick.node_id"))).otherwise(F.col("cited")).alias("cited"),
-        covered.alias("covered"), (F.col("steps") + F.when(lost, 0).otherwise(1)).cast("int").alias("steps"), (lost | give_up | sufficient).alias("done"), phase.alias("reason"),
-        F.array_append("trace", F.concat(phase, F.lit(" "), F.coalesce("pick.node_id", F.lit("-")))).alias("trace"),
-    )
-    return closed.unionByName(moved)
+    move = {
+        "cursor": F.when(enter, F.col("pick.node_id")).when(stuck | (load & F.col("pick.label").isNotNull()), F.lit(ROOT)).otherwise(F.col("cursor")),
+        "visited": F.when(enter | load, F.array_append("visited", F.col("pick.node_id"))).otherwise(F.col("visited")),
+        "xref": F.when(gather & ~sufficient & F.col("links").isNotNull(), F.concat("xref", more)).otherwise(F.col("xref")),
+        "cited": F.when(gather, F.array_append("cited", F.col("pick.node_id"))).otherwise(F.col("cited")),
+        "covered": covered,
+        "steps": (F.col("steps") + F.when(lost, 0).otherwise(1)).cast("int"),
+        "done": lost | give_up | sufficient,
+        "reason": phase,
+        "trace": F.array_append("trace", F.concat(phase, F.lit(" "), F.coalesce("pick.node_id", F.lit("-")))),
+    }
+    return told.select(*KEY, "asked", *[F.when(going, new).otherwise(F.col(name)).alias(name) for name, new in move.items()])
 
 
 def navigate(queries: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, enough: float = ENOUGH, steps: int = MOST_STEPS) -> DataFrame:
