@@ -9,6 +9,8 @@ from ..functions import text as tx
 
 # Fixed values of the score: saturation, and the length below which a hit gets a bonus.
 K1, SHORT = 1.2, 50.0
+#: Scores equal to so many decimals are ties, in whatever order their parts were added.
+DIGITS = 6
 #: Distinct query tokens that are broadcast to the texts (some 40 bytes each); more are joined by a shuffle.
 MOST_TOKENS = 200_000
 
@@ -49,14 +51,14 @@ def rank_candidates(queries: DataFrame, candidates: DataFrame, keys: list[str],
     score = F.aggregate("_asked", F.lit(0.0), lambda a, q: a + F.when(tf(q) > 0, tf(q) * (K1 + 1) / (tf(q) + K1)).otherwise(0.0))
     pairs = pairs.withColumn("score", score)
     pairs = pairs.withColumn("score", F.when(F.col("score") > 0, F.col("score") + _bonus(F.size("_has"))).otherwise(0.0)).drop("_asked", "_has")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "position")).cast("long"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "position")).cast("long"))
     ranked = ranked.select("query_id", *keys, "position", "score", "rank")
     return ranked.filter(F.col("rank") <= top) if top else ranked
 
 
 def topk(scored: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """The k best of each query; equal scores by key. The window's limit is applied before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *keys))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), *keys))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -115,7 +115,7 @@ def usage_metrics(events: DataFrame, gauges: DataFrame | None = None) -> DataFra
 
 def export_usage(events: DataFrame, n_recent: int = 20) -> DataFrame:
     """The report as rows (section, key, calls, prompt, completion, elapsed with three decimals) to be written as CSV."""
-    three = F.format_string("%.3f", F.col("elapsed")).alias("elapsed")
+    three = F.col("elapsed").cast("decimal(18,6)").cast("decimal(18,3)").cast("string").alias("elapsed")  # halves away from zero
     head = usage_report(events).select(F.when(F.col("section") == "day", "daily").otherwise(F.col("section")).alias("section"), "key", "calls", "prompt", "completion", three)
     last = recent_events(events, n_recent).select(F.lit("event").alias("section"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("key"), F.lit(1).cast("long").alias("calls"), "prompt", "completion", three)
     return head.unionByName(last)

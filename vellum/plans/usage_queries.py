@@ -91,9 +91,9 @@ def usage_metrics(spark, sf):
 
 
 @query(f"""SELECT CASE grouping_id(phase, day) WHEN 1 THEN 'phase' WHEN 2 THEN 'daily' ELSE 'total' END AS section, coalesce(phase, day::VARCHAR, '-') AS key,
-    count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, printf('%.3f', round(sum(elapsed), 6)) AS elapsed
+    count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion, sum(elapsed)::DECIMAL(18,6)::DECIMAL(18,3)::VARCHAR AS elapsed
   FROM (SELECT *, ts::DATE AS day FROM usage_src) GROUP BY GROUPING SETS ((phase), (day), ())
-  UNION ALL SELECT * FROM (SELECT 'event', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 1, prompt, completion, printf('%.3f', elapsed) FROM usage_src ORDER BY ts DESC, event_id DESC LIMIT 20)""")
+  UNION ALL SELECT * FROM (SELECT 'event', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 1, prompt, completion, elapsed::DECIMAL(18,6)::DECIMAL(18,3)::VARCHAR FROM usage_src ORDER BY ts DESC, event_id DESC LIMIT 20)""")
 def export_usage(spark, sf):
     return usage.export_usage(events(spark, sf))
 
