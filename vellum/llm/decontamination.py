@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_case, let, shingles_of, words_of
+from .common import fold_case, let, materialize, shingles_of, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -77,8 +77,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     found = texts.select("doc_id", let(words_of(fold_case(F.col("text"))), lambda words: F.struct(F.size(words).alias("n"), low(words).alias("hashes"))).alias("w"))
     probes = found.select("doc_id", F.col("w.n").alias("n_words"), F.explode("w.hashes").alias("hash"))
     near = probes.join(put(sketch.select("item_id", "hash", "need")), "hash").filter(F.col("n_words") >= F.col("need"))
-    near = near.select(F.col("doc_id").alias("_id"), "item_id").distinct()
-    # texts are read again for candidates alone, so none of them goes through the explode
+    # Candidates are stored first: with their size known, few of them are broadcast and no text is shuffled.
+    near = materialize(near.select(F.col("doc_id").alias("_id"), "item_id").distinct(), "candidates")
     pairs = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).join(put(cut.select("item_id", "k", "shingles")), "item_id")
     same = let(words_of(fold_case(F.col("text"))), lambda words: F.size(F.array_intersect(_by_length(F.col("k"), lambda n: _texts(words, n)), F.col("shingles"))))
     pairs = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), same.cast("long").alias("n_found"))
