@@ -91,6 +91,6 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The documents as Parquet, one folder a shard, rows of a file in slot order."""
-    put = shard_rows(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot").dropDuplicates([id_col])
+    """The documents as Parquet, one folder a shard, rows of a file in slot order. Ids must be unique and not null."""
+    put = shard_rows(docs, shards, id_col, text_col).select(F.col("doc_id").alias(id_col), "shard", "slot")
     docs.drop("shard", "slot").join(put, id_col).repartition("shard", F.floor(F.col("slot") / FILE_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
