@@ -85,7 +85,7 @@ def parse_record(data: bytes) -> dict:
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit")
-    if fields.get("warc-block-digest", f"sha1:{(own := sha1_base32(block))}") != f"sha1:{sha1_base32(block)}":
+    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
         raise ValueError("block digest differs")
     http, sep, payload = block.partition(b"\r\n\r\n")
     told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
@@ -149,8 +149,10 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 def train_dictionary(pages: DataFrame, id_col: str, payload_col: str) -> bytes:
     """A dictionary of up to DICT_BYTES from a bounded sample by a hash of the id; a fixed one if there is too little to learn from."""
-    some = pages.filter(F.octet_length(payload_col).between(1, DICT_PAGE_BYTES)).orderBy(F.xxhash64(id_col)).limit(DICT_PAGES)
-    samples = [r[0].encode() for r in some.select(payload_col).collect()]
+    short = pages.filter(F.octet_length(payload_col).between(1, DICT_PAGE_BYTES))
+    ids = short.select(id_col).orderBy(F.xxhash64(id_col)).limit(DICT_PAGES)  # ids alone are sorted; each task hands on so many of them
+    some = short.join(F.broadcast(ids), id_col, "left_semi").select(payload_col).limit(2 * DICT_PAGES)
+    samples = sorted(r[0].encode() for r in some.collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
