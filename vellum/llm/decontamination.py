@@ -56,7 +56,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
     A-Z are lower-cased, words are runs free of white space, shingles are five words (an item of fewer words
     is one shingle of all its words) and count once. Null, empty and blank texts hold nothing and are held by
-    nothing. Repeated rows give one pair. Other columns are ignored; empty tables give an empty result.
+    nothing. Repeated rows give one pair. A null id is an id like others, on either side. Other columns are ignored; empty tables give an empty result.
     """
     cut = item_shingles(items, item_id, item_text)
     sizes = {c: sketch_size(c, threshold) for c in range(32)}
@@ -78,8 +78,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     probes = found.select("doc_id", F.col("w.n").alias("n_words"), F.explode("w.hashes").alias("hash"))
     near = probes.join(put(sketch.select("item_id", "hash", "need")), "hash").filter(F.col("n_words") >= F.col("need"))
     # Candidates are stored first: with their size known, few of them are broadcast and no text is shuffled.
-    near = materialize(near.select(F.col("doc_id").alias("_id"), "item_id").distinct(), "candidates")
-    pairs = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).join(put(cut.select("item_id", "k", "shingles")), "item_id")
+    near = materialize(near.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item")).distinct(), "candidates")
+    pairs = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).join(put(cut.select("item_id", "k", "shingles")), F.col("item_id").eqNullSafe(F.col("_item")))
     same = let(words_of(fold_case(F.col("text"))), lambda words: F.size(F.array_intersect(_by_length(F.col("k"), lambda n: _texts(words, n)), F.col("shingles"))))
     pairs = pairs.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), same.cast("long").alias("n_found"))
     share = F.col("n_found") / F.col("n_shingles")
