@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -131,7 +132,10 @@ def test_mixing(spark, sf, docs):
     assert got == again
 
 
-def test_lm_scoring(spark, sf, docs):
+def test_lm_scoring(spark, sf, docs, monkeypatch):
+    """Counts and base scores, and the score of each text by plain attention, subword after subword."""
+    models, fit = [], lm._fit
+    monkeypatch.setattr(lm, "_fit", lambda *a: models.append(fit(*a)) or models[-1])
     got = by_id(spark, sf, "op8_lm_scoring")
     c, tokens = Counter(), {}
     for d in docs:
@@ -143,11 +147,38 @@ def test_lm_scoring(spark, sf, docs):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i) % 10 == 0, len(ts), sum(c[t] > 0 for t in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts))
-        assert math.isfinite(r.score) and r.score < 0
-    # better on held-out texts than unigram counts of the same subwords
+    (model,) = models
+    p = {k: x.astype(float) for k, x in model.p.items()}
     with open(lm.TOKENIZER, "rb") as f:
         cut = lm.Subwords.of(f.read())
-    ids = {i: [*[x for w in ts[:-1] for x in cut(w)], cut.end] for i, ts in tokens.items()}
+    share = {k: (model.group == k) for k in range(model.n_classes)}
+    assert all(len(set(model.starts[at])) == 1 for at in share.values() if at.any())
+    for i, ts in tokens.items():
+        if len(ts) > 400:
+            continue
+        parts = [cut([w])[0][:-1].tolist() for w in ts[:-1]] + [[cut.end]]
+        ids = [x for y in parts for x in y]
+        before = p["E"][model.of_id[[cut.end, *ids]]]
+        log, begun = [], []
+        for t, x in enumerate(ids):
+            low = t - t % lm.SCORED - lm.CONTEXT
+            seen = range(max(0, low), t + 1)
+            s = np.array([before[t] @ p["Q"] @ (before[j] @ p["K"]) / lm.DIM**0.5 + p["B"][t % lm.SCORED, j - low] for j in seen])
+            a = np.exp(s - s.max())
+            h = before[t] + (a / a.sum()) @ (before[seen.start : seen.stop] @ p["V"])
+            y = (h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]) @ p["U"] + p["b"]
+            y -= np.log(np.exp(y).sum())
+            log.append(y[model.group[model.of_id[x]]] + model.in_class[x])
+            begun.append(np.log(np.exp(y[model.begins]).sum()))
+        want, at = 0.0, 0
+        for w, part in zip(ts, parts, strict=True):
+            own = sum(log[at : at + len(part)]) - begun[at]
+            at += len(part)
+            own += begun[at] if w is not None else 0
+            want += math.log10((1 - lm.MIX) * math.exp(own) + lm.MIX * c[w] / n)
+        assert got[i].score == pytest.approx(want, rel=1e-3), i
+    # better on held-out texts than unigram counts of the same subwords
+    ids = {i: [*cut(ts[:-1])[0]] for i, ts in tokens.items()}
     c = Counter(x for i, t in ids.items() if crc(i) % 10 for x in t)
     size = sum(c.values()) + cut.end + 1
     held = [i for i in ids if crc(i) % 10 == 0]

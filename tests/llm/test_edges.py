@@ -182,13 +182,22 @@ def test_lm(docs, none):
     assert lm.score_texts(none).count() == 0
 
 
+def lm_model(k):
+    """A model over k subwords, of which the even ones begin a word; the last is the end."""
+    starts = np.arange(k + 1) % 2 == 0
+    starts[k] = True
+    model = lm.Model({i: i + 1 for i in range(k)}, starts)
+    pairs, often = np.unique(np.random.default_rng(0).integers(0, model.k**2, 5000), return_counts=True)
+    model.set_classes(pairs, often)
+    return model
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 40, (4000, 2))
-    model = lm.Model({i: 5 for i in range(40)}, 40, 50, pairs)
+    model = lm_model(50)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
     ids, valid = rng.integers(0, 40, (2, lm.WINDOW)), rng.random((2, lm.WINDOW)) > 0.1
-    target, known = rng.integers(0, 40, (2, lm.HALF)), rng.random((2, lm.HALF)) > 0.2
+    target, known = rng.integers(0, 40, (2, lm.SCORED)), rng.random((2, lm.SCORED)) > 0.2
     _, grads = model.gradients(ids, valid, target, known)
     for name, g in grads.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
@@ -201,16 +210,38 @@ def test_lm_gradients():
 
 
 def test_lm_scores_are_probabilities_and_do_not_depend_on_neighbours():
-    model = lm.Model({i: i + 1 for i in range(60)}, 60, 80, np.random.default_rng(0).integers(0, 60, (5000, 2)))
-    model.train(np.random.default_rng(1).integers(0, 60, (200, lm.WINDOW + 1)), 20)
-    # all continuations of one text add up to one
-    ones = [np.array([3, 7, x]) for x in range(80)]
-    total = model.score(np.concatenate(ones), np.full(80, 3))
-    before = model.score(np.array([3, 7]), np.array([2]))[0]
-    assert np.sum(10 ** (total - before)) == pytest.approx(1, abs=1e-4)
-    texts = [np.random.default_rng(k).integers(0, 80, n) for k, n in enumerate((1, 16, 17, 33, 100))]
-    apart = [model.score(t, np.array([len(t)]))[0] for t in texts]
-    assert model.score(np.concatenate(texts), np.array([len(t) for t in texts])) == pytest.approx(apart, rel=1e-4)
+    model = lm_model(80)
+    losses = model.train((np.random.default_rng(t).integers(0, 60, (64, lm.WINDOW + 1)) % 7 for t in range(60)), lambda t: 0.01)
+    assert losses[-1] < losses[0]
+    # all continuations of one text add up to one, and so do those that begin a word
+    ones = np.concatenate([[4, 7, x] for x in range(81)])
+    told, begun = model.logs(ones, np.full(81, 3))
+    last = np.exp(told[2::3].astype(float))
+    assert last.sum() == pytest.approx(1, abs=1e-4) and last[model.starts[model.of_id]].sum() == pytest.approx(np.exp(begun[2]), abs=1e-4)
+    texts = [np.random.default_rng(k).integers(0, 81, n) for k, n in enumerate((1, 16, 17, 33, 100))]
+    apart = [model.logs(t, np.array([len(t)])) for t in texts]
+    both = model.logs(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for x, y in zip(both, zip(*apart, strict=True), strict=True):
+        assert x == pytest.approx(np.concatenate(y), rel=1e-3, abs=1e-4)
+
+
+def test_lm_windows_lie_at_every_stride_of_training_texts():
+    with open(lm.TOKENIZER, "rb") as f:
+        subwords = lm.Subwords.of(f.read())
+    words = [f"w{i}x" for i in range(1000)]
+    lengths, out = np.array([0, 1000, 700, 3]), np.array([False, False, True, False])
+    codes = np.random.default_rng(3).integers(0, 1000, lengths.sum())
+    found = []
+    for k in range(0, 2000, 4):  # over many ids each place of a text is as likely as any other
+        _, some = lm.windows_of(np.arange(k, k + 4), out, lengths, codes, words, subwords)
+        found.append(len(some))
+        for line in some.tolist():
+            head = next(i for i, x in enumerate(line) if x >= 0)
+            body = [x for x in line if x >= 0]
+            assert head in (0, lm.CONTEXT) and (head == 0 or line[head] == subwords.end)
+            assert all(x < 0 for x in line[head + len(body) :]) and (len(body) + head == len(line) or body[-1] == subwords.end)
+            assert subwords.end not in body[head > 0 : -1]
+    assert sum(found) / 500 == pytest.approx((1 + 1001 + 4) / lm.STRIDE, rel=0.05)
 
 
 def test_sharding(docs, none):
