@@ -9,16 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests, where it is unset, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; on a local master, where it may be unset, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(spark, "_vellum_shared", None) or tempfile.mkdtemp(prefix="spark-vellum-")
         spark._vellum_shared = folder
     return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vellum-{uuid.uuid4().hex}/{name}"
+    """A new path below the application's own folder in the shared one, which goes when the application ends."""
+    base = f"{shared_dir(spark)}/vellum-{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_vellum_base", None) != base:
+        spark.sparkContext._vellum_base = base
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return f"{base}/{uuid.uuid4().hex}/{name}"
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
