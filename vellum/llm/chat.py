@@ -89,12 +89,22 @@ def read_chats(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, parts))
 
 
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """What the runs of a mask that count for the loss cover, cut out of the formatted text and unescaped: an array of texts."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    step = lambda acc, r: F.struct((acc["at"] + r["skip"] + r["take"]).alias("at"), F.array_append(acc["begins"], acc["at"] + r["skip"]).alias("begins"))
+    placed = F.arrays_zip(mask.alias("run"), F.aggregate(mask, zero, step)["begins"].alias("begin"))
+    return F.transform(F.filter(placed, lambda x: x["run"]["loss"]), lambda x: unescape(formatted.substr(x["begin"] + 1, x["run"]["take"])))
+
+
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """Digests of what `read_chats` and the loss mask give back from `format_chats` output."""
-    back = formatted.select("conv_id", "formatted", "loss_mask", read_chats(F.col("formatted")).alias("back"))
+    """Digests of what `read_chats` and the loss mask give back from `format_chats` output; the mask alone says what counts for the loss.
+
+    Cutting by positions takes time in proportion to the turns times the length of a conversation.
+    """
+    back = formatted.select("conv_id", "formatted", under_mask(F.col("formatted"), F.col("loss_mask")).alias("parts"), read_chats(F.col("formatted")).alias("back"))
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    under = F.array_join(F.transform(F.filter("back", lambda t, i: F.get("loss_mask", i)["loss"]), lambda t: t["text"]), "")
-    back = back.select("conv_id", F.size("back").cast("long").alias("n_turns"), told.alias("told"), under.alias("under"), F.length("formatted").cast("long").alias("formatted_chars"))
+    back = back.select("conv_id", F.size("back").cast("long").alias("n_turns"), told.alias("told"), F.array_join("parts", "").alias("under"), F.length("formatted").cast("long").alias("formatted_chars"))
     return back.select(
         "conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"),
         F.length("under").cast("long").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), "formatted_chars",
