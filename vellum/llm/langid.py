@@ -40,7 +40,8 @@ MOST_LANGUAGES = 500
 #: Log-odds that a switch of language must win; share of a language's letters from which on a script is one of its own.
 SWITCH = 12.0
 LEAST_SCRIPT = 0.01
-CHUNK_CHARS = 2_000_000
+#: Characters times languages that are held at a time; a longer text is a chunk of its own.
+CHUNK_CELLS = 8_000_000
 
 
 @lru_cache(1)
@@ -82,8 +83,14 @@ class Words:
         self.per_text = np.bincount(self.text, minlength=len(texts))
 
     def sums(self, table: np.ndarray) -> np.ndarray:
-        """For each word the sum of its characters' rows of the table."""
-        return np.add.reduceat(table[self.buckets], self.first, axis=0) if len(self.first) else np.zeros((0, table.shape[1]), table.dtype)
+        """For each word the sum of its characters' rows of the table, gathered a stretch of characters at a time."""
+        out = np.zeros((len(self.first), table.shape[1]), table.dtype)
+        step = max(1, CHUNK_CELLS // table.shape[1])
+        for low in range(0, len(self.buckets), step):
+            some = self.buckets[low : low + step]
+            a, b = np.searchsorted(self.first, low, side="right") - 1, np.searchsorted(self.first, low + len(some), side="left")
+            out[a:b] += np.add.reduceat(table[some], np.maximum(self.first[a:b] - low, 0), axis=0)
+        return out
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -150,13 +157,13 @@ class Model:
         return out
 
 
-def chunks(texts: list[str]) -> Iterator[list[int]]:
-    """Indexes of texts, longest first, in chunks of about CHUNK_CHARS."""
-    held, size = [], 0
+def chunks(texts: list[str], languages: int) -> Iterator[list[int]]:
+    """Indexes of texts, longest first, in chunks of about CHUNK_CELLS characters times languages."""
+    held, size, most = [], 0, CHUNK_CELLS // max(1, languages)
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
         held.append(i)
         size += len(texts[i]) + 1
-        if size >= CHUNK_CHARS:
+        if size >= most:
             yield held
             held, size = [], 0
     if held:
@@ -167,7 +174,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of labelled texts, per language: trigram buckets, and letters of each script as bucket -1 - script."""
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
-            for some in chunks(whole := list(texts)):
+            for some in chunks(whole := list(texts), 4):
                 words = Words([whole[i] for i in some])
                 n = np.bincount(words.buckets, minlength=BUCKETS)
                 letters = np.bincount(words.script, weights=words.letters, minlength=len(SCRIPTS) + 1).astype(np.int64)
@@ -189,8 +196,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     told = sample.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     seen = np.zeros((BUCKETS, len(languages)))
     letters = np.zeros((len(SCRIPTS) + 1, len(languages)))
-    for lang, bucket, n in told.toLocalIterator():  # at most languages x (BUCKETS + scripts) rows
-        (seen if bucket >= 0 else letters)[bucket if bucket >= 0 else -1 - bucket, languages.index(lang)] += n
+    place = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
+    told = told.select(F.element_at(place, F.col("lang")).alias("lang"), "bucket", "n").toArrow()  # at most languages x (BUCKETS + scripts) rows
+    lang, bucket, n = (told.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+    seen[bucket[bucket >= 0], lang[bucket >= 0]] = n[bucket >= 0]
+    letters[-1 - bucket[bucket < 0], lang[bucket < 0]] = n[bucket < 0]
     odds = np.log(seen + 0.5) - np.log(seen.sum(axis=0) + 0.5 * BUCKETS)
     odds -= odds.mean(axis=1, keepdims=True)
     odds[seen.sum(axis=1) == 0] = 0
@@ -211,7 +221,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for pdf in batches:
             texts = [t or "" for t in pdf.pop("_text")]
             told: list = [None] * len(texts)
-            for some in chunks(texts):
+            for some in chunks(texts, len(shared.value.languages)):
                 for i, x in zip(some, shared.value.predict([texts[i] for i in some]), strict=True):
                     told[i] = x
             yield pdf.assign(lang_pred=[x[0] for x in told], score=[x[1] for x in told], n_spans=[x[2] for x in told])
