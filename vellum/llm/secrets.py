@@ -30,8 +30,8 @@ RANDOM = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 DIGIT = re.compile(r"[0-9]")
 LEAST_ENTROPY = 3.5
-#: Owners from which on a value is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: A value is a widely copied example from so many owners on, or from so many repositories on, whoever owns them.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 6
 
 
 def _entropy(s: str) -> float:
@@ -63,11 +63,12 @@ def _scan_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """One row a document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example``.
+    """One row a document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, reach``.
 
-    Base spans are always reported. A ``random`` span (20 or more characters with digits, 3.5 bits a
-    character) is reported unless EXAMPLE_OWNERS or more owners have its value. ``n_live`` counts spans whose
-    value one owner has, ``n_example`` those whose value EXAMPLE_OWNERS or more have. An owner is a value of
+    A value is an example if EXAMPLE_OWNERS or more owners or EXAMPLE_REPOS or more repositories have it, and
+    live if it is not and one owner has it. Base spans are always reported, a ``random`` span (20 or more
+    characters with digits, 3.5 bits a character) unless its value is an example. ``n_live`` and ``n_example``
+    count the reported spans of either sort, ``reach`` lists owners:repositories of each of them in order. An owner is a value of
     ``owner_col``, a repository one of ``repo_cols``; null is an owner like any other. A null text is empty;
     repeated rows are documents of their own; other columns are ignored; an empty table gives an empty result.
     """
@@ -82,9 +83,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     uses = materialize(uses, "ownership")
     n_spans = uses.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
     told = attach(each, uses, "value", "uses", int(n_spans))
-    span = F.struct("start", "kind", "end", "owners")
-    per_doc = told.filter((F.col("kind") < 3) | (F.col("owners") < EXAMPLE_OWNERS)).groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint, owners: bigint>>")
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    told = told.withColumn("example", example)
+    span = F.struct("start", "kind", "end", "owners", "repos", "example")
+    per_doc = told.filter((F.col("kind") < 3) | ~F.col("example")).groupBy("row_id", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("s"))
+    none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint, owners: bigint, repos: bigint, example: boolean>>")
     rest = slim.filter(F.size("found") == 0).select("row_id", "doc_id", none.alias("s"))
     dropped = slim.filter(F.size("found") > 0).select("row_id", "doc_id").join(per_doc.select("row_id"), "row_id", "left_anti").select("row_id", "doc_id", none.alias("s"))
     out = per_doc.unionByName(rest).unionByName(dropped)
@@ -97,6 +100,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         *[count(of(k)).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(said(F.filter("s", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
         said(F.col("s")).alias("spans"),
-        count(lambda x: x["owners"] == 1).alias("n_live"),
-        count(lambda x: x["owners"] >= EXAMPLE_OWNERS).alias("n_example"),
+        count(lambda x: (x["owners"] == 1) & ~x["example"]).alias("n_live"),
+        count(lambda x: x["example"]).alias("n_example"),
+        F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["owners"].cast("string"), x["repos"].cast("string"))), ",").alias("reach"),
     )
