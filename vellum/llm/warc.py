@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, fresh_path, materialize
+from ..sources.tables import fresh_path
+from .common import attach, materialize
+from .exact_dedup import filter_bits, maybe_repeated, repeated_slots
 
-#: Magic number of the dictionary's skippable frame, and that of a frame of data.
-DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
+#: Magic number of the dictionary's skippable frame, the first of the 16 of skippable frames, and that of a frame of data.
+DICT_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 64 << 10
 #: The dictionary is trained on at most so many pages of at most so many bytes.
@@ -123,28 +125,46 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def read_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive, each with ``error`` null or what is wrong with it; a broken frame ends the archive."""
+    """The records of an archive, each with ``error`` null or what is wrong with it.
+
+    Frames need not tell the size of their content, and skippable ones may stand between records. What is
+    damaged gives one row with an error; reading goes on at the next frame that can be read.
+    """
     view, at, dictionary = memoryview(data), 0, None
-    if len(view) >= 8 and struct.unpack_from("<I", view)[0] == DICT_MAGIC:
+    magic = lambda: struct.unpack_from("<I", view, at)[0] if len(view) - at >= 8 else 0
+    if magic() == DICT_MAGIC:
         at = 8 + struct.unpack_from("<I", view, 4)[0]
         raw = bytes(view[8:at])
         if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # a dictionary may itself be compressed
-            raw = zstandard.ZstdDecompressor().decompress(raw)
+            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
         dictionary = zstandard.ZstdCompressionDict(raw)
     unzip = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     none = dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"))
+    bad = None
     while at < len(view):
         try:
-            end = frame_end(view, at)
-            text = unzip.decompress(view[at:end])
+            if magic() & ~15 == SKIP_MAGIC:
+                end, text = at + 8 + struct.unpack_from("<I", view, at + 4)[0], None
+                if end > len(view):
+                    raise ValueError("cut frame")
+            else:
+                end = frame_end(view, at)
+                text = unzip.decompressobj().decompress(view[at:end])
         except (ValueError, zstandard.ZstdError) as e:
-            yield none | {"error": f"at byte {at}: {e}"}
-            return
-        try:
-            yield parse_record(text) | {"error": None}
-        except ValueError as e:
-            yield none | {"error": f"at byte {at}: {e}"}
+            bad = bad or f"at byte {at}: {e}"
+            at = data.find(struct.pack("<I", FRAME_MAGIC), at + 1) % (len(view) + 1)  # none left: the end
+            continue
+        if bad:
+            yield none | {"error": bad}
+            bad = None
+        if text is not None:
+            try:
+                yield parse_record(text) | {"error": None}
+            except ValueError as e:
+                yield none | {"error": f"at byte {at}: {e}"}
         at = end
+    if bad:
+        yield none | {"error": bad}
 
 
 def train_dictionary(pages: DataFrame, id_col: str, payload_col: str) -> bytes:
@@ -185,10 +205,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     """
     text = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), text.alias("payload"), F.octet_length(text).cast("long").alias("size"), F.sha2(text, 256).alias("key"))
-    slim = materialize(rows.select("page_id", "key"), "payloads")
-    same = slim.groupBy("key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys = materialize(rows.select(F.col("key").alias("text_sha256")), "payloads")
+    n_rows = keys.count()
     dictionary = train_dictionary(rows, "page_id", "payload")
-    told = attach(rows, same, "key", "n", slim.count())
+    # only pages that may have a copy move to meet it; the others are written where they are read
+    bits, _ = filter_bits(n_rows)
+    seen = maybe_repeated(rows.withColumnRenamed("key", "text_sha256"), repeated_slots(keys, bits), bits)
+    alone = seen.filter(~F.col("maybe")).drop("maybe", "text_sha256").withColumn("first_id", F.lit(None).cast("long"))
+    apart = materialize(seen.filter("maybe").drop("maybe"), "maybe_repeated")
+    same = apart.groupBy("text_sha256").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    told = alone.unionByName(attach(apart, same, "text_sha256", "n", n_rows).select(*alone.columns))
     again = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")) & (F.col("size") >= min_bytes)
     told = told.select("page_id", "url", "size", F.sha1("payload").alias("sha1"), F.when(~again, F.col("payload")).alias("payload"), F.when(again, F.col("first_id")).alias("refers_to"))
 
