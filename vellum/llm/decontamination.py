@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_case, let, materialize, shingles_of, words_of
+from .common import attach, fold_case, let, materialize, shingles_of, words_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -51,7 +51,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.withColumn("hashes", F.array_sort(F.array_distinct(_by_length(F.col("k"), lambda n: _hashes(F.col("words"), n))))).drop("words")
 
 
-def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Pairs ``doc_id, item_id, n_shingles, n_found, containment``: documents that hold at least ``threshold`` of an item's shingles.
 
     A-Z are lower-cased, words are runs free of white space, shingles are five words (an item of fewer words
@@ -66,7 +66,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     sketch = cut.select("item_id", "k", need.alias("need"), F.explode(F.slice("hashes", F.lit(1), m)).alias("hash"))
     facts = sketch.agg(F.count(F.lit(1)), F.max("hash"), F.collect_set("k")).first()
     n_hashes, ceiling, lengths = int(facts[0]), facts[1], sorted(facts[2] or [WORDS])
-    small = n_hashes <= MOST_BROADCAST and (cut.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= MOST_BROADCAST
+    small = n_hashes <= most_broadcast and (cut.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= most_broadcast
     put = F.broadcast if small else lambda df: df
 
     def low(words: Column) -> Column:
@@ -76,7 +76,14 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
     found = texts.select("doc_id", let(words_of(fold_case(F.col("text"))), lambda words: F.struct(F.size(words).alias("n"), low(words).alias("hashes"))).alias("w"))
     probes = found.select("doc_id", F.col("w.n").alias("n_words"), F.explode("w.hashes").alias("hash"))
-    near = probes.join(put(sketch.select("item_id", "hash", "need")), "hash").filter(F.col("n_words") >= F.col("need"))
+    wanted = sketch.select("item_id", "hash", "need")
+    if small:
+        near = probes.join(F.broadcast(wanted), "hash")
+    else:  # a passage that many documents share is one hot hash: its probes stay where they are
+        probes = materialize(probes, "probes")
+        met = wanted.join(probes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
+        near = attach(probes, met, "hash", "n", probes.count()).filter("n IS NOT NULL")
+    near = near.filter(F.col("n_words") >= F.col("need"))
     # Candidates are stored first: with their size known, few of them are broadcast and no text is shuffled.
     near = materialize(near.select(F.col("doc_id").alias("_id"), F.col("item_id").alias("_item")).distinct(), "candidates")
     pairs = texts.join(near, F.col("doc_id").eqNullSafe(F.col("_id"))).join(put(cut.select("item_id", "k", "shingles")), F.col("item_id").eqNullSafe(F.col("_item")))
