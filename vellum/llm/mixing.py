@@ -2,8 +2,8 @@
 
 Documents are cut into blocks of words. A source's target fixes how many of its blocks the mix takes, exactly;
 a splitting tree of multivariate-hypergeometric draws deals those quotas over the output shards; and each
-shard draws its own stretch of the source's permuted blocks, so that no two shards draw the same one. Inside
-a shard blocks are ordered by a hash of their own.
+shard draws its own stretch of the source's permuted blocks, so that no two shards draw the same one. What
+the shards draw is the mix. Inside a shard blocks are ordered by a hash of their own.
 """
 
 from __future__ import annotations
@@ -43,16 +43,47 @@ def capped_targets(sizes: list[int], weights: list[float], budget: float, cap: f
     return out
 
 
+def _log_binomial(x: np.ndarray, n: int, p: float) -> np.ndarray:
+    """log P(X = x) of a binomial variable up to a constant, exact to rounding for large n too: Loader's saddle-point form, 0 < x < n."""
+    x = np.asarray(x, dtype=np.float64)
+
+    def deviance(k: np.ndarray, mean: float) -> np.ndarray:
+        return k * np.log1p((k - mean) / mean) - (k - mean)
+
+    error = lambda k: (1 / 12 - (1 / 360 - 1 / 1260 / k**2) / k**2) / k
+    return -error(x) - error(n - x) - deviance(x, n * p) - deviance(n - x, n * (1 - p)) - 0.5 * (np.log(x) + np.log(n - x))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` items drawn without replacement from ``good + bad`` are good.
+
+    Beyond the range of numpy's sampler by rejection: a binomial proposal for one kind, accepted with the
+    probability, relative to its greatest, that a binomial of the other kind makes up the rest.
+    """
+    if not take or not good:
+        return 0
+    if take == good + bad:
+        return good
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take))
+    if good > bad:
+        return take - hypergeometric(rng, bad, good, take)
+    p = take / (good + bad)
+    mode = np.clip(np.floor((bad + 1) * p), 1, bad - 1)
+    while True:
+        a = rng.binomial(good, p, 64)
+        a = a[(a < take) & (take - a < bad)]
+        odds = _log_binomial(take - a, bad, p) - _log_binomial(mode, bad, p)
+        kept = a[np.log(rng.random(len(a))) < odds]
+        if len(kept):
+            return int(kept[0])
+
+
 def _draw(rng: np.random.Generator, quotas: np.ndarray, take: int) -> np.ndarray:
     """How many of each source are among ``take`` blocks drawn from all quotas without replacement."""
     out, left = np.zeros_like(quotas), int(quotas.sum())
     for i, have in enumerate(map(int, quotas)):
-        if left < 1_000_000_000:
-            n = int(rng.hypergeometric(have, left - have, take)) if have and take else 0
-        else:  # beyond the range of the exact sampler, its normal limit
-            p = have / left
-            n = round(rng.normal(take * p, (take * p * (1 - p) * (left - take) / max(left - 1, 1)) ** 0.5))
-            n = min(max(n, take - (left - have), 0), have, take)
+        n = hypergeometric(rng, have, left - have, take)
         out[i], take, left = n, take - n, left - have
     return out
 
@@ -86,11 +117,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     the whole document; it is drawn at most ``cap`` times (rounded up to whole passes over the source).
 
     Null and empty texts have no words and are never drawn. Repeated rows are documents of their own. No
-    other column is read; an empty table gives empty results. The same rows give the same mix.
+    other column is read; an empty table gives empty results. The same rows give the same mix in whatever
+    order they come: blocks are permuted by hashes of id, text and place, and rows alike in all are alike.
     """
     spark = docs.sparkSession
     slim = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"_{c}") for c in carry],
+        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"), *[F.col(c).alias(f"_{c}") for c in carry],
     )
     slim = materialize(slim, "word_counts")
     per = F.ceil(F.col("size") / block_words) if block_words else F.when(F.col("size") > 0, 1).otherwise(0)
@@ -111,39 +143,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     bits = 8
     while (1 << bits) * BUCKET_BLOCKS < n_blocks:
         bits += 1
-    cut = known.filter("size > 0").select("row_id", "doc_id", "sid", "size", F.explode(F.sequence(F.lit(0).cast("long"), per.cast("long") - 1)).alias("block"))
+    cut = known.filter("size > 0").select("row_id", "doc_id", "text_hash", "sid", "size", F.explode(F.sequence(F.lit(0).cast("long"), per.cast("long") - 1)).alias("block"))
     long = F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words) if block_words else F.col("size")
-    cut = cut.withColumn("words", long.cast("long")).withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "block")).withColumn("bucket", F.shiftrightunsigned("turn", 64 - bits).cast("int"))
+    cut = cut.withColumn("words", long.cast("long")).withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "text_hash", "block")).withColumn("bucket", F.shiftrightunsigned("turn", 64 - bits).cast("int"))
     buckets = cut.groupBy("sid", "bucket").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     buckets = buckets.select("sid", "bucket", F.coalesce(F.sum("w").over(before), zero).alias("w0"), F.coalesce(F.sum("n").over(before), zero).alias("n0"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("turn", "row_id", "block")
+    inside = Window.partitionBy("sid", "bucket").orderBy("turn", "text_hash", "block", "row_id")
     ranked = cut.join(buckets, ["sid", "bucket"]).select(
         "row_id", "sid", "block", "words",
         (F.col("n0") + F.row_number().over(inside) - 1).alias("rank"),
         (F.col("w0") + F.coalesce(F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, -1)), zero)).alias("ahead"),
     )
     small = F.broadcast(source.select("sid", "passes", "rest", "n_blocks"))
-    ranked = ranked.join(small, "sid").withColumn("copies", F.col("passes") + (F.col("ahead") + F.col("words") / 2 <= F.col("rest")).cast("int"))
-    ranked = materialize(ranked.select("row_id", "sid", "block", "words", "rank", "copies", "n_blocks"), "blocks")
-
-    quotas = {r[0]: int(r[1]) for r in ranked.groupBy("sid").agg(F.sum("copies")).collect()}  # a row a source
-    dealt = splitting_tree([quotas.get(i, 0) for i in range(len(totals))], shards, seed)
-    starts = np.concatenate([np.zeros((len(totals), 1), dtype=np.int64), np.cumsum(dealt, axis=1)[:, :-1]], axis=1)
-    schema = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType()))])
-    stretch = spark.createDataFrame([(i, [int(x) for x in row]) for i, row in enumerate(starts)], schema)
-    drawn = ranked.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).join(F.broadcast(stretch), "sid")
+    ranked = ranked.join(small, "sid").withColumn("extra", F.col("ahead") + F.col("words") / 2 <= F.col("rest"))
+    ranked = materialize(ranked.select("row_id", "sid", "block", "words", "rank", "extra"), "blocks")
+
+    # whole passes over a source, and of one more pass the blocks that reach its target
+    extra = {r[0]: int(r[1]) for r in ranked.groupBy("sid").agg(F.count_if("extra")).collect()}  # a row a source
+    quotas = [w * int(r[2]) + extra.get(i, 0) for i, (w, r) in enumerate(zip(whole, totals, strict=True))]
+    dealt = splitting_tree(quotas, shards, seed)
+    ends = np.cumsum(dealt, axis=1)
+    schema = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("n_blocks", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+    stretch = spark.createDataFrame([(i, int(totals[i][2]), [int(x) for x in row]) for i, row in enumerate(ends)], schema)
+    drawn = ranked.join(F.broadcast(stretch), "sid")
+    # a block stands at its rank in each pass over the permuted source; the shards draw the passes' places one stretch after another
+    last = F.element_at("ends", -1) - 1
+    drawn = drawn.filter(F.col("rank") <= last).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((last - F.col("rank")) / F.col("n_blocks")))))
     drawn = drawn.withColumn("draw", F.col("copy") * F.col("n_blocks") + F.col("rank"))
-    drawn = drawn.withColumn("shard", F.size(F.filter("starts", lambda s: s <= F.col("draw"))) - 1)
-    return documents, drawn.select("row_id", "block", "words", "copy", "shard", F.xxhash64(F.lit(seed), "shard", "sid", "draw").alias("shard_key"))
+    drawn = drawn.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("draw"))))
+    return documents, drawn.select("row_id", "block", "words", F.col("copy").cast("int").alias("copy"), "shard", F.xxhash64(F.lit(seed), "shard", "sid", "draw").alias("shard_key"))
 
 
-def mix_counts(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: ``doc_id, size, source_size, target, taken`` (words the mix takes, repeats counted)."""
-    documents, draws = mix(docs, **options)
-    taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"))
-    return documents.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+def mix_counts(docs: DataFrame, shards: int = 8, **options) -> DataFrame:
+    """One row a document: ``doc_id, size, source_size, target, taken`` (words that the shards draw, repeats counted), ``by_shard`` (words that each draws)."""
+    documents, draws = mix(docs, shards=shards, **options)
+    zero = F.lit(0).cast("long")
+    by_shard = F.array(*[F.coalesce(F.sum(F.when(F.col("shard") == k, F.col("words"))), zero) for k in range(shards)])
+    taken = draws.groupBy("row_id").agg(F.sum("words").alias("taken"), by_shard.alias("by_shard"))
+    none = F.array_repeat(zero, shards)
+    return documents.join(taken, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", zero).alias("taken"), F.coalesce("by_shard", none).alias("by_shard"))
 
 
 def mix_texts(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
