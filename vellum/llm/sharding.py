@@ -1,9 +1,11 @@
 """Minimax contiguous sharding.
 
 Groups of equal texts are atomic and ordered by the SHA-256 of their text. Its leading bits gather the groups
-into at most 2^16 ordered cells, a table of bounded size whatever the input. Over it the smallest shard
-capacity that eight (or n) contiguous shards can do with is found by binary search with a greedy check, and
-the order is cut there. Rows are then numbered inside shards without any shard passing through one task.
+into at most 2^16 ordered cells, a table of bounded size whatever the input. The smallest shard capacity that
+eight (or n) contiguous shards can do with is found by binary search with a greedy check; cells in which a cut
+may fall are taken apart into smaller ones, level by level, until none of these holds two groups, so that the
+result is that of a search over all groups. The order is cut there. Rows are then numbered inside shards
+without any shard passing through one task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-CELL_BITS = 16
+#: Bits of the order that are used, those that tell the first cells apart, and those that each further level adds.
+KEY_BITS, CELL_BITS, LEVEL_BITS = 60, 16, 8
 #: Rows that are numbered together; cells with more are dealt by a hash of the document id. At most 2^20 units more come of it.
 UNIT_ROWS, MOST_UNITS = 500, 1 << 20
 FILE_ROWS = 100_000
@@ -61,6 +64,62 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[list[int], int]:
     return cuts, low
 
 
+def _walk(ends: np.ndarray, start: np.ndarray, atomic: np.ndarray, shards: int, capacity: int, whole: bool) -> np.ndarray:
+    """Bytes up to which 1, 2, … shards get, filled one after another; with ``whole`` no cell is cut, else any that holds several groups."""
+    out, at = [], 0
+    for _ in range(shards):
+        aim = at + capacity
+        k = int(np.searchsorted(ends, aim, side="right"))  # the first cell that does not fit
+        if k == len(ends):
+            at = int(ends[-1])
+        elif whole or atomic[k]:
+            at = int(start[k])
+        else:
+            at = aim
+        out.append(at)
+    return np.array(out)
+
+
+def unclear_cells(sizes: np.ndarray, atomic: np.ndarray, shards: int) -> np.ndarray:
+    """Cells of several groups in which some cut may fall, whatever their groups are; none if the capacity is settled."""
+    ends = np.cumsum(sizes)
+    start, total = ends - sizes, int(ends[-1])
+    _, high = minimax_cuts(sizes, shards)  # no cell cut: this capacity is enough
+    low, most = max(-(-total // shards), int(sizes[atomic].max(initial=1))), high
+    while low < most:  # cells cut anywhere: less than this is never enough
+        mid = (low + most) // 2
+        low, most = (low, mid) if _walk(ends, start, atomic, shards, mid, False)[-1] >= total else (mid + 1, most)
+    if low == high:
+        return np.array([], dtype=np.int64)
+    least, far = _walk(ends, start, atomic, shards, low, True), _walk(ends, start, atomic, shards, high, False)
+    open_ = np.zeros(len(sizes), dtype=bool)
+    for a, b in zip(least, far, strict=True):
+        open_ |= (start < b) & (ends > a)
+    return np.flatnonzero(open_ & ~atomic)
+
+
+def cells_of(slim: DataFrame, shards: int) -> list[tuple[int, int, int, int]]:
+    """(first key, bits, bytes, rows) of ordered cells; those where cuts may fall are single groups."""
+    table = []
+
+    def put(rows: DataFrame, bits: int) -> None:
+        cell = F.shiftright("key", KEY_BITS - bits).alias("cell")
+        found = rows.groupBy(cell).agg(F.sum("size"), F.count(F.lit(1)), F.min("key"), F.max("key")).collect()
+        table.extend((int(r[0]) << (KEY_BITS - bits), bits, int(r[1]), int(r[2]), r[3] == r[4]) for r in found)
+        table.sort()
+
+    put(slim, CELL_BITS)  # at most 2^CELL_BITS rows
+    while table:
+        bad = unclear_cells(np.array([t[2] for t in table], dtype=np.int64), np.array([t[4] for t in table]), shards)
+        if not len(bad):
+            break
+        bits = min(table[i][1] for i in bad)  # a few cells for each cut, each taken apart into at most 2^LEVEL_BITS
+        apart = [table[i] for i in bad if table[i][1] == bits]
+        table = [t for t in table if t not in set(apart)]
+        put(slim.filter(F.shiftright("key", KEY_BITS - bits).isin([t[0] >> (KEY_BITS - bits) for t in apart])), min(KEY_BITS, bits + LEVEL_BITS))
+    return [t[:4] for t in table]
+
+
 def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
 
@@ -70,22 +129,25 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     shards whatever their order.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("sha")), "sizes"
-    ).withColumn("cell", F.conv(F.substring("sha", 1, CELL_BITS // 4), 16, 10).cast("int"))
-    table = sorted(slim.groupBy("cell").agg(F.sum("size"), F.count(F.lit(1))).collect())  # at most 2^CELL_BITS rows
-    cuts, _ = minimax_cuts(np.array([r[1] for r in table], dtype=np.int64), shards)
-    shard = np.searchsorted(np.array(cuts), np.arange(len(table)), side="right") - 1
-    unit = max(UNIT_ROWS, sum(int(r[2]) for r in table) // MOST_UNITS)
-    plan = docs.sparkSession.createDataFrame(
-        [(int(r[0]), int(s), -(-int(r[2]) // unit)) for r, s in zip(table, shard, strict=True)], "cell int, shard int, parts int"
-    )
-    units = slim.join(F.broadcast(plan), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    slim = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("sha"))
+    slim = materialize(slim.withColumn("key", F.conv(F.substring("sha", 1, KEY_BITS // 4), 16, 10).cast("long")), "sizes")
+    table = cells_of(slim, shards)
+    cuts, _ = minimax_cuts(np.array([t[2] for t in table], dtype=np.int64), shards)
+    shard = sum((F.when(F.col("key") >= table[c][0] if c < len(table) else F.lit(False), 1).otherwise(0) for c in cuts[1:]), F.lit(0))
+    rows: dict[int, int] = {}
+    for first, _, _, n in table:
+        cell = first >> (KEY_BITS - CELL_BITS)
+        rows[cell] = rows.get(cell, 0) + n
+    unit = max(UNIT_ROWS, sum(rows.values()) // MOST_UNITS)
+    plan = docs.sparkSession.createDataFrame([(cell, -(-n // unit)) for cell, n in rows.items()], "cell int, parts int")
+    dealt = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("row_id")))  # many null ids are not one part
+    units = slim.withColumn("cell", F.shiftright("key", KEY_BITS - CELL_BITS).cast("int")).join(F.broadcast(plan), "cell")
+    units = units.withColumn("shard", shard).withColumn("part", F.pmod(dealt, F.col("parts")).cast("int"))
     counts = units.groupBy("shard", "cell", "part").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("cell", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("cell", "part").orderBy("sha", "doc_id"))
-    return units.join(counts, ["cell", "part"]).select(
+    counts = counts.select("shard", "cell", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("shard", "cell", "part").orderBy("sha", "doc_id"))
+    return units.join(counts, ["shard", "cell", "part"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("ahead") + inside - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
