@@ -96,10 +96,10 @@ def _link(fps: np.ndarray) -> np.ndarray:
         label = lower
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor in; (a, b) links out, as a star around the least of those linked at an anchor.
 
-    Of an anchor with over MOST_AT_ANCHOR fingerprints no more than that is ever held: its fingerprints come
+    Of an anchor with over ``most`` fingerprints no more than that is ever held: its fingerprints come
     out as (a, null), to be linked by the finest code.
     """
     anchor, held, over = None, [], False
@@ -129,7 +129,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 b += y
                 anchor, held, over = keys[low], [], False
             held += fps[low:high].tolist()
-            if over or len(held) > MOST_AT_ANCHOR:
+            if over or len(held) > most:
                 over = True
                 a += held
                 b += [None] * len(held)
@@ -138,16 +138,18 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(*done())
 
 
-def links(distinct: DataFrame, n_distinct: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect all at THRESHOLD or fewer differing bits."""
+def links(distinct: DataFrame, n_distinct: int, most: int = MOST_AT_ANCHOR) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect all at THRESHOLD or fewer differing bits.
+
+    Anchors with over ``most`` fingerprints go over to the finest code.
+    """
     n = min(32, max(8, n_distinct.bit_length()))
     found = distinct.select("fp", anchors_of(F.col("fp"), n).alias("c"))
     spread = found.select("fp", F.explode(F.transform("c.flips", lambda x: F.col("c.home").bitwiseXOR(x))).alias("anchor"))
     spread = materialize(spread, "anchors")
     # Anchors with over 1/HOT_SHARE of all replicas, so fewer than HOT_SHARE of them, do not even meet.
-    most = max(MOST_AT_ANCHOR, spread.count() // HOT_SHARE)
-    hot = F.broadcast(spread.groupBy("anchor").count().filter(F.col("count") > most).select("anchor"))
-    met = spread.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "a long, b long")
+    hot = F.broadcast(spread.groupBy("anchor").count().filter(F.col("count") > max(most, spread.count() // HOT_SHARE)).select("anchor"))
+    met = spread.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda batches: _compare(batches, most), "a long, b long")
     met = materialize(met, "met")
     dense = spread.join(hot, "anchor", "left_semi").select("fp").unionByName(met.filter("b IS NULL").select(F.col("a").alias("fp"))).distinct()
     cube = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(BITS)])
@@ -160,11 +162,13 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of an edge reaches; least neighbours, then pointer jumps, until nothing moves."""
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    n_nodes = labels.count()
     while True:
         over = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(over, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = materialize(step.join(jump, "label").select("node", "was", F.least("label", "far").alias("label")), "labels")
+        step = materialize(step, "steps")  # a large component has one label: its rows do not meet
+        jump = step.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label")
+        step = materialize(attach(step, jump, "label", "n", n_nodes).select("node", "was", F.least("label", "far").alias("label")), "labels")
         labels = step.select("node", "label")
         if step.filter("label <> was").isEmpty():
             return labels
