@@ -39,7 +39,11 @@ def test_chat(spark):
     assert [tuple(t) for t in got[1].back] == [("", "x"), ("user", ""), ("assistant", "b<cut>\\h"), ("assistant", "b<cut>\\h"), ("a: ###", "</turn>\n### user: \\")]
     assert [tuple(t) for t in got[None].back] == [("assistant", "")]
     assert got[1].formatted.count("### ") == 4  # the two assistant turns are one block
+    digest = {r.conv_id: r.loss_sha256 for r in chat.chat_digest(told).collect()}
+    bare = told.withColumn("loss_mask", F.transform("loss_mask", lambda x: F.struct(F.lit(0).alias("skip"), F.lit(0).alias("take"), x["loss"].alias("loss"))))
+    assert {r.loss_chars for r in chat.chat_digest(bare).collect()} == {0}  # the mask alone says what counts
     for r in got.values():
+        assert digest[r.conv_id] == hashlib.sha256("".join(t.text for t in r.back if t.role == "assistant").encode()).hexdigest()
         at, under = 0, []
         for run in r.loss_mask:
             at += run.skip
@@ -58,11 +62,15 @@ def test_exact_dedup(docs, none):
 
 def test_bloom_lets_unique_rows_through_and_misses_no_repeat(spark):
     hashes = spark.range(4000).select(F.sha2((F.col("id") % 3500).cast("string"), 256).alias("text_sha256"), "id")
-    bits = exact_dedup.filter_bits(4000)
+    bits, _ = exact_dedup.filter_bits(4000)
     told = exact_dedup.maybe_repeated(hashes, exact_dedup.repeated_slots(hashes, bits), bits).collect()
     maybe = {r.id for r in told if r.maybe}
     assert len(told) == 4000 and maybe >= {i for i in range(4000) if i % 3500 < 500} and len(maybe) < 1300
-    assert exact_dedup.filter_bits(10**12) == exact_dedup.MOST_BITS
+    assert exact_dedup.filter_bits(10**12) == (exact_dedup.MOST_BITS, 1 << 16)
+    # several classes, each with a filter of its own, give the same groups as one
+    rows = spark.range(9000).select((F.col("id") % 7000).cast("string").alias("text"), F.when(F.col("id") % 100 > 0, F.col("id")).alias("doc_id"))
+    one, many = (sorted(map(str, exact_dedup.exact_groups(rows, most_bits=m).collect())) for m in (1 << 20, 1 << 16))
+    assert exact_dedup.filter_bits(9000, 1 << 16)[1] == 4 and one == many and len(one) == 9000
 
 
 def test_attach_routes_hot_keys(spark):
@@ -77,6 +85,14 @@ def test_language(docs, none, spark):
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[5].lang_pred == got[8].lang_pred == "und"
     assert got[6].lang_pred == "la" and got[1].lang_pred == "en" and got[1].score == 1.0
+    cells = langid.CHUNK_CELLS
+    words = langid.Words([t for _, t, _, _ in DOCS if t])
+    try:
+        langid.CHUNK_CELLS = 30 * len(model.languages)  # gathered in stretches of 30 characters
+        short = words.sums(model.weights)
+    finally:
+        langid.CHUNK_CELLS = cells
+    assert short == pytest.approx(words.sums(model.weights), abs=1e-2)
     assert langid.fit(none).languages == [] and langid.identify(none, model).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"}
 
@@ -107,6 +123,11 @@ def test_secrets(spark, docs, none):
     assert got[20].spans == "random:5:26" and got[20].n_live == 1
     assert got[21].spans == "assign:17:30,access:32:52,hex:53:77" and (got[21].n_assign, got[21].n_access, got[21].n_hex) == (1, 1, 1)
     assert (got[22].spans, got[22].base_sha256) == ("", hashlib.sha256(b"").hexdigest())
+    assert (got[20].reach, got[21].reach) == ("1:1", "1:1,1:1,1:1")
+    # two owners, but six repositories: an example; two of them: neither that nor live
+    rows = [(i, f"id {example} end", f"l{i % 3}", f"s{i % 2}") for i in range(6)] + [(6 + i, f"id {mine} end", "en", f"s{i}") for i in range(2)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, schema)).collect()}
+    assert all(got[i].spans == "" for i in range(6)) and all((got[i].reach, got[i].n_live, got[i].n_example) == ("2:2", 0, 0) for i in (6, 7))
     assert secrets.find_secrets(docs).count() == len(DOCS) and secrets.find_secrets(none).count() == 0
     assert secrets.scan("ſecret=abcdef") == []  # only ASCII letters in either case
 
@@ -131,6 +152,17 @@ def test_warc_finds_damage():
         assert [r["page_id"] for r in warc.read_archive(head + b"".join(frames))] == [0, 1, 2]
     cut = list(warc.read_archive(head + b"".join(frames)[:-3]))
     assert [r["page_id"] for r in cut] == [0, 1, None] and "cut frame" in cut[2]["error"]
+    # frames without the size of their content, and skippable frames between records
+    loose = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False)
+    stream = loose.compressobj()
+    skip = struct.pack("<II", warc.SKIP_MAGIC + 3, 5) + b"hello"
+    mixed = head + skip + loose.compress(rows[0]) + skip + stream.compress(rows[1]) + stream.flush() + frames[2] + skip
+    assert [(r["page_id"], r["error"]) for r in warc.read_archive(mixed)] == [(0, None), (1, None), (2, None)]
+    # a damaged frame costs one record: reading goes on at the next
+    for k in range(3):
+        for broken in (frames[k][:-9] + b"\xff" * 9, frames[k][: len(frames[k]) // 2], b"\x00" * 7 + frames[k][5:]):
+            told = list(warc.read_archive(head + b"".join([*frames[:k], broken, *frames[k + 1 :]])))
+            assert [r["page_id"] for r in told if not r["error"]] == [i for i in range(3) if i != k] and sum(bool(r["error"]) for r in told) == 1
     for bad in (rows[0].replace(b"data 0", b"data 1"), rows[0].replace(b"WARC-Date", b"X"), rows[0].replace(b"Content-Length: ", b"Content-Length: 9"), b"nonsense"):
         (r,) = warc.read_archive(head + zip_.compress(bad))
         assert r["error"] and r["page_id"] is None
@@ -142,6 +174,8 @@ def test_decontamination(spark, docs, none):
     assert got == {(d, i) for d in (1, 2, 7) for i in (1, 2)}
     near = spark.createDataFrame([(1, "x a b c d e f g h i j k y"), (2, "a b c d e f g h i z k l")], "doc_id long, text string")
     assert [(r.doc_id, r.n_shingles, r.n_found) for r in decontamination.find_items(near, items.filter("item_id = 5")).collect()] == [(1, 8, 7)]
+    for most in (0, 1_000_000):  # joined by a shuffle, or broadcast
+        assert {(r.doc_id, r.item_id) for r in decontamination.find_items(docs, items, most_broadcast=most).collect()} == got
     assert decontamination.find_items(none, items).count() == 0 and decontamination.find_items(docs, items.limit(0)).count() == 0
 
 
@@ -174,6 +208,36 @@ def test_mixing_draws_are_disjoint_and_exact(spark):
     assert (mixing.splitting_tree([3_000_000_000, 1_000_000_000], 4, 1).sum(axis=1) == [3_000_000_000, 1_000_000_000]).all()
 
 
+def test_hypergeometric_beyond_the_range_of_numpy():
+    """The proposal's odds, summed over all outcomes, give the exact distribution; large draws have its mean and spread."""
+    import math
+
+    good, bad, take = 40, 60, 30
+    p = take / (good + bad)
+    a = np.arange(1, 30)
+    log = np.array([math.lgamma(good + 1) - math.lgamma(x + 1) - math.lgamma(good - x + 1) + x * math.log(p) + (good - x) * math.log(1 - p) for x in a]) + mixing._log_binomial(take - a, bad, p)
+    want = np.array([math.comb(good, x) * math.comb(bad, take - x) / math.comb(good + bad, take) for x in a])
+    assert np.exp(log - log.max()) == pytest.approx(want / want[log.argmax()], rel=1e-5)
+    rng = np.random.default_rng(5)
+    x = np.array([mixing.hypergeometric(rng, 30_000_000_000, 50_000_000_000, 20_000_000_000) for _ in range(1500)])
+    sd = math.sqrt(2e10 * 0.375 * 0.625 * 0.75)
+    assert abs(x.mean() - 7.5e9) < 4 * sd / 1500**0.5 and abs(x.std() / sd - 1) < 0.08
+
+
+def test_the_tree_decides_what_the_mix_takes(spark, monkeypatch):
+    rows = [(None if i % 3 else 5, "w " * (i % 300), f"s{i % 4}") for i in range(300)]
+    schema = "doc_id long, text string, source string"
+    say = lambda got: sorted(map(str, got.collect()))
+    plain = say(mixing.mix_counts(spark.createDataFrame(rows, schema)))
+    assert plain == say(mixing.mix_counts(spark.createDataFrame(rows[::-1], schema).repartition(5)))  # in whatever order
+    tree = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, seed: np.eye(1, n, dtype=np.int64) * np.array(q)[:, None])
+    first = mixing.mix_counts(spark.createDataFrame(rows, schema)).collect()
+    assert all(r.by_shard[0] == r.taken and not any(r.by_shard[1:]) for r in first) and sorted(map(str, first)) != plain
+    monkeypatch.setattr(mixing, "splitting_tree", lambda q, n, seed: tree(q, n, seed) // 2)
+    assert sum(r.taken for r in mixing.mix_counts(spark.createDataFrame(rows, schema)).collect()) < 0.6 * sum(r.taken for r in first)
+
+
 def test_lm(docs, none):
     got = lm.score_texts(docs).collect()
     by = {r.doc_id: r for r in got}
@@ -252,6 +316,26 @@ def test_sharding(docs, none):
     assert sharding.shard_rows(none).count() == 0
 
 
+def test_sharding_is_exact_over_groups(spark, monkeypatch):
+    """With cells of two or four bits, which hold many groups, the largest shard is as small as over single groups."""
+    monkeypatch.setattr(sharding, "LEVEL_BITS", 2)
+    rng = random.Random(8)
+    for bits, n, shards in ((2, 40, 3), (4, 300, 8), (2, 90, 5)):
+        monkeypatch.setattr(sharding, "CELL_BITS", bits)
+        texts = ["x" * rng.choice([1, 5, 30, 200]) + str(i) for i in range(n)]
+        rows = [(i, rng.choice(texts)) for i in range(3 * n)] + [(None, None)] * 9
+        got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), shards).collect()
+        size = {}
+        for _, t in rows:
+            key = hashlib.sha256((t or "").encode()).hexdigest()
+            size[key] = size.get(key, 0) + len(t or "") + 1
+        _, best = sharding.minimax_cuts(np.array([size[k] for k in sorted(size)]), shards)
+        held = [sum(r["size"] for r in got if r.shard == s) for s in range(shards)]
+        assert max(held) <= best and len(got) == len(rows)
+        for s in range(shards):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_minimax_against_all_cuts():
     import itertools
 
