@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import math
+import random
 import re
+import string
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -131,10 +133,9 @@ def test_secrets(spark, sf, docs):
 
 
 def test_secret_ownership(spark):
-    """Spans that only look random, and how far each value has spread, by plain loops."""
+    """Spans that only look random, and how far each value has spread, by plain loops over a table with such values."""
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    got = by_id(spark, sf, "op4_secret_scan")
     owners, repos, found = defaultdict(set), defaultdict(set), {}
     kinds = [("assign", secrets.ASSIGN, 6), ("access", secrets.ACCESS, 20), ("hex", secrets.HEX, 24)]
     for d in docs:
@@ -158,7 +159,7 @@ def test_secret_ownership(spark):
         assert got[i].spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in kept)
         assert got[i].reach == ",".join(f"{len(owners[v])}:{len(repos[v])}" for *_, v in kept)
         assert (got[i].n_example, got[i].n_live) == (sum(example(v) for *_, v in kept), sum(len(owners[v]) == 1 and not example(v) for *_, v in kept))
-    assert seen["assign"] and any(k == 3 for spans in found.values() for _, k, _, _ in spans)
+    assert seen["assign"] and 0 < seen["random"] < 80
 
 
 def test_warc(spark, sf):
@@ -319,8 +320,6 @@ def test_simhash(spark, sf, docs):
 
 def test_simhash_hot_anchor(spark):
     """Chains and balls of fingerprints are linked alike whether anchors are compared or go to the finest code."""
-    import random
-
     rng = random.Random(1)
     fps = {rng.getrandbits(64) for _ in range(50)}
     for centre in list(fps)[:5]:
