@@ -1,12 +1,19 @@
 """Sections, links, ranking, walks and files on small fixtures."""
 
+import datetime
+import os
 import random
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vellum.operators import corpus, enrich, links, navigate, ranking, sections, usage
 from vellum.sources import files
+from vellum.streaming import usage_streams as us
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # models of tests run in workers, which cannot import this file
 
 
 def frame(spark, rows):
@@ -74,7 +81,7 @@ def test_links(spark):
     kept = sections.thin_sections(sections.section_tree(notes))
     hit = {(r.pos, r.target_node) for r in links.anchor_links(resolved.filter("source_id = 'a.md'"), kept).filter("pos >= 4").collect()}
     assert hit == {(4, "x/b.md#0001"), (4, "y/b.md"), (5, "x/b.md"), (5, "y/b.md")}
-    assert tuple(links.link_totals(found, resolved, notes).first()) == (9, 2, 1)
+    assert tuple(links.link_totals(found, notes).first()) == (9, 2, 1)
     strict = links.resolve_links(links.note_links(frame(spark, [("q.md", "q", "[[b/T]]")])), frame(spark, [("ab/T.md", "T", ""), ("b/T.md", "T", "")]), strict=True)
     assert [r.target_id for r in strict.collect()] == ["b/T.md"]
 
@@ -101,10 +108,167 @@ def test_walk(spark):
     got = {r.query_id: r for r in navigate.navigate(asked, nodes, found).collect()}
     # into f, one.md is not enough, its link leads on to two.md, which completes the query
     assert got["q"].trace == ["enter f", "insufficient f/one.md", "sufficient g/two.md"]
-    assert (got["q"].cited, got["q"].steps, got["q"].reason) == (["f/one.md", "g/two.md"], 3, "sufficient")
+    assert (got["q"].gathered, got["q"].steps, got["q"].reason) == (["f/one.md", "g/two.md"], 3, "sufficient")
+    assert got["q"].cited == ["g/two.md", "f/one.md"]  # by how well they fit the query
     assert (got["none"].cited, got["none"].reason) == ([], "done")
 
 
+class Scripted:
+    """A model that gives its replies to select and evaluate prompts one after another, and keeps the prompts in a folder."""
+
+    def __init__(self, path, select=(), evaluate=(), other="said"):
+        self.path, self.select, self.evaluate, self.other = str(path), list(select), list(evaluate), other
+
+    def __call__(self, batch):
+        out = []
+        for p in batch:
+            kind = "select" if "action (SELECT" in p or "Reply SELECT" in p else "evaluate" if "sufficient (true" in p or "Reply SUFFICIENT" in p else "other"
+            n = sum(x.startswith(kind) for x in os.listdir(self.path))
+            with open(f"{self.path}/{kind}{n:03d}", "w") as f:
+                f.write(p)
+            if kind == "other" and self.other is None:
+                raise RuntimeError("down")
+            out.append(self.other if kind == "other" else getattr(self, kind)[n])
+        return out
+
+    def prompts(self, kind):
+        return [open(f"{self.path}/{x}").read() for x in sorted(os.listdir(self.path)) if x.startswith(kind)]
+
+
+@pytest.fixture
+def garden(spark):
+    """Two folders; the first note of the first links to its neighbour and to a note of the second."""
+    notes = frame(spark, [("herbs/mint.md", "mint", "grows anywhere [[sage]] [[pear]]"), ("herbs/sage.md", "sage", "dry soil"), ("trees/pear.md", "pear", "needs years"), ("blank.md", "blank", " \n")])
+    nodes = navigate.build_nodes(corpus.build_notes(notes))
+    edges = links.resolve_links(links.note_links(notes), notes).select("vault", "source_id", "pos", "raw_target", "target_id")
+    asked = spark.createDataFrame([("q", "v", "where does it grow")], "query_id string, vault string, query string")
+    return asked, nodes, edges
+
+
+def walk(garden, model, **options):
+    kinds = {k: options.pop(k) for k in ("json", "shown", "retries", "strict") if k in options}
+    (got,) = navigate.navigate(*garden, navigate.Model(model, **kinds), **options).collect()
+    return got
+
+
+def test_a_model_walks(garden, tmp_path):
+    model = Scripted(tmp_path, ["SELECT: herbs", "SELECT: herbs/mint.md"], ["SUFFICIENT: it says so"])
+    got = walk(garden, model)
+    assert got.trace == ["enter herbs", "sufficient herbs/mint.md"] and (got.steps, got.gathered, got.reason) == (2, ["herbs/mint.md"], "sufficient")
+    first, second = model.prompts("select")
+    assert all(f"node_id: {x}" in first for x in ("herbs", "trees", "blank.md")) and "herbs/mint.md" in second and "So far: herbs" in second
+    assert got.tokens > 0
+
+
+def test_a_pick_from_the_references_goes_back_to_the_root(garden, tmp_path):
+    # sage is both a child of the cursor and enqueued by mint's link: picking it leads back to the root
+    model = Scripted(tmp_path, ["SELECT: herbs", "SELECT: herbs/mint.md", "SELECT: herbs/sage.md", "SELECT: trees", "SELECT: trees/pear.md"], ["INSUFFICIENT: no"] * 3)
+    got = walk(garden, model)
+    assert got.trace == ["enter herbs", "insufficient herbs/mint.md", "insufficient herbs/sage.md", "enter trees", "insufficient trees/pear.md"] and got.reason == "insufficient"
+    third, fourth = model.prompts("select")[2:4]
+    assert "[xref: mint → [[pear]]]" in third and "[xref: mint → [[sage]]]" not in third  # a child is no reference
+    assert "node_id: trees\n" in fourth + "\n" and "herbs/sage.md" not in fourth
+
+
+def test_unreadable_replies_are_asked_for_again(garden, tmp_path):
+    folders = [tmp_path / str(i) for i in range(5)]
+    for f in folders:
+        f.mkdir()
+    got = walk(garden, Scripted(folders[0], ["hm", "DONE: nothing fits"]))
+    assert (got.trace, got.reason, got.steps) == (["done -"], "nothing fits", 1)
+    got = walk(garden, model := Scripted(folders[1], ["hm", "well"]))
+    assert (got.trace, got.reason) == (["unread -"], "unread") and "could not be read" in model.prompts("select")[1]
+    got = walk(garden, Scripted(folders[2], ['{"action": "SELECT", "node_id": "herbs"}', "no", "DONE: read as text"]), json=True)
+    assert got.trace == ["enter herbs", "done -"] and got.reason == "read as text"
+    # an unreadable judgement keeps the note, but its links are not followed
+    got = walk(garden, Scripted(folders[3], ["SELECT: herbs", "SELECT: herbs/mint.md", "DONE: x"], ["?"]))
+    assert got.trace == ["enter herbs", "unreadable herbs/mint.md", "done -"] and got.gathered == ["herbs/mint.md"]
+    got = walk(garden, Scripted(folders[4], ["SELECT: made/up.md", "SELECT: blank.md", "DONE: x"]))
+    assert got.trace == ["invalid made/up.md", "empty blank.md", "done -"] and got.gathered == []
+
+
+def test_walks_end(garden, spark, tmp_path):
+    folders = [tmp_path / str(i) for i in range(4)]
+    for f in folders:
+        f.mkdir()
+    asked, nodes, edges = garden
+    (got,) = navigate.navigate(asked, nodes.limit(0), edges).collect()
+    assert (got.trace, got.steps, got.reason) == (["exhausted -"], 1, "exhausted")  # the look that finds nothing counts
+    one = nodes.filter("node_id in ('trees', 'trees/pear.md')")
+    (got,) = navigate.navigate(asked, one, None, navigate.Model(Scripted(folders[0], ["SELECT: trees", "SELECT: trees/pear.md"], ["INSUFFICIENT: no"]))).collect()
+    assert (got.trace, got.steps) == (["enter trees", "insufficient trees/pear.md", "reset -", "exhausted -"], 4)
+    got = walk(garden, Scripted(folders[1], ["SELECT: herbs"] * 9), max_tokens=1)
+    assert (got.trace, got.reason) == (["enter herbs", "budget -"], "budget")
+    # with reuse_context what has been shown is left out while there is anything else
+    model = Scripted(folders[2], ["SELECT: herbs", "SELECT: herbs/mint.md", "DONE: x"], ["INSUFFICIENT: no"])
+    walk(garden, model, reuse_context=True)
+    third = model.prompts("select")[2]
+    assert "trees/pear.md" in third and "herbs/sage.md" not in third
+    (got,) = navigate.navigate(*garden, navigate.Model(Scripted(folders[3], ["SELECT: herbs", "SELECT: herbs/mint.md", "SELECT: herbs/sage.md"], ["INSUFFICIENT: no"] * 2)), gathered=2).collect()
+    assert got.gathered == ["herbs/mint.md", "herbs/sage.md"] and got.steps == 3
+
+
+def test_sections_are_walked(spark, tmp_path):
+    long = "word " * 400
+    notes = frame(spark, [("long.md", "long", f"# Early\n{long}\n# Late\n{long} [[other]]"), ("other.md", "other", "end")])
+    tree = sections.thin_sections(sections.section_tree(notes))
+    texts = sections.section_texts(sections.section_ranges(tree), notes)
+    nodes = navigate.build_nodes(corpus.build_notes(notes), texts)
+    edges = links.resolve_links(links.note_links(notes), notes).select("vault", "source_id", "pos", "raw_target", "target_id")
+    asked = spark.createDataFrame([("q", "v", "what is late")], "query_id string, vault string, query string")
+    model = Scripted(tmp_path, ["SELECT: long.md", "SELECT: long.md#0002", "SELECT: other.md"], ["INSUFFICIENT: no", "SUFFICIENT: yes"])
+    got = walk((asked, nodes, edges), model)
+    assert got.trace == ["enter long.md", "insufficient long.md#0002", "sufficient other.md"]
+    assert "# Early" not in model.prompts("evaluate")[0]
+
+
+def test_answers_of_vaults_parts_and_sessions(garden, spark, tmp_path):
+    asked, nodes, edges = garden
+    folders = [tmp_path / str(i) for i in range(9)]
+    for f in folders:
+        f.mkdir()
+    good = lambda k: Scripted(folders[k], ["SELECT: herbs", "SELECT: herbs/mint.md"], ["SUFFICIENT: y"])
+    walks = navigate.navigate(*garden, navigate.Model(good(0)))
+    (got,) = navigate.answers(walks, nodes, model := Scripted(folders[1], other=" anywhere ")).collect()
+    assert (got.status, got.answer, got.error) == ("normal", "anywhere", None) and "--- mint ---" in model.prompts("other")[0]
+    (got,) = navigate.answers(walks, nodes, max_tokens=1).collect()
+    assert got.status == "partial" and "## mint" in got.answer and "grows anywhere" in got.answer
+    (got,) = navigate.answers(walks, nodes, Scripted(folders[2], other=None)).collect()
+    assert got.answer is None and "down" in got.error
+    (got,) = navigate.answers(navigate.navigate(asked, nodes.limit(0)), nodes).collect()
+    assert got.status == "none" and got.answer.startswith("[no evidence]")
+    # a vault that is not there has no evidence; one whose model fails is named; all failing is an answer of its own
+    vaults = spark.createDataFrame([(1, "v"), (2, "nowhere"), (3, "left out")], "pos int, vault string")
+    (got,) = navigate.answer_vaults(asked, vaults, nodes, edges, navigate.Model(good(3)), Scripted(folders[4], other="yes"), exclude=("left out",)).collect()
+    assert (got.answer, got.cited, got.with_evidence, got.failed) == ("yes", ["v::herbs/mint.md"], 1, [])
+    (got,) = navigate.answer_vaults(asked, vaults, nodes, edges, navigate.Model(lambda b: 1 / 0), only=("v",)).collect()
+    assert (got.answer, got.failed, got.cited) == ("[all vaults failed]", ["v"], [])
+    with pytest.raises(Exception, match="division"):
+        navigate.answer_vaults(asked, vaults, nodes, edges, navigate.Model(lambda b: 1 / 0, strict=True), only=("v",)).collect()
+    # sub-queries of a model, each walked, made one
+    split = lambda batch: ["SUB: mint grows\nSUB: pear years" if p.startswith("Split") else f"{p.count('###')} parts" if p.endswith("of these.") else "part" for p in batch]
+    (got,) = navigate.answer_decomposed(asked, nodes.withColumn("summary", F.coalesce("content", F.when(F.col("node_id") == "herbs", "mint grows").when(F.col("node_id") == "trees", "pear years"))), edges, model_fn=split).collect()
+    assert (got.answer, got.with_evidence, got.failed) == ("2 parts", 2, []) and {"herbs/mint.md", "trees/pear.md"} <= set(got.cited)
+    # a session's next turn: rewritten with what was said, answered with it
+    turns = spark.createDataFrame([(7, 1, "which herb", "mint")], "session_id long, turn long, question string, answer string")
+    ask = spark.createDataFrame([(7, "v", "does it grow"), (8, "v", "mint grows")], "session_id long, vault string, question string")
+    chat = lambda batch: ["mint grows anywhere" if "stands alone" in p else "with history" if p.startswith("Before:\nQ: which herb") else "without" for p in batch]
+    rich = nodes.withColumn("summary", F.coalesce("content", F.lit("mint grows")))
+    got = {r.session_id: r for r in navigate.chat_turn(turns, ask, rich, edges, model_fn=chat).collect()}
+    assert (got[7].turn, got[7].rewritten, got[7].answer) == (2, "mint grows anywhere", "with history")
+    assert (got[8].turn, got[8].rewritten, got[8].answer) == (1, "mint grows", "without")
+    rows = spark.createDataFrame([(1, None), (2, "x"), (3, None), (4, "y")], "pos int, error string")
+    assert sorted(r.pos for r in navigate.until_error(rows).collect()) == [1, 2] and navigate.until_error(rows.filter("error IS NULL")).count() == 2
+
+
+def test_numbers_span_tasks(spark):
+    rows = spark.createDataFrame([(g, i * 7 % 1000) for i in range(1000) for g in ("a", None)] + [("b", 5)], "g string, x int").repartition(7)
+    got = corpus.numbered(rows, ["g"], ["x"], "n", 1).collect()
+    assert sorted((str(r.g), r.x, r.n) for r in got) == sorted([(g, x, x + 1) for g in ("a", "None") for x in range(1000)] + [("b", 5, 1)])
+    assert sorted((r.x, r.n) for r in corpus.numbered(rows.filter("g = 'a'").select("x"), [], ["x"], "n").collect()) == [(x, x) for x in range(1000)]
+    assert corpus.numbered(rows.limit(0), ["g"], ["x"], "n").count() == 0
+
+
 def test_enrich_asks_only_misses_and_survives_errors(spark):
     def model(batch):
         if any("bad" in p for p in batch):
@@ -151,7 +315,44 @@ def test_files(spark, tmp_path):
     assert got == {("f g/h.md", "h", "# H\nx"), ("a.md", "a", "é")}
     (tmp_path / "q").write_text("# c\n\nfirst\n second \n")
     assert [tuple(r) for r in files.read_queries(spark, str(tmp_path / "q")).collect()] == [(1, "first"), (2, "second")]
+    (tmp_path / "many").write_text("\n".join(f"line {i}" if i % 3 else "# no" for i in range(3000)))
+    got = files.read_queries(spark, str(tmp_path / "many")).orderBy("pos").collect()
+    assert [r.query for r in got] == [f"line {i}" for i in range(3000) if i % 3] and [r.pos for r in got] == list(range(1, 2001))
     assert files.load_snapshot(spark, str(tmp_path / "none")) is None
+    log = spark.range(60).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 7200).alias("ts"), F.lit("p").alias("phase"), F.lit(1).cast("long").alias("prompt"), F.lit(2).cast("long").alias("completion"), F.lit(0.5).alias("elapsed"))
+    path = str(tmp_path / "log")
+    files.write_usage(log, path)
+    days = sorted({str(r.day) for r in spark.read.parquet(path).collect()})
+    cutoff = datetime.date.fromisoformat(days[2])
+    assert files.retain_usage(spark, path, str(tmp_path / "rollup"), cutoff) == 2 and files.retain_usage(spark, path, str(tmp_path / "rollup"), cutoff) == 0
+    left, gone = spark.read.parquet(path), spark.read.parquet(str(tmp_path / "rollup"))
+    assert sorted({str(r.day) for r in left.collect()}) == days[2:] and left.count() + gone.agg(F.sum("calls")).first()[0] == 60
+    assert not (tmp_path / "log" / f"day={days[0]}").exists()
+
+
+def test_tail_says_that_it_is_alive_and_stops(spark, tmp_path):
+    log = spark.range(30).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"), F.lit("p").alias("phase"), F.lit(1).cast("long").alias("prompt"), F.lit(2).cast("long").alias("completion"))
+    log.write.parquet(str(tmp_path / "log"))
+    stream = us.read_stream(spark, str(tmp_path / "log"))
+    n = us.follow(stream, str(tmp_path / "out"), str(tmp_path / "check"), log=log, backfill=4, seconds=9, heartbeat=1.5)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert n == 30 and sorted(r.event_id for r in got if r.kind == "backfill") == [26, 27, 28, 29] and sum(r.kind == "new" for r in got) == 30 and any(r.kind == "heartbeat" for r in got)
+    assert us.follow(stream, str(tmp_path / "out2"), str(tmp_path / "check2"), most=11, seconds=60) == 11
+
+
+def test_stream_of_sessions_goes_on_from_its_state(spark, tmp_path):
+    at = lambda minutes: F.timestamp_seconds(F.lit(1_700_000_000 + 60 * minutes))
+    one = spark.range(1)
+    for k, batch in enumerate([[(1, 0), (1, 30), (2, 0)], [(1, 80), (2, 61), (1, 141)]]):
+        rows = None
+        for s, m in batch:
+            row = one.select(F.lit(s).cast("long").alias("session_id"), at(m).alias("ts"))
+            rows = row if rows is None else rows.unionByName(row)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "turns"))
+        us.stream_sessions(us.read_stream(spark, str(tmp_path / "turns") + "/"), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = us.latest(spark.read.parquet(str(tmp_path / "out")), ["session_id", "start"]).collect()
+    minutes = lambda t: int(t.timestamp() - 1_700_000_000) // 60
+    assert sorted((r.session_id, minutes(r.start), minutes(r.last_active), r.turns) for r in got) == [(1, 0, 80, 3), (1, 141, 141, 1), (2, 0, 0, 1), (2, 61, 61, 1)]
 
 
 def test_savings_and_rollup(spark):

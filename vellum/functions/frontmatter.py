@@ -62,3 +62,8 @@ def frontmatter_fields(raw: Column) -> Column:
     return F.struct(
         F.when(F.size(tags) > 0, tags).otherwise(parse_list_value(raw["tag"])).alias("tags"), raw["date"].alias("date"), parse_list_value(raw["aliases"]).alias("aliases"), raw.alias("raw"),
     )
+
+
+def note_fields(body: Column) -> Column:
+    """`frontmatter_fields` of a note's body, with the fold over its lines computed once."""
+    return F.get(F.transform(F.array(frontmatter_raw(body)), frontmatter_fields), F.lit(0))

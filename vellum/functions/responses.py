@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .text import lines_of, strip
 
+# The line of an entity, and a code fence around an answer.
 ENTITY_LINE = r"(?m)^ENTITY:\s*(.+?)\s*\|\s*(.+?)\s*\|\s*(.+)$"
+CODE_FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 
 def _first_marked(response: Column, marks: list[str]) -> Column:
@@ -35,8 +37,7 @@ def parse_select(response: Column) -> Column:
 
 def json_snippet(response: Column) -> Column:
     """From the first ``{`` to the last ``}``, inside a code fence if there is one; null without."""
-    fence = r"(?s)```(?:json)?\s*(.*?)```"
-    text = F.when(F.regexp_like(response, F.lit(fence)), F.regexp_extract(response, fence, 1)).otherwise(response)
+    text = F.when(F.regexp_like(response, F.lit(CODE_FENCE)), F.regexp_extract(response, CODE_FENCE, 1)).otherwise(response)
     return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
 
 

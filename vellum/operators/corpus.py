@@ -7,21 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions import text as tx
+from ..sources.tables import stored
 
 NOTE_KEY = ["vault", "node_id"]
 
 
 def build_notes(raw: DataFrame) -> DataFrame:
     """Notes from (vault, node_id, title, body): tokens, tier and frontmatter, computed where the note is read."""
-    fields = fm.frontmatter_fields(fm.frontmatter_raw(F.col("body")))
     tokens = tx.estimate_tokens(F.col("body"))
-    notes = raw.select("vault", "node_id", "title", "body", tokens.alias("token_count"), tx.classify_tier(tokens).alias("tier"), fields.alias("f"))
-    return notes.select("vault", "node_id", "title", "body", "token_count", "tier", "f.tags", "f.date", "f.aliases", "f.raw")
+    # the fold is the element of an array that is exploded, so that no field computes it again
+    fields = F.array(F.struct(tokens.alias("token_count"), fm.note_fields(F.col("body")).alias("f"))).alias("one")
+    notes = raw.select("vault", "node_id", "title", "body", F.explode(fields).alias("one"))
+    return notes.select("vault", "node_id", "title", "body", "one.token_count", tx.classify_tier(F.col("one.token_count")).alias("tier"), "one.f.tags", "one.f.date", "one.f.aliases", "one.f.raw")
 
 
 def with_positions(notes: DataFrame) -> DataFrame:
-    """Each note's place in its vault's order of ids. To be asked for of slim rows: they are dealt by vault."""
-    return notes.withColumn("position", (F.row_number().over(Window.partitionBy("vault").orderBy("node_id")) - 1).cast("long"))
+    """Each note's place in its vault's order of ids. To be asked for of slim rows: they are sorted over all tasks."""
+    return numbered(notes, ["vault"], ["node_id"], "position")
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, first: int = 0) -> DataFrame:
+    """Rows numbered inside their group by ``order``; a group may span any number of tasks.
+
+    A sort by range gives each task a stretch of the order, a window numbers the rows of a stretch, and the rows of a
+    group in the stretches before it are added from a table of one row for each group and task.
+    """
+    dealt = stored(rows.repartitionByRange(*group, *order).withColumn("_task", F.spark_partition_id()), "stretches")
+    counts = dealt.groupBy(*group, "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_task").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    same = F.col("_task") == F.col("_t")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_task").orderBy(*order))
+    return dealt.join(counts, same).withColumn(name, (F.col("_ahead") + inside - 1 + first).cast("long")).select(*rows.columns, name)
 
 
 def in_folder(notes: DataFrame, folder: str | None) -> DataFrame:

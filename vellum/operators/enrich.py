@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..sources.tables import stored
 from . import prompts
 from .changes import cache_hits, cache_misses
+from .entities import SHOWN_MENTIONS, first_mentions
 
 ModelFn = Callable[[list[str]], list[str]]
 
@@ -102,8 +103,9 @@ def extract_entities(notes: DataFrame, model_fn: ModelFn, lang: str = "en") -> t
     return said.select("note_id", F.coalesce("response", F.lit("")).alias("response")), usage
 
 
-def generate_pages(entities: DataFrame, model_fn: ModelFn = echo_model, lang: str = "en") -> tuple[DataFrame, DataFrame]:
-    """(key, name, content) of entities (with mentions and xrefs), and the usage."""
+def generate_pages(entities: DataFrame, mentions: DataFrame, model_fn: ModelFn = echo_model, lang: str = "en", shown: int = SHOWN_MENTIONS) -> tuple[DataFrame, DataFrame]:
+    """(key, name, content) of entities (with xrefs) from their first ``shown`` mentions, and the usage."""
+    entities = entities.join(first_mentions(mentions, shown), "key")
     told = F.array_join(F.transform("mentions", lambda m: F.concat(F.lit("- ["), m["note_id"].cast("string"), F.lit("]: "), m["description"])), "\n")
     fields = {"name": F.col("name"), "category": F.col("category"), "mentions": told, "xrefs": F.array_join("xrefs", ", ")}
     asked = entities.filter("n_mentions > 0").select("key", "name", prompts.build_prompt("page", fields, lang).alias("prompt_text"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import responses as rs
 from ..functions import text as tx
+from .corpus import numbered
 
 XREFS = 20
+#: Mentions that a prompt shows of an entity.
+SHOWN_MENTIONS = 50
 
 
 def mention_facts(responses: DataFrame, note: str = "note_id") -> DataFrame:
@@ -18,17 +21,28 @@ def mention_facts(responses: DataFrame, note: str = "note_id") -> DataFrame:
 
 
 def aggregate_entities(mentions: DataFrame) -> DataFrame:
-    """Entities by key; name and category are those of the first mention, by note and place. All mentions, in order."""
+    """Entities by key: name, category and first description are those of the first mention, by note and place; and the number of mentions.
+
+    Mentions themselves stay rows of their own (`mention_facts`): an entity that every note names is still one small row.
+    """
     place = F.struct("note_id", "pos")
-    said = F.sort_array(F.collect_list(F.struct("note_id", "pos", "description")))
-    return mentions.groupBy("key").agg(F.min_by("name", place).alias("name"), F.min_by("category", place).alias("category"), F.min_by("description", place).alias("first_description"), F.count(F.lit(1)).alias("n_mentions"), said.alias("mentions"))
+    return mentions.groupBy("key").agg(
+        F.min_by("name", place).alias("name"), F.min_by("category", place).alias("category"), F.min_by("description", place).alias("first_description"), F.count(F.lit(1)).alias("n_mentions"), F.min("note_id").alias("first_note"),
+    )
+
+
+def first_mentions(mentions: DataFrame, n: int) -> DataFrame:
+    """(key, mentions): the first n mentions of each entity in order, for a prompt. Ranks are cut before the shuffle, so no key is collected whole."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("note_id", "pos"))
+    some = mentions.withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    return some.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("note_id", "pos", "description"))).alias("mentions"))
 
 
 def entity_index(entities: DataFrame) -> DataFrame:
-    """A text per category (blank: other): its entities by name with their first description."""
+    """Index lines (category, position, line): the entities of each category (blank: other) by name with their first description, a row each."""
     line = F.concat(F.lit("- [["), F.regexp_replace(tx.file_slug(F.col("name")), r"\.md$", ""), F.lit("]] — "), F.col("first_description"))
-    per = entities.groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("other")).alias("category")).agg(F.count(F.lit(1)).alias("entities"), F.sort_array(F.collect_list(F.struct("name", "key", line.alias("line")))).alias("l"))
-    return per.select("category", "entities", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"))
+    rows = entities.select(F.coalesce(F.nullif("category", F.lit("")), F.lit("other")).alias("category"), "name", "key", line.alias("line"))
+    return numbered(rows, ["category"], ["name", "key"], "position", 1).select("category", "position", "line")
 
 
 def compile_log(entities: DataFrame, n_sources: int) -> DataFrame:

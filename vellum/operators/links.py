@@ -38,8 +38,17 @@ def resolve_links(links: DataFrame, notes: DataFrame, strict: bool = False) -> D
 
 def dangling_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     """Links without any note; a wrong path never falls back to the title alone."""
-    found = resolve_links(links, notes).select("vault", "source_id", "pos").distinct()
-    return links.join(found, ["vault", "source_id", "pos"], "left_anti")
+    there = title_index(notes).select("key").distinct()
+    plain = ~F.contains("raw_target", F.lit("/"))
+    # a bare title needs to be told only that some note has it; only links with a path look at the notes themselves
+    bare = _keyed(links.filter(plain)).join(there, "key", "left_anti").drop("key")
+    found = resolve_links(links.filter(~plain), notes).select("vault", "source_id", "pos").distinct()
+    return bare.unionByName(links.filter(~plain).join(found, ["vault", "source_id", "pos"], "left_anti"))
+
+
+def title_counts(notes: DataFrame) -> DataFrame:
+    """A row a title: how many notes have it."""
+    return title_index(notes).groupBy("key").agg(F.count(F.lit(1)).alias("n_notes"))
 
 
 def dangling_preview(dangling: DataFrame, n: int = 10) -> DataFrame:
@@ -74,16 +83,24 @@ def orphan_notes(notes: DataFrame, resolved: DataFrame) -> DataFrame:
     return notes.join(touched, ["vault", "node_id"], "left_anti")
 
 
-def link_totals(links: DataFrame, resolved: DataFrame, notes: DataFrame, count_paths: bool = False) -> DataFrame:
+def link_totals(links: DataFrame, notes: DataFrame, count_paths: bool = False) -> DataFrame:
     """Resolved edges, dangling links, and ambiguous (source, title) pairs.
 
     A link with a path is not counted as ambiguous, unless ``count_paths``, which counts it when it still has
-    more than one note.
+    more than one note. Links by title alone are counted by the number of notes of each title, not edge by edge.
     """
-    many = resolved if count_paths else resolved.filter(~F.contains("raw_target", F.lit("/")))
-    pairs = many.groupBy("vault", "source_id", tx.normalize_title(F.col("raw_target")).alias("key")).agg(F.countDistinct("target_vault", "target_id").alias("n")).filter("n > 1")
-    missing = dangling_links(links, notes).agg(F.count(F.lit(1)))
-    return resolved.agg(F.count(F.lit(1)).alias("resolved")).select("resolved", missing.scalar().alias("dangling"), pairs.agg(F.count(F.lit(1))).scalar().alias("ambiguous"))
+    plain = ~F.contains("raw_target", F.lit("/"))
+    place = ["vault", "source_id", "pos"]
+    bare = _keyed(links.filter(plain)).join(title_counts(notes), "key", "left").withColumn("n", F.coalesce("n_notes", F.lit(0).cast("long"))).select(*place, "key", "n")
+    paths = resolve_links(links.filter(~plain), notes).groupBy(*place, tx.normalize_title(F.col("raw_target")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    n_paths = links.filter(~plain).agg(F.count(F.lit(1)).alias("n_paths"))
+    many = bare.unionByName(paths) if count_paths else bare
+    pairs = many.filter("n > 1").select("vault", "source_id", "key").distinct().agg(F.count(F.lit(1)).alias("ambiguous"))
+    zero = F.lit(0).cast("long")
+    by_title = bare.agg(F.coalesce(F.sum("n"), zero).alias("a"), F.count_if(F.col("n") == 0).alias("b"))
+    by_path = paths.agg(F.coalesce(F.sum("n"), zero).alias("c"), F.count(F.lit(1)).alias("d"))
+    one = by_title.crossJoin(by_path).crossJoin(n_paths).crossJoin(pairs)  # one row each
+    return one.select((F.col("a") + F.col("c")).alias("resolved"), (F.col("b") + F.col("n_paths") - F.col("d")).alias("dangling"), "ambiguous")
 
 
 def top_linked(resolved: DataFrame, top: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # How much of a text a prompt of each kind shows.
 CAPS = {
-    "summary": {"content": 4000}, "section_summary": {"content": 4000}, "evaluate": {"content": 12_000}, "answer": {"content": 8000}, "answer_history": {"content": 8000},
+    "summary": {"content": 4000}, "section_summary": {"content": 4000}, "evaluate": {"content": 12_000}, "evaluate_json": {"content": 12_000}, "answer": {"content": 8000}, "answer_history": {"content": 8000},
     "synthesise": {"content": 3000}, "rewrite": {"content": 200}, "entities": {"content": 12_000},
 }
 SYSTEM = {
@@ -28,6 +28,14 @@ TEMPLATES = {
         "en": "Question: {query}\n\nNote: {title}\n\n{content}\n\nReply SUFFICIENT: <reason> or INSUFFICIENT: <what is missing>.",
         "ko": "질문: {query}\n\n노트: {title}\n\n{content}\n\nSUFFICIENT: <이유> 또는 INSUFFICIENT: <부족한 것>으로 답하세요.",
     },
+    "select_json": {
+        "en": "Question: {query}\n\nSo far: {path}\n\n{candidates}\n\nReply with one JSON object and nothing else, its keys action (SELECT or DONE), node_id and reason.",
+        "ko": "질문: {query}\n\n지금까지: {path}\n\n{candidates}\n\naction(SELECT 또는 DONE), node_id, reason 키를 가진 JSON 객체 하나로만 답하세요.",
+    },
+    "evaluate_json": {
+        "en": "Question: {query}\n\nNote: {title}\n\n{content}\n\nReply with one JSON object and nothing else, its keys sufficient (true or false) and reason.",
+        "ko": "질문: {query}\n\n노트: {title}\n\n{content}\n\nsufficient(true 또는 false), reason 키를 가진 JSON 객체 하나로만 답하세요.",
+    },
     "answer": {"en": "Question: {query}\n\n{notes}\n\nAnswer, and name the notes used as [[title]].", "ko": "질문: {query}\n\n{notes}\n\n답하고 쓴 노트를 [[제목]]으로 밝히세요."},
     "answer_history": {
         "en": "Before:\n{history}\n\nQuestion: {query}\n\n{notes}\n\nAnswer, and name the notes used as [[title]].",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions import text as tx
 from ..operators import corpus, links, ranking, sections
+from ..sources import files
+from ..sources.tables import stored
 from .registry import query
 from .views import view
 
@@ -26,7 +28,7 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT vault, node_id, title, token_count, tier, date, position, array_to_string(tags, ',') AS tags FROM notes")
 def scan_notes(spark, sf):
     slim = notes(spark, sf).select("vault", "node_id", "title", "token_count", "tier", "date", F.array_join("tags", ",").alias("tags"))
-    return corpus.with_positions(slim)
+    return corpus.with_positions(stored(slim, "notes"))
 
 
 @query("SELECT vault, node_id FROM notes_src WHERE starts_with(node_id, 'de/')")
@@ -56,8 +58,7 @@ def dedup_vaults(spark, sf):
   WHERE trim(query) <> '' AND NOT starts_with(trim(query), '#')""")
 def read_queries(spark, sf):
     lines = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", F.posexplode(F.split("text", "\n")).alias("k", "query"))
-    kept = lines.filter((tx.strip(F.col("query")) != "") & ~tx.strip(F.col("query")).startswith("#"))
-    return kept.select(F.row_number().over(Window.orderBy("item_id", "k")).cast("long").alias("pos"), "query")
+    return files.query_lines(lines, "query", ["item_id", "k"]).select("pos", "query")
 
 
 # Scalar functions
@@ -84,9 +85,9 @@ def extract_links_anchored(spark, sf):
     return links.note_links(raw_notes(spark, sf))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(substring(text, 1, 80), '\\s+', ' ', 'g'))) AS title, true AS same FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS title, true AS same FROM documents")
 def normalize_title(spark, sf):
-    title = F.substring("text", 1, 80)
+    title = F.col("text")
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tx.normalize_title(title).alias("title"), tx.titles_match(F.upper(title), F.concat(F.lit(" "), F.upper(title))).alias("same"))
 
 
@@ -131,14 +132,14 @@ def clean_summary(spark, sf):
     return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.clean_summary(said).alias("summary"))
 
 
-@query("SELECT item_id, regexp_replace(trim(regexp_replace(substring(text, 1, 40), '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || '.md' AS file FROM benchmark")
+@query("SELECT item_id, regexp_replace(trim(regexp_replace(text, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || '.md' AS file FROM benchmark")
 def slugify(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.file_slug(F.substring("text", 1, 40)).alias("file"))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.file_slug(F.col("text")).alias("file"))
 
 
-@query("SELECT item_id, lower(trim(substring(text, 1, 30))) AS key FROM benchmark")
+@query("SELECT item_id, lower(trim(text, ' ' || chr(9) || chr(10))) AS key FROM benchmark")
 def entity_key(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.entity_key(F.concat(F.lit(" "), F.substring("text", 1, 30), F.lit("\t"))).alias("key"))
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.entity_key(F.concat(F.lit(" "), "text", F.lit("\t"))).alias("key"))
 
 
 @query("SELECT vault, node_id AS note_id, kept_seq FROM thinned")
@@ -186,9 +187,9 @@ def filter_tier(spark, sf):
     return corpus.filter_tier(notes(spark, sf).withColumn("summary", F.lit(None).cast("string")), "atomic", without_summary=True).select("vault", "node_id")
 
 
-@query("SELECT doc_id FROM documents WHERE trim(substring(text, 1, 4)) <> ''")
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')")
 def nonblank_notes(spark, sf):
-    return corpus.nonblank_notes(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substring("text", 1, 4).alias("body"))).select("doc_id")
+    return corpus.nonblank_notes(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("body"))).select("doc_id")
 
 
 # Links
@@ -229,9 +230,9 @@ def anchor_links(spark, sf):
     return links.anchor_links(resolved(spark, sf), thinned(spark, sf)).select("vault", "source_id", "pos", "target_vault", "target_node")
 
 
-@query("SELECT vault, source_id, target_vault, target_id FROM resolved WHERE starts_with(source_id, 'es/')")
+@query("SELECT vault, source_id, target_vault, target_id FROM resolved")
 def outgoing(spark, sf):
-    sources = raw_notes(spark, sf).filter(F.col("node_id").startswith("es/")).select("vault", F.col("node_id").alias("source_id"))
+    sources = raw_notes(spark, sf).select("vault", F.col("node_id").alias("source_id"))
     return links.outgoing(resolved(spark, sf), sources).select("vault", "source_id", "target_vault", "target_id")
 
 
@@ -242,10 +243,10 @@ def backlinks(spark, sf):
     return links.backlinks(links.anchor_links(resolved(spark, sf), kept), targets).select("vault", "source_id", "target_vault", "target_node")
 
 
-@query("SELECT 'DOC ' || n.title AS title, n.vault AS target_vault, n.node_id AS target_id FROM notes_src n WHERE false UNION ALL SELECT upper(t.title), n.vault, n.node_id FROM (SELECT DISTINCT title FROM notes_src WHERE ends_with(title, '7')) t JOIN notes_src n ON n.title = t.title")
+@query("SELECT upper(t.title) AS title, n.vault AS target_vault, n.node_id AS target_id FROM (SELECT DISTINCT title FROM notes_src) t JOIN notes_src n ON n.title = t.title")
 def lookup_title(spark, sf):
     raw = raw_notes(spark, sf)
-    return links.lookup_title(raw.filter(F.col("title").endswith("7")).select(F.upper("title").alias("title")).distinct(), raw)
+    return links.lookup_title(raw.select(F.upper("title").alias("title")).distinct(), raw)
 
 
 @query("""SELECT vault, node_id FROM notes_src n WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.vault = n.vault AND r.source_id = n.node_id)
@@ -259,7 +260,7 @@ def orphan_notes(spark, sf):
 def link_totals(spark, sf):
     raw = raw_notes(spark, sf)
     found = links.note_links(raw)
-    return links.link_totals(found, links.resolve_links(found, raw), raw)
+    return links.link_totals(found, raw)
 
 
 @query("SELECT target_title AS title, count(*) AS incoming FROM resolved GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -273,18 +274,18 @@ def top_outgoing(spark, sf):
 
 
 @query("""SELECT query_id, vault, node_id, min(hop) AS hop FROM (
-  SELECT doc_id AS query_id, source AS vault, lang || '/doc' || doc_id % 907 || '.md' AS node_id, 0 AS hop FROM documents
-  UNION ALL SELECT d.doc_id, r.target_vault, r.target_id, 1 FROM documents d JOIN resolved r ON r.vault = d.source AND r.source_id = d.lang || '/doc' || d.doc_id % 907 || '.md'
-  UNION ALL SELECT d.doc_id, r2.target_vault, r2.target_id, 2 FROM documents d JOIN resolved r ON r.vault = d.source AND r.source_id = d.lang || '/doc' || d.doc_id % 907 || '.md'
+  SELECT doc_id AS query_id, vault, node_id, 0 AS hop FROM notes_src
+  UNION ALL SELECT d.doc_id, r.target_vault, r.target_id, 1 FROM notes_src d JOIN resolved r ON r.vault = d.vault AND r.source_id = d.node_id
+  UNION ALL SELECT d.doc_id, r2.target_vault, r2.target_id, 2 FROM notes_src d JOIN resolved r ON r.vault = d.vault AND r.source_id = d.node_id
     JOIN resolved r2 ON r2.vault = r.target_vault AND r2.source_id = r.target_id) GROUP BY ALL""")
 def link_neighbours(spark, sf):
     start = raw_notes(spark, sf).select(F.col("doc_id").alias("query_id"), "vault", "node_id")
     return links.link_neighbours(start, resolved(spark, sf), 2)
 
 
-@query("SELECT n.vault, n.node_id, n.title, n.token_count FROM notes n WHERE ends_with(n.node_id, '3.md')")
+@query("SELECT n.vault, n.node_id, n.title, n.token_count FROM notes n")
 def node_lookup(spark, sf):
-    wanted = raw_notes(spark, sf).filter(F.col("node_id").endswith("3.md")).select("vault", "node_id")
+    wanted = raw_notes(spark, sf).select("vault", "node_id")
     return notes(spark, sf).join(wanted, ["vault", "node_id"]).select("vault", "node_id", "title", "token_count")
 
 
@@ -399,8 +400,8 @@ def rank_candidates(spark, sf):
 
 
 @query("""WITH c AS (SELECT item_id AS query_id, doc_id AS position, 'n' || doc_id AS node_id, 'doc' || doc_id || ' ' || substring(d.text, 1, 2000) AS t
-    FROM benchmark b JOIN documents d ON d.doc_id // 4 = b.item_id),
-  q AS (SELECT item_id AS query_id, unnest(string_split_regex(lower(substring(text, 1, 60)), '[\\s,.;:!?\\-()\\[\\]{}"''`/\\\\]+')) AS token FROM benchmark),
+    FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id),
+  q AS (SELECT item_id AS query_id, unnest(string_split_regex(lower(text), '[\\s,.;:!?\\-()\\[\\]{}"''`/\\\\]+')) AS token FROM benchmark),
   k AS (SELECT query_id, node_id, unnest(string_split_regex(lower(t), '[\\s,.;:!?\\-()\\[\\]{}"''`/\\\\]+')) AS token FROM c),
   f AS (SELECT query_id, node_id, token, count(*) AS tf, sum(count(*)) OVER (PARTITION BY query_id, node_id) AS len FROM k WHERE length(token) >= 2 GROUP BY query_id, node_id, token),
   s AS (SELECT f.query_id, f.node_id, round(sum(tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE)) + greatest(0, 1 - max(len) / 50), 6) AS score FROM f JOIN q ON q.query_id = f.query_id AND q.token = f.token GROUP BY f.query_id, f.node_id)
@@ -409,6 +410,6 @@ def rank_candidates(spark, sf):
 def rerank_citations(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id")
-    cited = docs.withColumn("item_id", F.floor(F.col("doc_id") / 4)).join(n, "item_id")
+    cited = docs.withColumn("item_id", F.col("doc_id") % n.count()).join(n, "item_id")
     cited = cited.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("position"), F.concat(F.lit("n"), "doc_id").alias("node_id"), F.concat(F.lit("doc"), "doc_id").alias("title"), F.col("text").alias("content"))
     return ranking.rerank_citations(queries_(spark, sf), cited).withColumn("score", F.round("score", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -77,7 +78,7 @@ def write_pages(spark, sf):
     back = lambda part: spark.read.parquet(f"{path}/{part}")
     one = F.lit(1).cast("long")
     out = back("pages").select(F.lit("pages").alias("part"), F.col("file").alias("name"), one.alias("n"))
-    out = out.unionByName(back("index").select(F.lit("index").alias("part"), F.col("category").alias("name"), F.col("entities").alias("n")))
+    out = out.unionByName(back("index").groupBy(F.lit("index").alias("part"), F.col("category").alias("name")).agg(F.count(F.lit(1)).alias("n")))
     return out.unionByName(back("log").agg(F.count(F.lit(1)).alias("n")).select(F.lit("log").alias("part"), F.lit("").alias("name"), "n"))
 
 
@@ -160,7 +161,8 @@ def extract_entities(spark, sf):
 
 @query(f"SELECT file, key FROM {PAGE_FILES}")
 def generate_pages(spark, sf):
-    pages, _ = enrich.generate_pages(en.xref_hint(entities(spark, sf)))
+    facts = stored(en.mention_facts(view(spark, sf, "model_output_src").select(F.col("doc_id").alias("note_id"), "response")))
+    pages, _ = enrich.generate_pages(en.xref_hint(en.aggregate_entities(facts)), facts)
     return en.pages_by_slug(pages).select("file", "key")
 
 
@@ -190,37 +192,70 @@ def navigate_trace(spark, sf):
     return nav.trace_rows(nav.navigate(asked(spark, sf), nodes, edges))
 
 
+def guide(batch):
+    """A stand-in for a model, a function of each prompt: picks the first candidate shown, finds a note enough if it holds any of the question's last three words, and echoes in answers."""
+    out = []
+    for p in batch:
+        ids, question = re.findall(r"^   node_id: (.*)$", p, re.MULTILINE), re.search(r"Question: (.*)", p)
+        if "Reply SELECT" in p:
+            out.append(f"SELECT: {ids[0]}" if ids else "DONE: nothing")
+        elif "Reply SUFFICIENT" in p:
+            last = question[1].split()[-3:]
+            body = p.split("\n\nNote: ", 1)[1]
+            out.append("SUFFICIENT: there" if any(w in body for w in last) else "INSUFFICIENT: not there")
+        elif p.startswith("Split into"):
+            words = p.rsplit("\n\n", 1)[1].split()
+            out.append("\n".join(f"SUB: {' '.join(words[i::2])}" for i in range(2)) if len(words) > 3 else "SINGLE")
+        else:
+            out.append(f"{len(p)}:{p[-20:]}")
+    return out
+
+
+@query()
+def navigate_model(spark, sf):
+    """Walks that a model decides."""
+    nodes, edges = walk_inputs(spark, sf)
+    return nav.navigate(asked(spark, sf), nodes, edges, nav.Model(guide))
+
+
 @query()
 def navigate_vaults(spark, sf):
+    """Every query in every vault that the notes have."""
     nodes, edges = walk_inputs(spark, sf)
-    return nav.navigate_vaults(queries_(spark, sf), ["src0", "src1", "src2"], nodes, edges)
+    vaults = nodes.select("vault").distinct().select(F.rank().over(Window.orderBy("vault")).alias("pos"), "vault")  # a row a vault
+    return nav.answer_vaults(queries_(spark, sf), stored(vaults, "vaults"), nodes, edges)
 
 
 @query()
 def navigate_decomposed(spark, sf):
+    """Queries that a model splits, whose parts are walked and whose answers are made one."""
     nodes, edges = walk_inputs(spark, sf)
-    parts = F.array(F.substring("query", 1, 30), F.substring("query", 31, 30))
-    subs = asked(spark, sf).select("query_id", "vault", F.posexplode(parts).alias("part", "query"))
-    return nav.navigate_decomposed(subs, nodes, edges)
+    return nav.answer_decomposed(asked(spark, sf), nodes, edges, model_fn=guide)
 
 
 @query()
 def answer_status(spark, sf):
     nodes, edges = walk_inputs(spark, sf)
-    return nav.answer_status(nav.navigate(asked(spark, sf), nodes, edges), F.lit(3000)).groupBy("status").agg(F.count(F.lit(1)).alias("queries"))
+    walks = nav.navigate(asked(spark, sf), nodes, edges, nav.Model(guide), max_tokens=3000)
+    return nav.answer_status(walks, 3000).groupBy("status").agg(F.count(F.lit(1)).alias("queries"), F.sum("tokens").alias("tokens"))
+
+
+def moody(batch):
+    """Echoes, but fails on prompts whose length is a multiple of seven."""
+    if any(len(p) % 7 == 0 for p in batch):
+        raise RuntimeError("no answer")
+    return enrich.echo_model(batch)
 
 
 @query()
 def batch_answers(spark, sf):
-    """Answers of the whole table of queries from the notes that their walks cite; queries without evidence carry an error."""
+    """Answers of the whole table of queries from the notes that their walks cite; where the model fails the row has the error, and the report says so."""
     nodes, edges = walk_inputs(spark, sf)
-    walks = nav.navigate(asked(spark, sf), nodes, edges)
-    gathered = walks.select("query_id", "vault", F.posexplode("cited").alias("position", "node_id")).join(nodes.select("vault", "node_id", "title", "content"), ["vault", "node_id"])
-    rows = queries_(spark, sf).join(prompts.listed_notes(gathered), "query_id", "left")
-    ready = rows.filter("notes IS NOT NULL").select("query_id", prompts.build_prompt("answer", {"query": F.col("query"), "notes": F.col("notes")}).alias("prompt_text"))
-    said, _ = enrich.enrich(ready, ["query_id"], phase="final")
-    none = rows.filter("notes IS NULL").select("query_id", F.lit(None).cast("string").alias("response"), F.lit("no evidence").alias("error"))
-    return said.select("query_id", "response", "error").unionByName(none)
+    walks = stored(nav.navigate(asked(spark, sf), nodes, edges), "walks")
+    told = stored(nav.answers(walks, nodes, moody), "answers").join(queries_(spark, sf), "query_id")
+    rows = told.select(F.col("query_id").alias("pos"), "query", "answer", "error")
+    stopped = nav.until_error(rows).select("pos", F.lit(True).alias("before_stop"))
+    return files.export_batch(rows).join(stopped, "pos", "left").select("pos", "value", F.coalesce("before_stop", F.lit(False)).alias("before_stop"))
 
 
 HISTORY = "coalesce(string_agg('Q: ' || question || chr(10) || 'A: ' || substring(answer, 1, 200), chr(10) ORDER BY p) FILTER (p IS NOT NULL), '')"
@@ -230,7 +265,7 @@ HISTORY = "coalesce(string_agg('Q: ' || question || chr(10) || 'A: ' || substrin
     SELECT session_id, turn, any_value(q) AS question, substring({HISTORY}, 1, 100000) AS history FROM (
       SELECT a.session_id, a.turn, a.question AS q, b.turn AS p, b.question, b.answer, row_number() OVER (PARTITION BY a.session_id, a.turn ORDER BY b.turn DESC) AS k
       FROM turns_src a LEFT JOIN turns_src b ON b.session_id = a.session_id AND b.turn < a.turn) WHERE k <= 3 GROUP BY session_id, turn)""")
-def chat_answers(spark, sf):
+def chat_rewrites(spark, sf):
     """Follow-ups rewritten with their history, all turns of all sessions in one job, as the answers before them are known."""
     told = usage.recent_history(view(spark, sf, "turns_src"))
     history = F.array_join(F.transform("history", lambda h: F.concat(F.lit("Q: "), h["question"], F.lit("\nA: "), h["answer"])), "\n")
@@ -238,6 +273,19 @@ def chat_answers(spark, sf):
     return enrich.enrich(rows, ["session_id", "turn"], phase="rewrite")[0].select("session_id", "turn", F.col("response").alias("rewritten"))
 
 
+@query()
+def chat_answers(spark, sf):
+    """The last question of every session asked again in a vault: rewritten, walked, answered with its history, and appended to the session's turns."""
+    nodes, edges = walk_inputs(spark, sf)
+    turns = view(spark, sf, "turns_src")
+    last = turns.groupBy("session_id").agg(F.max_by("question", "turn").alias("question")).withColumn("vault", F.concat(F.lit("src"), F.pmod("session_id", F.lit(20))))
+    path = fresh_path(spark, "turns")
+    turns.select("session_id", F.col("turn").cast("long").alias("turn"), "question", "answer", F.array().cast("array<string>").alias("cited")).write.parquet(path)
+    fresh = nav.chat_turn(spark.read.parquet(path), last, nodes, edges)
+    fresh.select("session_id", F.col("turn").cast("long").alias("turn"), "question", "answer", "cited").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 # Streams
 
 
@@ -273,15 +321,36 @@ def watch_changes(spark, sf):
     return us.watch_changes(spark, view(spark, sf, "snapshot_cur"), path, 2)
 
 
-@query("SELECT doc_id AS path, n_chars FROM documents")
+@query("SELECT s.doc_id AS path, t.kept_seq, t.title, t.subtree_tokens FROM thinned t JOIN notes_src s USING (vault, node_id) WHERE s.doc_id % 10 <> 1")
 def watch_rebuild(spark, sf):
-    """All that was ever added or modified in two polls, derived anew from the documents."""
-    path = fresh_path(spark, "watch")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("path"), "n_chars")
+    """Section trees of all notes after two polls: built for what was added or modified, gone for what was deleted."""
+    path, raw = fresh_path(spark, "watch"), raw_notes(spark, sf)
     us.watch_changes(spark, view(spark, sf, "snapshot_prev"), path, 1)
     us.watch_changes(spark, view(spark, sf, "snapshot_cur"), path, 2)
-    into = us.streamed(spark, lambda out, check: us.watch_rebuild(spark, path, check, lambda touched: docs.join(touched, "path"), out))
-    return into.select("path", "n_chars").distinct()
+
+    def rebuild(touched):
+        some = raw.join(touched, F.col("doc_id") == F.col("path"), "left_semi")
+        kept = sections.thin_sections(sections.section_tree(some)).join(raw.select("vault", "node_id", F.col("doc_id").alias("path")), ["vault", "node_id"])
+        return kept.select("path", F.substring_index("section_id", "#", -1).cast("long").alias("kept_seq"), "title", "subtree_tokens")
+
+    into = us.streamed(spark, lambda out, check: us.watch_rebuild(spark, path, check, rebuild, out))
+    return us.current(into, "path")
+
+
+@query("""SELECT session_id, min(ts) AS start, max(ts) AS last_active, count(*) AS turns FROM (
+    SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM (
+      SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM usage_src)) GROUP BY session_id, n""")
+def stream_sessions(spark, sf):
+    table = us.streamed(spark, lambda out, check: us.stream_sessions(event_stream(spark, sf), out, check))
+    return us.latest(table, ["session_id", "start"])
+
+
+@query("SELECT kind, event_id FROM (SELECT 'backfill' AS kind, event_id FROM usage_src ORDER BY ts DESC, event_id DESC LIMIT 50) UNION ALL SELECT kind, event_id FROM (SELECT 'new' AS kind, event_id FROM usage_src ORDER BY ts, event_id LIMIT 200)")
+def tail_follow(spark, sf):
+    """The last fifty events as of now, then the log as a stream until two hundred events have passed."""
+    path = fresh_path(spark, "tail")
+    us.follow(event_stream(spark, sf), path, fresh_path(spark, "checkpoint"), log=events(spark, sf), backfill=50, most=200, seconds=120)
+    return spark.read.parquet(path).filter("kind <> 'heartbeat'").select("kind", "event_id")
 
 
 @query("SELECT session_id, CASE WHEN session_id % 2 = 0 THEN 0 ELSE count(*) END AS turns FROM turns_src GROUP BY session_id")

@@ -19,33 +19,34 @@ def picks(spark, sf):
     return view(spark, sf, "select_output_src")
 
 
-@query("""SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'DONE' END AS action, CASE query_id % 5 WHEN 0 THEN 'n' || query_id WHEN 1 THEN 'why' END AS value,
+@query("""SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'DONE' END AS action, CASE WHEN query_id % 5 < 2 THEN said END AS value,
   CASE WHEN query_id % 5 > 1 THEN 'no SELECT or DONE line' END AS error FROM select_output_src""")
 def parse_select(spark, sf):
     return picks(spark, sf).select("query_id", rs.parse_select(F.col("response")).alias("p")).select("query_id", "p.*")
 
 
-@query("""SELECT query_id, CASE query_id % 5 WHEN 2 THEN 'SELECT' WHEN 3 THEN 'DONE' END AS action, CASE query_id % 5 WHEN 2 THEN 'n' || query_id WHEN 3 THEN 'r' END AS value,
+@query("""SELECT query_id, CASE query_id % 5 WHEN 2 THEN 'SELECT' WHEN 3 THEN 'DONE' END AS action, CASE WHEN query_id % 5 IN (2, 3) THEN said END AS value,
   CASE WHEN query_id % 5 NOT IN (2, 3) THEN 'no JSON object' END AS error FROM select_output_src""")
 def parse_select_json(spark, sf):
     return picks(spark, sf).select("query_id", rs.parse_select_json(F.col("response")).alias("p")).select("query_id", "p.*")
 
 
 def judged(spark, sf):
-    n = F.col("query_id") % 4
-    said = F.when(n == 0, "Hm.\nSUFFICIENT: all there ").when(n == 1, " INSUFFICIENT: no date").when(n == 2, '{"sufficient": "false", "reason": " x "}').otherwise("```\n{\"sufficient\": false}\n```")
-    return picks(spark, sf).select("query_id", said.alias("response"))
+    n, t = F.col("query_id") % 4, F.col("said")
+    text = F.when(n == 0, F.concat(F.lit("Hm.\nSUFFICIENT: "), t)).when(n == 1, F.concat(F.lit(" INSUFFICIENT: "), t, F.lit(" ")))
+    json = F.when(n == 2, F.concat(F.lit('{"sufficient": "false", "reason": " '), t, F.lit(' "}'))).otherwise(F.concat(F.lit('```\n{"sufficient": false, "reason": "'), t, F.lit('"}\n```')))
+    return picks(spark, sf).select("query_id", F.coalesce(text, json).alias("response"))
 
 
-@query("""SELECT query_id, CASE query_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS sufficient, CASE query_id % 4 WHEN 0 THEN 'all there' WHEN 1 THEN 'no date' END AS reason,
+@query("""SELECT query_id, CASE query_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS sufficient, CASE WHEN query_id % 4 < 2 THEN said END AS reason,
   CASE WHEN query_id % 4 > 1 THEN 'no SUFFICIENT or INSUFFICIENT line' END AS error, CASE query_id % 4 WHEN 2 THEN true WHEN 3 THEN false END AS json_sufficient,
-  CASE query_id % 4 WHEN 2 THEN 'x' WHEN 3 THEN '' END AS json_reason FROM select_output_src""")
+  CASE WHEN query_id % 4 > 1 THEN said END AS json_reason FROM select_output_src""")
 def parse_evaluate(spark, sf):
     told = judged(spark, sf).select("query_id", rs.parse_evaluate(F.col("response")).alias("p"), rs.parse_evaluate_json(F.col("response")).alias("j"))
     return told.select("query_id", "p.*", F.col("j.sufficient").alias("json_sufficient"), F.col("j.reason").alias("json_reason"))
 
 
-@query("""SELECT query_id, CASE WHEN query_id % 5 IN (0, 2) THEN 'SELECT' ELSE 'DONE' END AS action, CASE query_id % 5 WHEN 0 THEN 'n' || (query_id + 0) WHEN 2 THEN 'n' || query_id WHEN 3 THEN 'r' ELSE 'why' END AS value,
+@query("""SELECT query_id, CASE WHEN query_id % 5 IN (0, 2) THEN 'SELECT' ELSE 'DONE' END AS action, said AS value,
   CASE WHEN query_id % 5 IN (2, 3) THEN 1 ELSE 3 END AS attempt FROM select_output_src WHERE query_id % 5 <> 4 UNION ALL SELECT query_id, NULL, NULL, NULL FROM select_output_src WHERE query_id % 5 = 4""")
 def parse_with_fallback(spark, sf):
     told = picks(spark, sf).select("query_id", rs.parse_with_fallback(F.col("response"), F.col("response")).alias("p"))
@@ -70,19 +71,25 @@ def mention_facts(spark, sf):
     return en.mention_facts(outputs(spark, sf))
 
 
-@query("""SELECT key, arg_min(name, doc_id) AS name, arg_min(category, doc_id) AS category, arg_min(description, doc_id) AS first_description, count(*) AS n_mentions,
-  string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS notes FROM mentions GROUP BY key""")
+@query("""SELECT key, arg_min(name, doc_id) AS name, arg_min(category, doc_id) AS category, arg_min(description, doc_id) AS first_description, count(*) AS n_mentions, min(doc_id) AS first_note
+  FROM mentions GROUP BY key""")
 def aggregate_entities(spark, sf):
-    out = en.aggregate_entities(en.mention_facts(outputs(spark, sf)))
-    return out.withColumn("notes", F.array_join(F.transform("mentions", lambda m: m["note_id"].cast("string")), ",")).drop("mentions")
+    return en.aggregate_entities(en.mention_facts(outputs(spark, sf)))
 
 
 def entities(spark, sf):
     return en.aggregate_entities(en.mention_facts(outputs(spark, sf)))
 
 
-@query("""SELECT category, count(*) AS entities, string_agg('- [[' || regexp_replace(trim(regexp_replace(name, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || ']] — ' || first_description, chr(10) ORDER BY name, key) AS lines
-  FROM entities GROUP BY category""")
+@query("""SELECT key, string_agg(doc_id::VARCHAR || ':' || description, chr(10) ORDER BY doc_id) AS mentions
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS k FROM mentions) WHERE k <= 50 GROUP BY key""")
+def first_mentions(spark, sf):
+    said = F.array_join(F.transform("mentions", lambda m: F.concat_ws(":", m["note_id"].cast("string"), m["description"])), "\n")
+    return en.first_mentions(en.mention_facts(outputs(spark, sf)), en.SHOWN_MENTIONS).select("key", said.alias("mentions"))
+
+
+@query("""SELECT category, row_number() OVER (PARTITION BY category ORDER BY name, key) AS position,
+  '- [[' || regexp_replace(trim(regexp_replace(name, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || ']] — ' || first_description AS line FROM entities""")
 def entity_index(spark, sf):
     return en.entity_index(entities(spark, sf))
 
@@ -117,11 +124,11 @@ def suppress_shown(spark, sf):
     return en.suppress_shown(rows)
 
 
-@query("""SELECT 'select' AS kind, count(*) AS responses, count(*) AS nonempty, count(*) AS short, count(*) FILTER (query_id % 5 < 2) AS parsable, count(*) FILTER (query_id % 5 = 0) AS "right",
-    count(*) FILTER (query_id % 5 = 0) AS passed FROM select_output_src
+@query("""SELECT 'select' AS kind, count(*) AS responses, count(*) AS nonempty, count(*) AS short, count(*) FILTER (query_id % 5 < 2) AS parsable, count(*) FILTER (query_id % 5 < 2 AND query_id % 2 = 0) AS "right",
+    count(*) FILTER (query_id % 5 < 2 AND query_id % 2 = 0) AS passed FROM select_output_src
   UNION ALL SELECT 'summary', count(*), count(*), count(*) FILTER (length(trim(text, ' ' || chr(10))) < 300), count(*), count(*), count(*) FILTER (length(trim(text, ' ' || chr(10))) < 300) FROM benchmark""")
 def response_quality(spark, sf):
-    a = picks(spark, sf).select(F.lit("select").alias("kind"), "response", F.concat(F.lit("n"), "query_id").alias("expected"))
+    a = picks(spark, sf).select(F.lit("select").alias("kind"), "response", F.when(F.col("query_id") % 2 == 0, F.col("said")).otherwise("else").alias("expected"))
     b = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lit("summary").alias("kind"), F.col("text").alias("response"), F.lit(None).cast("string").alias("expected"))
     return en.response_quality(a.unionByName(b))
 
@@ -135,7 +142,7 @@ def compile_incremental(spark, sf):
     changed = diff.filter("kind <> 'deleted'").select(F.col("path").alias("note_id"))
     fresh = en.mention_facts(outputs(spark, sf).join(changed, "note_id", "left_semi"))
     merged = en.incremental_mentions(facts.filter("note_id % 10 <> 0"), diff, fresh)
-    return en.aggregate_entities(merged).select("key", "n_mentions", F.col("mentions")[0]["note_id"].alias("first_note"))
+    return en.aggregate_entities(merged).select("key", "n_mentions", "first_note")
 
 
 @query("SELECT file, key FROM (SELECT regexp_replace(trim(regexp_replace(name, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || '.md' AS file, max(key) AS key FROM entities GROUP BY 1)")

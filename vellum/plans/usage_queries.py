@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import changes, corpus, usage
+from ..sources import files
+from ..sources.tables import fresh_path
 from .corpus_queries import notes, raw_notes
 from .registry import query
 from .views import view
@@ -168,11 +170,13 @@ CUT = "(SELECT (min(ts) + (max(ts) - min(ts)) / 2)::DATE FROM usage_src)"
 
 @query(f"SELECT 'kept' AS part, event_id AS key, prompt AS calls FROM usage_src WHERE ts >= {CUT} UNION ALL SELECT 'day', epoch(ts::DATE)::BIGINT, count(*) FROM usage_src WHERE ts < {CUT} GROUP BY ts::DATE")
 def retention(spark, sf):
-    all_events = events(spark, sf)
-    low, high = all_events.agg(F.min("ts"), F.max("ts")).first()
-    daily, kept = usage.retention(all_events, (low + (high - low) / 2).date())
-    old = daily.filter("calls > 0").select(F.lit("day").alias("part"), F.unix_timestamp(F.col("day").cast("timestamp")).alias("key"), "calls")
-    return kept.select(F.lit("kept").alias("part"), F.col("event_id").alias("key"), F.col("prompt").alias("calls")).unionByName(old)
+    """Days of a stored log before a cutoff are rolled up, and their folders dropped."""
+    path, rollups = fresh_path(spark, "usage"), fresh_path(spark, "rollups")
+    files.write_usage(events(spark, sf), path)
+    low, high = events(spark, sf).agg(F.min("ts"), F.max("ts")).first()
+    files.retain_usage(spark, path, rollups, (low + (high - low) / 2).date())
+    old = spark.read.parquet(rollups).filter("calls > 0").select(F.lit("day").alias("part"), F.unix_timestamp(F.col("day").cast("timestamp")).alias("key"), "calls")
+    return spark.read.parquet(path).select(F.lit("kept").alias("part"), F.col("event_id").alias("key"), F.col("prompt").alias("calls")).unionByName(old)
 
 
 # Snapshots and caches

@@ -12,20 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "notes_src": """
         SELECT doc_id, source AS vault,
-          lang || '/doc' || cast(doc_id % 907 AS varchar(20)) || '.md' AS node_id,
-          'doc' || cast(doc_id % 907 AS varchar(20)) AS title,
+          CASE WHEN doc_id % 10 = 1 THEN 'twin' ELSE lang END || '/doc' || cast(CASE WHEN doc_id % 10 = 1 THEN doc_id - 1 ELSE doc_id END AS varchar(20)) || '.md' AS node_id,
+          'doc' || cast(CASE WHEN doc_id % 10 = 1 THEN doc_id - 1 ELSE doc_id END AS varchar(20)) AS title,
           '---' || chr(10) || 'tags: [' || upper(lang) || ', ' || source || ']' || chr(10)
           || CASE WHEN doc_id % 5 = 0 THEN ''
              ELSE 'date: 2024-' || lpad(cast(doc_id % 12 + 1 AS varchar(20)), 2, '0') || '-'
                   || lpad(cast(doc_id % 28 + 1 AS varchar(20)), 2, '0') || chr(10) END
-          || '---' || chr(10) || '# doc' || cast(doc_id % 907 AS varchar(20)) || chr(10)
+          || '---' || chr(10) || '# doc' || cast(CASE WHEN doc_id % 10 = 1 THEN doc_id - 1 ELSE doc_id END AS varchar(20)) || chr(10)
           || substring(text, 1, cast(floor(n_chars / 3) AS int)) || chr(10)
           || '## Methods' || chr(10)
           || substring(text, cast(floor(n_chars / 3) AS int) + 1, cast(floor(n_chars / 3) AS int)) || chr(10)
           || '### Training' || chr(10)
           || substring(text, 2 * cast(floor(n_chars / 3) AS int) + 1) || chr(10)
-          || 'See [[Doc' || cast((doc_id * 7 + 1) % 1009 AS varchar(20)) || '#Training|more]] and [['
-          || lang || '/doc' || cast((doc_id * 11 + 3) % 907 AS varchar(20)) || ']].' || chr(10) AS body
+          || CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'See [[Doc'
+             || CASE WHEN floor(doc_id / 2) % 11 = 0 THEN 'less' ELSE cast(cast(floor(doc_id / 2) AS bigint) AS varchar(20)) END || '#Training|more]] and [['
+             || lang || '/doc' || CASE WHEN floor(doc_id / 3) % 11 = 0 THEN 'less' ELSE cast(cast(floor(doc_id / 3) AS bigint) AS varchar(20)) END || ']].' || chr(10) END AS body
         FROM documents""",
     "usage_src": """
         SELECT event_id, ts, user_id AS session_id,
@@ -35,7 +36,7 @@ VIEWS = {
           cast(floor(value) AS bigint) AS completion,
           value / 100 AS elapsed, event_id % 2 = 0 AS cacheable
         FROM events""",
-    "queries_src": "SELECT item_id AS query_id, substring(text, 1, 60) AS query FROM benchmark",
+    "queries_src": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "turns_src": """
         SELECT conv_id AS session_id, turn, text AS question, answer
         FROM (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer,
@@ -46,14 +47,14 @@ VIEWS = {
     "model_output_src": """
         SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'NONE' ELSE 'Noise' || chr(10) || 'ENTITY: '
           || split_part(replace(replace(text, chr(10), ' '), '|', ' '), ' ', 2) || ' | ' || upper(lang) || ' | '
-          || substring(replace(replace(text, chr(10), ' '), '|', ' '), 1, 40) END AS response
+          || replace(replace(text, chr(10), ' '), '|', ' ') END AS response
         FROM documents""",
     "select_output_src": """
-        SELECT item_id AS query_id, CASE item_id % 5
-          WHEN 0 THEN 'ok' || chr(10) || 'SELECT: n' || cast(item_id AS varchar(20)) WHEN 1 THEN 'DONE: why'
-          WHEN 2 THEN '```json' || chr(10) || '{"action": "select", "node_id": "n' || cast(item_id AS varchar(20)) || '"}' || chr(10) || '```'
-          WHEN 3 THEN 'x {"action": "DONE", "reason": "r"} y' ELSE 'garbage' END AS response
-        FROM benchmark""",
+        SELECT item_id AS query_id, t AS said, CASE item_id % 5
+          WHEN 0 THEN 'ok' || chr(10) || 'SELECT: ' || t WHEN 1 THEN 'DONE: ' || t
+          WHEN 2 THEN '```json' || chr(10) || '{"action": "select", "node_id": "' || t || '"}' || chr(10) || '```'
+          WHEN 3 THEN 'x {"action": "DONE", "reason": "' || t || '"} y' ELSE t END AS response
+        FROM (SELECT item_id, trim(replace(replace(replace(replace(replace(text, chr(10), ' '), chr(92), ' '), chr(34), ' '), chr(123), ' '), chr(125), ' ')) AS t FROM benchmark) b""",
 }
 TABLES = re.compile(r"\bFROM (documents|events|benchmark|conversations|labels|pages)\b")
 
@@ -122,7 +123,7 @@ DERIVED = {
         FROM model_output_src WHERE regexp_matches(response, '(?m)^ENTITY:\\s*(.+?)\\s*\\|\\s*(.+?)\\s*\\|\\s*(.+)$')""",
     "mentions": "SELECT lower(name) AS key, * FROM entities_raw WHERE name <> ''",
     "entities": """
-        SELECT key, arg_min(name, doc_id) AS name, arg_min(category, doc_id) AS category, arg_min(description, doc_id) AS first_description, count(*) AS n_mentions
+        SELECT key, arg_min(name, doc_id) AS name, arg_min(category, doc_id) AS category, arg_min(description, doc_id) AS first_description, count(*) AS n_mentions, min(doc_id) AS first_note
         FROM mentions GROUP BY key""",
     "diff": """
         SELECT coalesce(c.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN c.path IS NULL THEN 'deleted' ELSE 'modified' END AS kind

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import usage
+from ..operators.corpus import numbered
 
 
 def scan_notes(spark: SparkSession, root: str, vault: str = "main", folder: str | None = None) -> DataFrame:
@@ -25,10 +29,18 @@ def scan_notes(spark: SparkSession, root: str, vault: str = "main", folder: str
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, query): lines that are neither blank nor begin with ``#``, in the order of the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("k", "line"))
-    kept = lines.filter((tx.strip(F.col("line")) != "") & ~tx.strip(F.col("line")).startswith("#"))
-    return kept.select(F.row_number().over(Window.orderBy("k")).cast("long").alias("pos"), tx.strip(F.col("line")).alias("query"))
+    """(pos, query): lines that are neither blank nor begin with ``#``, in the order of the file.
+
+    The file is read in splits; where a line stands in it is told by its block's place and its row in the split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return query_lines(lines, "value", ["file", "block", "row"]).select("pos", tx.strip(F.col("value")).alias("query"))
+
+
+def query_lines(lines: DataFrame, line: str, order: list[str]) -> DataFrame:
+    """The lines that are queries, numbered from 1 in ``order`` as ``pos``."""
+    text = tx.strip(F.col(line))
+    return numbered(lines.filter((text != "") & ~text.startswith("#")), [], order, "pos", 1)
 
 
 def write_usage(events: DataFrame, path: str) -> None:
@@ -36,6 +48,24 @@ def write_usage(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("ts")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
 
 
+def retain_usage(spark: SparkSession, path: str, rollup_path: str, cutoff: date) -> int:
+    """Roll up the days of a log before the cutoff day, then drop their folders; how many days went.
+
+    The rollup is stored before anything is dropped, under the name of the cutoff, so a run that was cut off can be repeated.
+    """
+    log = spark.read.parquet(path)
+    old = log.filter(F.col("day") < F.lit(cutoff))  # prunes folders
+    days = [r[0] for r in old.select("day").distinct().collect()]  # a row a day
+    if days:
+        usage.rollup_daily(old.drop("day")).write.mode("overwrite").parquet(f"{rollup_path}/cutoff={cutoff}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for day in days:
+            store.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, f"day={day}"), True)
+        spark.catalog.refreshByPath(path)
+    return len(days)
+
+
 def clear_usage(spark: SparkSession, path: str) -> int:
     """Empty the log; how many events there were."""
     events = spark.read.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import changes
+from ..operators import changes, usage
 from ..sources.files import load_snapshot, write_snapshot
 from ..sources.tables import fresh_path
 
@@ -57,10 +58,79 @@ def stream_totals(events: DataFrame, path: str, checkpoint: str) -> None:
     drain(per, _append_to(path), checkpoint, "update")
 
 
-def stream_sessions(turns: DataFrame, path: str, checkpoint: str, ttl: str = "1 hour") -> None:
-    """Sessions by idle time: (session_id, start, last_active, turns), upserted."""
-    per = turns.withWatermark("ts", "365 days").groupBy("session_id", F.session_window("ts", ttl)).agg(F.count(F.lit(1)).alias("turns"), F.max("ts").alias("last_active"))
-    drain(per.select("session_id", F.col("session_window.start").alias("start"), "last_active", "turns"), _append_to(path), checkpoint)
+SESSION = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("start", T.TimestampType()), T.StructField("last_active", T.TimestampType()), T.StructField("turns", T.LongType())])
+SESSION_STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("last", T.LongType()), T.StructField("turns", T.LongType())])
+
+
+def stream_sessions(turns: DataFrame, path: str, checkpoint: str, ttl_seconds: int = 3600) -> None:
+    """Sessions by idle time: (session_id, start, last_active, turns), upserted by id and start as they grow.
+
+    The state of an id is its last session, and goes once the watermark is past its end. A turn that is later than the
+    watermark allows is dropped; one that is older than its id's last session is a session of its own.
+    """
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        gap, told = ttl_seconds * 1_000_000, {}
+        start, last, n = state.get if state.exists else (None, None, 0)
+        times = sorted(int(t.value // 1000) for part in parts for t in part["ts"])
+        for t in times:
+            if start is not None and start - gap <= t <= last + gap:
+                if t < start:
+                    told.pop(start, None)
+                start, last, n = min(start, t), max(last, t), n + 1
+            elif start is not None and t < start:
+                told[t] = (t, told.get(t, (0, 0))[1] + 1)
+                continue
+            else:
+                start, last, n = t, t, 1
+            told[start] = (last, n)
+        state.update((start, last, n))
+        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        at = lambda x: pd.Timestamp(x * 1000)
+        yield pd.DataFrame({"session_id": [key[0]] * len(told), "start": [at(x) for x in told], "last_active": [at(x) for x, _ in told.values()], "turns": [k for _, k in told.values()]})
+
+    rows = turns.select("session_id", "ts").withWatermark("ts", f"{ttl_seconds} seconds")
+    per = rows.groupBy("session_id").applyInPandasWithState(fold, SESSION, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    drain(per, _append_to(path), checkpoint, "update")
+
+
+def follow(events: DataFrame, path: str, checkpoint: str, log: DataFrame | None = None, backfill: int = 0, most: int | None = None, seconds: float | None = None, heartbeat: float = 15.0) -> int:
+    """Tail a log to a table of (kind, event_id, ts, phase, prompt, completion): how many new events came.
+
+    First the last ``backfill`` events of ``log``, oldest first, then new ones as they come, until ``most`` have passed or
+    ``seconds`` are over. After ``heartbeat`` seconds without any, a row of that kind says that the tail is alive.
+    """
+    kept = ["event_id", "ts", "phase", "prompt", "completion"]
+    put = lambda rows, kind, name: rows.select(F.lit(kind).alias("kind"), *kept).write.mode("overwrite").parquet(f"{path}/n={name}")
+    if log is not None and backfill:
+        put(usage.recent_events(log, backfill).orderBy("ts", "event_id"), "backfill", "backfill")
+    passed: dict[int, int] = {}
+
+    def sink(batch: DataFrame, n: int) -> None:
+        left = None if most is None else most - sum(k for b, k in passed.items() if b != n)
+        some = batch if left is None else batch.orderBy("ts", "event_id").limit(max(0, left))
+        put(some, "new", f"{n:09d}")
+        passed[n] = batch.sparkSession.read.parquet(f"{path}/n={n:09d}").count()
+
+    query = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(processingTime="1 second").start()
+    began = spoke = time.monotonic()
+    seen = beats = 0
+    try:
+        while not query.awaitTermination(0.5):
+            now, count = time.monotonic(), sum(passed.values())
+            if count > seen:
+                seen, spoke = count, now
+            if (most is not None and count >= most) or (seconds is not None and now - began >= seconds):
+                break
+            if now - spoke >= heartbeat:
+                spoke, beats = now, beats + 1
+                put(events.sparkSession.range(1).select(*[(F.current_timestamp() if c == "ts" else F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in kept]), "heartbeat", f"beat{beats:09d}")
+    finally:
+        query.stop()
+    return sum(passed.values())
 
 
 HISTORY = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("last_question", T.StringType()), T.StructField("error", T.StringType())])
@@ -103,9 +173,24 @@ def watch_changes(spark: SparkSession, listing: DataFrame, path: str, snapshot_i
 
 
 def watch_rebuild(spark: SparkSession, path: str, checkpoint: str, rebuild: Callable[[DataFrame], DataFrame], into: str) -> None:
-    """Hand each new change set to ``rebuild`` (touched paths in, derived rows out) and store what it makes."""
+    """Hand each new change set to ``rebuild`` (touched paths in, derived rows with their path out) and store what it makes, and which paths changed at all."""
     stream = spark.readStream.schema("path long, kind string").option("recursiveFileLookup", "true").parquet(f"{path}/changes")
-    drain(stream, lambda batch, n: _append_to(into)(rebuild(batch.filter("kind <> 'deleted'").select("path").distinct()), n), checkpoint)
+
+    def sink(batch: DataFrame, n: int) -> None:
+        # several polls may come in one batch: a path is gone if its last change says so, and that is the snapshot's to tell
+        there = load_snapshot(spark, f"{path}/snapshots").select("path")
+        touched = batch.select("path").distinct()
+        made = rebuild(touched.join(there, "path", "left_semi")).withColumn("changed", F.lit(False))
+        marks = touched.withColumn("changed", F.lit(True))
+        _append_to(into)(made.unionByName(marks, allowMissingColumns=True), n)
+
+    drain(stream, sink, checkpoint)
+
+
+def current(table: DataFrame, key: str) -> DataFrame:
+    """The rows that `watch_rebuild` made of each path when it last changed; none of paths that went."""
+    last = table.filter("changed").groupBy(key).agg(F.max("batch").alias("batch"))
+    return table.filter(~F.col("changed")).join(last, [key, "batch"], "left_semi").drop("changed", "batch", "n")
 
 
 def streamed(spark: SparkSession, run: Callable[[str, str], None]) -> DataFrame:
