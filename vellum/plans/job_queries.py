@@ -127,7 +127,16 @@ def section_rows(spark, sf):
     return sections.section_texts(kept, raw_notes(spark, sf))
 
 
-@query()
+SECTION = sql_prompt("section_summary", {"note": "note", "title": "title", "content": "body"})
+
+
+@query(f"""WITH r AS (SELECT t.vault, t.node_id, t.note_title AS note, t.title, t.seq, t.kept_seq, t.start_line, coalesce(min(o.start_line), t.n_lines + 1) AS end_line
+    FROM thinned t LEFT JOIN thinned o ON o.vault = t.vault AND o.node_id = t.node_id AND o.seq > t.seq AND o.level <= t.level
+    GROUP BY t.vault, t.node_id, t.note_title, t.title, t.seq, t.kept_seq, t.start_line, t.n_lines),
+  x AS (SELECT r.vault, r.node_id || '#' || lpad(kept_seq::VARCHAR, 4, '0') AS section_id, note, r.title, string_agg(l.line, chr(10) ORDER BY l.line_no) AS body
+    FROM r JOIN lines l ON l.vault = r.vault AND l.node_id = r.node_id AND l.line_no >= r.start_line AND l.line_no < r.end_line GROUP BY r.vault, r.node_id, kept_seq, note, r.title),
+  f AS (SELECT *, coalesce(list_filter(list_transform(string_split(body, chr(10)), lambda y: trim(y)), lambda y: y <> '' AND NOT starts_with(y, '#'))[1], '') AS s FROM x)
+  SELECT vault, section_id, CASE WHEN length(body) // 3 >= 200 THEN trim({echo(SECTION)}, ' ' || chr(10) || chr(34) || chr(39)) WHEN length(s) > 160 THEN rtrim(substring(s, 1, 160)) || '…' ELSE s END AS summary FROM f""")
 def summarize_sections(spark, sf):
     return enrich.summarize_sections(section_rows(spark, sf))[0]
 
@@ -173,7 +182,9 @@ def walk_inputs(spark, sf):
     raw = notes(spark, sf).withColumn("summary", tx.fallback_summary(F.regexp_replace("body", r"(?s)\A---\n.*?\n---\n", "")))
     raw = stored(raw, "notes")
     found = links.resolve_links(links.note_links(raw), raw).filter("vault = target_vault").select("vault", "source_id", "pos", "raw_target", "target_id")
-    return stored(nav.build_nodes(raw), "nodes"), stored(found, "edges")
+    long = corpus.filter_tier(raw, "long")
+    texts = sections.section_texts(sections.section_ranges(sections.thin_sections(sections.section_tree(long))), long)
+    return stored(nav.build_nodes(raw, texts), "nodes"), stored(found, "edges")
 
 
 def asked(spark, sf):
