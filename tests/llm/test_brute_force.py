@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -227,6 +228,18 @@ def test_lm_scoring(spark, sf, docs, monkeypatch):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(i) % 10 == 0, len(ts), sum(c[t] > 0 for t in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts))
+    # runs after picked pairs of words: how often each stands in training documents
+    places, after = {}, defaultdict(Counter)
+    for i, ts in tokens.items():
+        names = sorted(set(ts[:-1]))
+        at, long, _, _ = lm.anchors(pa.array(names, pa.string()), np.array([names.index(w) for w in ts[:-1]], dtype=np.int32), np.array([len(ts) - 1]))
+        places[i] = [(tuple(ts[a - 2 : a]), a, tuple(ts[a : a + k])) for a, k in zip(at.tolist(), long.tolist(), strict=True)]
+        assert all(len(r) == lm.RUN or r[-1] is None for _, _, r in places[i]) and all(b - a >= len(r) for (_, a, r), (_, b, _) in zip(places[i], places[i][1:], strict=False))
+        if crc(i) % 10:
+            for pair, _, r in places[i]:
+                after[pair][r] += 1
+    assert sum(map(len, places.values())) > sum(map(len, tokens.values())) / lm.MEMORY / 2
+    recalled = 0
     (model,) = models
     p = {k: x.astype(float) for k, x in model.p.items()}
     with open(lm.TOKENIZER, "rb") as f:
@@ -250,13 +263,20 @@ def test_lm_scoring(spark, sf, docs, monkeypatch):
             y -= np.log(np.exp(y).sum())
             log.append(y[model.group[model.of_id[x]]] + model.in_class[x])
             begun.append(np.log(np.exp(y[model.begins]).sum()))
-        want, at = 0.0, 0
+        each, at = [], 0
         for w, part in zip(ts, parts, strict=True):
             own = sum(log[at : at + len(part)]) - begun[at]
             at += len(part)
             own += begun[at] if w is not None else 0
-            want += math.log10((1 - lm.MIX) * math.exp(own) + lm.MIX * c[w] / n)
+            each.append(math.log10((1 - lm.MIX) * math.exp(own) + lm.MIX * c[w] / n))
+        want = sum(each)
+        for pair, at, r in places[i]:
+            often, plain = after[pair], sum(each[at : at + len(r)])
+            if sum(often.values()) > len(often):
+                recalled += often[r] > 1
+                want += math.log10(max(often[r] - 1, 0) / sum(often.values()) + len(often) / sum(often.values()) * 10**plain) - plain
         assert got[i].score == pytest.approx(want, rel=1e-3), i
+    assert recalled
     # better on held-out texts than unigram counts of the same subwords
     ids = {i: [*cut(ts[:-1])[0]] for i, ts in tokens.items()}
     c = Counter(x for i, t in ids.items() if crc(i) % 10 for x in t)
