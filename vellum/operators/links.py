@@ -93,14 +93,14 @@ def link_totals(links: DataFrame, notes: DataFrame, count_paths: bool = False) -
     place = ["vault", "source_id", "pos"]
     bare = _keyed(links.filter(plain)).join(title_counts(notes), "key", "left").withColumn("n", F.coalesce("n_notes", F.lit(0).cast("long"))).select(*place, "key", "n")
     paths = resolve_links(links.filter(~plain), notes).groupBy(*place, tx.normalize_title(F.col("raw_target")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    n_paths = links.filter(~plain).agg(F.count(F.lit(1)).alias("n_paths"))
+    n_paths = links.filter(~plain).agg(F.count(F.lit(1)))
     many = bare.unionByName(paths) if count_paths else bare
-    pairs = many.filter("n > 1").select("vault", "source_id", "key").distinct().agg(F.count(F.lit(1)).alias("ambiguous"))
+    pairs = many.filter("n > 1").select("vault", "source_id", "key").distinct().agg(F.count(F.lit(1)))
     zero = F.lit(0).cast("long")
-    by_title = bare.agg(F.coalesce(F.sum("n"), zero).alias("a"), F.count_if(F.col("n") == 0).alias("b"))
-    by_path = paths.agg(F.coalesce(F.sum("n"), zero).alias("c"), F.count(F.lit(1)).alias("d"))
-    one = by_title.crossJoin(by_path).crossJoin(n_paths).crossJoin(pairs)  # one row each
-    return one.select((F.col("a") + F.col("c")).alias("resolved"), (F.col("b") + F.col("n_paths") - F.col("d")).alias("dangling"), "ambiguous")
+    by_title = bare.agg(F.coalesce(F.sum("n"), zero).alias("edges"), F.count_if(F.col("n") == 0).alias("none"))
+    by_path = paths.agg(F.struct(F.coalesce(F.sum("n"), zero).alias("edges"), F.count(F.lit(1)).alias("found")).alias("s"))
+    told = by_title.select("edges", "none", by_path.scalar().alias("p"), n_paths.scalar().alias("n_paths"), pairs.scalar().alias("ambiguous"))
+    return told.select((F.col("edges") + F.col("p.edges")).alias("resolved"), (F.col("none") + F.col("n_paths") - F.col("p.found")).alias("dangling"), "ambiguous")
 
 
 def top_linked(resolved: DataFrame, top: int = 10) -> DataFrame:

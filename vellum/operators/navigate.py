@@ -292,7 +292,8 @@ def answer_vaults(queries: DataFrame, vaults: DataFrame, nodes: DataFrame, edges
     """
     vaults = vaults.filter(F.col("vault").isin(*only)) if only else vaults
     vaults = vaults.filter(~F.col("vault").isin(*exclude)) if exclude else vaults
-    asked = queries.select("query_id", "query").crossJoin(F.broadcast(vaults.select("pos", "vault")))  # every query is meant to meet every vault
+    every = vaults.agg(F.collect_list(F.struct("pos", "vault"))).scalar()  # vaults are few: every query meets every one of them
+    asked = queries.select("query_id", "query", F.explode(every).alias("v")).select("query_id", "query", "v.*")
     walks = stored(navigate(asked.select(*KEY, "query"), nodes, edges, policy, **options), "walks")
     said = answers(walks, nodes, model_fn, lang, options.get("max_tokens"))
     told = asked.join(said, KEY).join(walks.select(*KEY, "steps"), KEY)

@@ -165,9 +165,3 @@ def sessions(turns: DataFrame, ttl: str = "1 hour") -> DataFrame:
     """Sessions that end after more than an hour without a turn: (session_id, start, end, turns). A gap of exactly an hour goes on."""
     got = turns.groupBy("session_id", F.session_window("ts", ttl)).agg(F.count(F.lit(1)).alias("turns"), F.max("ts").alias("last_active"))
     return got.select("session_id", F.col("session_window.start").alias("start"), "last_active", "turns")
-
-
-def retention(events: DataFrame, cutoff: date) -> tuple[DataFrame, DataFrame]:
-    """(rollup of the days before the cutoff day, events from it on). The cutoff is a midnight, so no day is split."""
-    old = events.filter(F.col("ts") < F.lit(cutoff).cast("timestamp"))
-    return rollup_daily(old), events.filter(F.col("ts") >= F.lit(cutoff).cast("timestamp"))
