@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, langid, lm, mixing, secrets, sharding, simhash, warc
+from . import chat, decontamination, exact_dedup, langid, lm, mixing, phrases, secrets, sharding, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_exact_dedup": op2_exact_dedup,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_phrases": op11_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,4 +123,29 @@ ORACLES: dict[str, str] = {
         FROM s d JOIN s b ON d.s = b.s AND d.side = 0 AND b.side = 1 JOIN n ON n.id = b.id
         GROUP BY d.id, b.id, n_shingles HAVING count(*) >= 0.8 * n_shingles
     """,
+    "op11_phrases": r"""
+        WITH p AS (
+          SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws
+          FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+        ), c AS MATERIALIZED (
+          SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a
+          FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p), (VALUES (1), (2), (3)) AS v(m)
+          WHERE i + m - 1 <= len(ws) GROUP BY lang, m, phrase
+        ), x AS MATERIALIZED (
+          SELECT lang, m, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:m], ' ') AS rp
+          FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS cut FROM c WHERE m > 1 AND a >= 10)
+        ), k AS (
+          SELECT x.*, l.a AS l, r.a AS r, (1000000::HUGEINT * x.a * x.a // (l.a::HUGEINT * r.a))::BIGINT AS score
+          FROM x JOIN c l ON l.lang = x.lang AND l.phrase = x.lp JOIN c r ON r.lang = x.lang AND r.phrase = x.rp
+        ), gone AS (
+          SELECT DISTINCT s.lang, s.phrase FROM (SELECT lang, a, unnest([lp, rp]) AS phrase FROM x WHERE m = 3) t
+          JOIN c s ON s.lang = t.lang AND s.phrase = t.phrase WHERE s.m = 2 AND 100 * t.a >= 50 * s.a
+        ), o AS (
+          SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+          FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM k)
+          JOIN (SELECT lang, sum(a)::BIGINT AS n FROM c WHERE m = 1 GROUP BY lang) USING (lang)
+          ANTI JOIN gone USING (lang, phrase) WHERE best = 1
+        )
+        SELECT * FROM o WHERE rank <= 2000
+    """,
 }
