@@ -32,7 +32,7 @@ from .common import materialize
 LEAST, COVERED = 10, 50
 #: Scores are rounded down to this part of one.
 UNIT = 1_000_000
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 12_000_000
 #: A first level lets in so many times the phrases asked for, each further one LOWER times as many.
 FIRST, LOWER = 2, 8
 #: Bits a node in a bitmap, and the fewest and most that one has (the most are 32 MB).
