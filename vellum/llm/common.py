@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import fresh_path
@@ -57,3 +59,27 @@ def attach(rows: DataFrame, stats: DataFrame, key: str, weight: str, n_rows: int
     there = seen.filter(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col("_hot")[c].alias(c) for c in added])
     rest = seen.filter(F.col("_hot").isNull()).select(*rows.columns).join(cold, key, "left").select(*rows.columns, *added)
     return there.unionByName(rest)
+
+
+def tokenizer_path(given: str | None, name: str) -> str:
+    """Where a tokenizer's file is: as given, else the installed package of public vocabularies."""
+    if given:
+        return given
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError as e:
+        raise FileNotFoundError(f"no package of tokenizers is installed here: name the file {name}") from e
+    return public_tokenizers.path(name)
+
+
+def share_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Put a file of bounded size into the shared folder and hand it to every executor, later ones too; tasks find it with ``SparkFiles.get``."""
+    path = fresh_path(spark, f"{name}-{uuid.uuid4().hex}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path)
+    return path.rpartition("/")[2]
