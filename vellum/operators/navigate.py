@@ -1,10 +1,11 @@
 """Bounded multi-hop retrieval for tables of queries over the tree of notes and the link graph.
 
-A state row per query and vault moves through at most five steps. In a step it meets the children of its
-cursor and its cross-references, which are scored where they stand; a policy picks one of them, or ends the
-walk; a picked note is loaded and judged. The built-in policy is made of expressions, and its best candidate is
-an aggregate that combines before it shuffles. The model's policy asks in batches on the executors, and shows a
-bounded number of candidates. A walk's state is stored after each step.
+A state row per query and vault moves through at most five steps. In a step it looks at the children of its
+cursor and at its cross-references; a policy picks one of them, or ends the walk; a picked note is loaded and
+judged. The built-in policy is made of expressions: an inverted index tells it which children share a token with
+the query, no others are met, and its best candidate is an aggregate that combines before it shuffles. The
+model's policy asks in batches on the executors, and shows a bounded number of candidates. A walk's state is
+stored after each step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..functions import responses as rs
 from ..functions import text as tx
 from ..sources.tables import stored
 from . import corpus, enrich, prompts
-from .ranking import DIGITS, K1, SHORT, rerank_citations
+from .ranking import DIGITS, K1, MOST_TOKENS, SHORT, rerank_citations
 
 # Fixed values of the walk.
 MOST_STEPS, MOST_GATHERED, CHARS_PER_NOTE, PATH_SHOWN = 5, 4, 1000, 3
@@ -53,6 +54,33 @@ def _score(asked: Column, has: Column) -> Column:
     return F.when(hits > 0, hits + F.greatest(F.lit(0.0), 1 - F.size(has) / SHORT)).otherwise(0.0)
 
 
+@dataclass
+class Tree:
+    """Nodes made ready for a table of walks.
+
+    ``slim`` has no contents. ``postings`` are (vault, parent_id, token, tf) with the node that has the token, for the
+    tokens that some query asks. ``firsts`` are the first children of each node, as many as a walk can have visited and one.
+    """
+
+    slim: DataFrame
+    postings: DataFrame
+    firsts: DataFrame
+    contents: DataFrame
+    edges: DataFrame | None
+
+
+def index_nodes(nodes: DataFrame, edges: DataFrame | None, state: DataFrame, steps: int) -> Tree:
+    slim = stored(nodes.select("vault", "node_id", "parent_id", "place", "kind", "title", "summary", "has_children", tx.tokenize(F.concat_ws(" ", "title", "summary")).alias("has")), "slim_nodes")
+    tokens = stored(state.select(F.explode("asked").alias("token")).distinct(), "asked_tokens")
+    put = F.broadcast if tokens.count() <= MOST_TOKENS else lambda df: df
+    shown = ["node_id", "place", "kind", "has_children", "title"]
+    each = slim.select("vault", "parent_id", *shown, F.size("has").alias("len"), F.explode("has").alias("token")).join(put(tokens), "token", "left_semi")
+    postings = stored(each.groupBy("vault", "parent_id", "token", *shown, "len").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    rank = F.row_number().over(Window.partitionBy("vault", "parent_id").orderBy("place"))  # its limit is applied before the shuffle
+    firsts = slim.withColumn("_n", rank).filter(F.col("_n") <= steps).groupBy("vault", "parent_id").agg(F.sort_array(F.collect_list(F.struct("place", *[c for c in shown if c != "place"]))).alias("first_children"))
+    return Tree(slim, postings, stored(firsts, "firsts"), nodes.select("vault", "node_id", "content"), edges)
+
+
 # Policies: choose() has a row for each walk with candidates, judge() for each loaded note.
 
 
@@ -62,11 +90,25 @@ class Overlap:
 
     enough: float = ENOUGH
 
-    def choose(self, scored: DataFrame, look: DataFrame) -> DataFrame:
+    def choose(self, look: DataFrame, tree: Tree, reuse_context: bool) -> DataFrame:
+        word = F.explode(F.transform(F.array_distinct("asked"), lambda t: F.struct(t.alias("token"), F.size(F.filter("asked", lambda x: x == t)).alias("n"))))
+        want = look.select(*KEY, F.col("cursor").alias("parent_id"), "visited", word.alias("w")).select("*", "w.*")
+        hits = want.join(tree.postings, ["vault", "parent_id", "token"]).filter(~F.array_contains("visited", F.col("node_id")))
+        part = F.sum(F.col("n") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1))
+        node = ["node_id", "kind", "has_children", "title"]
+        hits = hits.groupBy(*KEY, "place", *node, "len").agg(part.alias("score"))
+        hits = hits.select(*KEY, "place", *node, (F.col("score") + F.greatest(F.lit(0.0), 1 - F.col("len") / SHORT)).alias("score"))
+        refs = references(look, tree.slim).withColumn("score", _score(F.col("asked"), F.col("has")))
+        both = hits.unionByName(refs.select(*KEY, "place", *node, "score"))
         order = F.struct(-F.round("score", DIGITS), F.col("place"))
-        best = scored.groupBy(*KEY).agg(F.min_by(F.struct("node_id", "kind", "has_children", "title"), order).alias("pick"), F.max("score").alias("score"))
+        best = both.groupBy(*KEY).agg(F.min_by(F.struct(*node), order).alias("best"), F.max("score").alias("score"))
+        left = F.get(F.filter("first_children", lambda c: ~F.array_contains("visited", c["node_id"])), F.lit(0))
+        first = F.struct(*[left[c].alias(c) for c in node])
+        told = look.select(*KEY, F.col("cursor").alias("parent_id"), "visited").join(tree.firsts, ["vault", "parent_id"], "left").join(best, KEY, "left")
+        hit = F.col("score") > 0
+        told = told.select(*KEY, F.when(hit, F.col("best")).when(left.isNotNull(), first).otherwise(F.col("best")).alias("pick"), F.coalesce(hit, F.lit(False)).alias("hit"))
         none = F.lit(None).cast("string")
-        return best.select(*KEY, "pick", F.when(F.col("score") > 0, "SELECT").otherwise("DONE").alias("action"), F.when(F.col("score") > 0, F.col("pick.node_id")).alias("value"), none.alias("pick_error"), F.array().cast("array<string>").alias("listed"), F.lit(0).cast("long").alias("used"))
+        return told.filter("pick IS NOT NULL").select(*KEY, "pick", F.when(F.col("hit"), "SELECT").otherwise("DONE").alias("action"), F.when(F.col("hit"), F.col("pick.node_id")).alias("value"), none.alias("pick_error"), F.array().cast("array<string>").alias("listed"), F.lit(0).cast("long").alias("used"))
 
     def judge(self, loaded: DataFrame) -> DataFrame:
         got = F.array_intersect(F.array_distinct("asked"), tx.tokenize(F.col("content")))
@@ -93,7 +135,8 @@ class Model:
     def ask(self, rows: DataFrame, phase: str) -> DataFrame:
         return stored(enrich.ask(rows, self.model_fn, phase, KEY, self.retries, self.strict), phase).select(*KEY, "response", "error", (F.col("prompt") + F.col("completion")).alias("used"))
 
-    def choose(self, scored: DataFrame, look: DataFrame) -> DataFrame:
+    def choose(self, look: DataFrame, tree: Tree, reuse_context: bool) -> DataFrame:
+        scored = candidates(look, tree.slim, reuse_context)
         rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(-F.round("score", DIGITS), "place"))
         none = F.lit(None).cast("string")
         line = tx.candidate_line(F.col("kind"), F.lit(None).cast("long"), F.array().cast("array<string>"), none, F.col("label"), F.col("title"), F.col("summary"), F.col("node_id"))
@@ -133,16 +176,22 @@ def start(queries: DataFrame) -> DataFrame:
     )
 
 
+def references(look: DataFrame, slim: DataFrame) -> DataFrame:
+    """The unvisited cross-references of each walk that are not children of its cursor, placed after these."""
+    refs = look.select(*KEY, "asked", "visited", "cursor", "shown", F.explode("xref").alias("x")).select("*", "x.node_id", "x.label")
+    refs = refs.filter(~F.array_contains("visited", F.col("node_id"))).join(slim, ["vault", "node_id"]).filter(F.coalesce(F.col("parent_id") != F.col("cursor"), F.lit(True)))
+    return refs.withColumn("place", F.concat(F.lit("2"), "place"))
+
+
 def candidates(look: DataFrame, slim: DataFrame, reuse_context: bool) -> DataFrame:
-    """What each walk may go to: unvisited children of its cursor, then its cross-references that are not among them, scored against the query.
+    """All that each walk may go to, for a prompt that shows it: unvisited children of its cursor, then its cross-references, scored against the query where they stand.
 
     With ``reuse_context`` those already shown are left out, unless none would be left.
     """
+    look = look.select(*KEY, "asked", "cursor", "visited", "xref", "shown")
     carried = [*KEY, "asked", "node_id", "place", "kind", "title", "summary", "has_children", "has", "label", "shown"]
     below = look.join(slim.withColumnRenamed("parent_id", "cursor"), ["vault", "cursor"]).withColumn("label", F.lit(None).cast("string")).filter(~F.array_contains("visited", F.col("node_id")))
-    refs = look.select(*KEY, "asked", "visited", "cursor", "shown", F.explode("xref").alias("x")).select("*", "x.node_id", "x.label")
-    refs = refs.filter(~F.array_contains("visited", F.col("node_id"))).join(slim, ["vault", "node_id"]).filter(F.coalesce(F.col("parent_id") != F.col("cursor"), F.lit(True)))
-    both = below.select(*carried).unionByName(refs.withColumn("place", F.concat(F.lit("2"), "place")).select(*carried))
+    both = below.select(*carried).unionByName(references(look, slim).select(*carried))
     both = both.withColumn("score", _score(F.col("asked"), F.col("has")))
     if reuse_context:
         old = F.array_contains("shown", F.col("node_id"))
@@ -160,7 +209,7 @@ def new_references(told: DataFrame, edges: DataFrame) -> DataFrame:
     return near.withColumn("links", F.transform("links", lambda x: F.struct(x["node_id"].alias("node_id"), x["label"].alias("label"))))
 
 
-def step(state: DataFrame, slim: DataFrame, contents: DataFrame, edges: DataFrame | None, policy: Overlap | Model, max_tokens: int | None = None, gathered: int = MOST_GATHERED, reuse_context: bool = False) -> DataFrame:
+def step(state: DataFrame, tree: Tree, policy: Overlap | Model, max_tokens: int | None = None, gathered: int = MOST_GATHERED, reuse_context: bool = False) -> DataFrame:
     """One step of every open walk: pick, then enter a folder or a note with sections, or load a note and judge whether it is enough."""
     going = ~F.col("done") & (F.size("cited") < gathered)
     broke = F.col("tokens") >= max_tokens if max_tokens is not None else F.lit(False)
@@ -168,16 +217,16 @@ def step(state: DataFrame, slim: DataFrame, contents: DataFrame, edges: DataFram
     if reuse_context:
         last = F.concat(F.array(F.lit("…")), F.slice("path", F.greatest(F.size("path") - PATH_SHOWN + 1, F.lit(1)), F.lit(PATH_SHOWN)))
         look = look.withColumn("path", F.when(F.size("path") > PATH_SHOWN, last).otherwise(F.col("path")))
-    scored = candidates(look.select(*KEY, "asked", "cursor", "visited", "xref", "shown"), slim, reuse_context)
-    told = stored(state.join(policy.choose(scored, look), KEY, "left"), "picks")
+    told = stored(state.join(policy.choose(look, tree, reuse_context), KEY, "left"), "picks")
     stuck, picked = F.col("action").isNull(), F.coalesce((F.col("action") == "SELECT") & F.col("pick.node_id").isNotNull(), F.lit(False))
     deeper = F.coalesce((F.col("pick.kind") == "folder") | ((F.col("pick.kind") == "note") & F.col("pick.has_children")), F.lit(False))
-    text = contents.select("vault", F.col("node_id").alias("picked_id"), F.coalesce("content", F.lit("")).alias("content"))
+    text = tree.contents.select("vault", F.col("node_id").alias("picked_id"), F.coalesce("content", F.lit("")).alias("content"))
     loaded = told.filter(picked & ~deeper).select(*KEY, "query", "asked", "covered", F.col("pick.title").alias("title"), F.col("pick.node_id").alias("picked_id")).join(text, ["vault", "picked_id"])
     judged = policy.judge(loaded.filter(tx.strip(F.col("content")) != "")).select(*KEY, "verdict", F.col("covered").alias("now"), F.col("used").alias("judge_used"))
-    told = stored(told.join(judged, KEY, "left"), "judged")
-    if edges is not None:
-        told = told.join(new_references(told.filter(F.col("verdict").isin("sufficient", "insufficient")), edges), KEY, "left")
+    found = new_references(told.filter(picked & ~deeper), tree.edges) if tree.edges is not None else None
+    told = told.join(judged, KEY, "left")
+    if found is not None:  # a verdict that cannot be read follows no links
+        told = told.join(found, KEY, "left").withColumn("links", F.when(F.col("verdict").isin("sufficient", "insufficient"), F.col("links")))
     else:
         told = told.withColumn("links", F.lit(None).cast("array<struct<node_id: string, label: string>>"))
 
@@ -225,11 +274,10 @@ def navigate(queries: DataFrame, nodes: DataFrame, edges: DataFrame | None = Non
     further step. Each step's state is stored, so plans stay short and no model is asked twice.
     """
     policy = policy or Overlap()
-    slim = stored(nodes.select("vault", "node_id", "parent_id", "place", "kind", "title", "summary", "has_children", tx.tokenize(F.concat_ws(" ", "title", "summary")).alias("has")), "slim_nodes")
-    contents = nodes.select("vault", "node_id", "content")
-    state = start(queries)
+    state = stored(start(queries), "walk")
+    tree = index_nodes(nodes, edges, state, steps)
     for _ in range(steps):
-        state = stored(step(state, slim, contents, edges, policy, max_tokens, gathered, reuse_context), "walk")
+        state = stored(step(state, tree, policy, max_tokens, gathered, reuse_context), "walk")
         if state.filter(~F.col("done") & (F.size("cited") < gathered)).isEmpty():
             break
     read = state.select(*KEY, "query", F.posexplode("cited").alias("position", "node_id")).join(nodes.select("vault", "node_id", "title", "content"), ["vault", "node_id"])
