@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vellum.llm import langid, lm, queries, secrets, simhash
 
@@ -135,8 +136,15 @@ def test_secrets(spark, sf, docs):
 
 def test_secret_ownership(spark):
     """Spans that only look random, and how far each value has spread, by plain loops over a table with such values."""
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    rng = random.Random(4)
+    value = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789+/_-") for _ in range(rng.randint(20, 40)))
+    one, two, three, five, six = (value() + "7x" for _ in range(5))
+    rows = [(one, "en", "s0")] * 7 + [(two, "en", f"s{i % 2}") for i in range(6)] + [(three, "en", f"s{i}") for i in range(3)]
+    rows += [(five, f"l{i % 5}", "s0") for i in range(10)] + [(six, f"l{i}", "s0") for i in range(6)]
+    rows += [(rng.choice([one, three, six, value()]) + " " + rng.choice([two, five, value(), "f" * 30]), rng.choice([None, "en", "l1"]), rng.choice([None, "s0", "s1", "s5"])) for _ in range(300)]
+    rows += [(f'api_key = "{rng.choice([two, three, "abcdef123"])}" {"a1" * 13} AKIA{"Z9" * 9}', "en", f"s{i}") for i in range(8)] + [("1" * 30, "en", "s0"), (None, None, None)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+    docs, got = table.collect(), {r.doc_id: r for r in secrets.find_secrets(table).collect()}
     owners, repos, found = defaultdict(set), defaultdict(set), {}
     kinds = [("assign", secrets.ASSIGN, 6), ("access", secrets.ACCESS, 20), ("hex", secrets.HEX, 24)]
     for d in docs:
@@ -160,7 +168,10 @@ def test_secret_ownership(spark):
         assert got[i].spans == ",".join(f"{names[k]}:{a}:{b}" for a, k, b, _ in kept)
         assert got[i].reach == ",".join(f"{len(owners[v])}:{len(repos[v])}" for *_, v in kept)
         assert (got[i].n_example, got[i].n_live) == (sum(example(v) for *_, v in kept), sum(len(owners[v]) == 1 and not example(v) for *_, v in kept))
-    assert seen["assign"] and 0 < seen["random"] < 80
+    # one owner, two owners or five repositories are reported; three owners and six repositories are not
+    alone = secrets.find_secrets(table.filter(F.col("doc_id") < 32)).collect()
+    assert Counter((r.spans.startswith("random"), r.reach) for r in alone) == {(True, "1:1"): 7, (True, "2:2"): 6, (True, "1:5"): 10, (False, ""): 3 + 6}
+    assert seen["assign"] and seen["random"] and seen["hex"] and seen["access"]
 
 
 def test_warc(spark, sf):
