@@ -69,10 +69,12 @@ def test_units_of_every_character(library, merges):
 
 def test_merging_words_against_the_library(library, merges):
     rng = random.Random(5)
-    for n in (1, 2, 5, 20, 400):
-        for _ in range(60):
-            word = "".join(rng.choice("aetinosrhl" if rng.random() < 0.7 else "zqé京ß") for _ in range(n))
-            assert merges.merge(word.encode()) == library.encode(word, add_special_tokens=False).ids
+    words = ["".join(rng.choice("aetinosrhl" if rng.random() < 0.7 else "zqé京ß") for _ in range(n)) for n in (1, 2, 5, 7, 8, 9, 20, 33, 400) for _ in range(60)]
+    want = [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert [merges.merge(w.encode()) for w in words] == want
+    ids, sizes = merges.merge_all([b"", *(w.encode() for w in words)])
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [0, *map(len, want)]
+    assert merges.merge_all([])[1].tolist() == []
 
 
 def test_lexicon_finds_what_it_was_given_and_nothing_else(tmp_path):

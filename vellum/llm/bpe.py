@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,11 @@ TOKENIZER = "byte_bpe_50k.json"
 #: The lexicon has at most so many words, the most frequent ones. Others are merged one by one.
 LEXICON_WORDS = 1 << 16
 SLICE_BYTES = 8_000_000
+# The pattern of byte-level pre-tokenizers, and a bound of code points below which all versions of Unicode class characters alike.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SETTLED = "\u0250"
+#: Words of at most so many bytes are merged together, as rows of matrices of these widths; longer ones one by one.
+WIDTHS = (8, 16, 32, 64)
 #: A task hands on its counts of words when it has so many different ones.
 COUNTED = 400_000
 
@@ -67,7 +73,12 @@ class Merges:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
-        self._split = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str
+        keys = np.array(list(self.merges), np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.arange(len(keys), dtype=np.int32)[order]
+        self.joined = np.array([i for _, i in self.merges.values()], np.int32)  # by rank
+        self._slow = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str
+        self._fast = regex.compile(PATTERN).findall
         self.flat, self.sizes = np.frombuffer(b"".join(self.pieces), np.uint8), np.array(list(map(len, self.pieces)), np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
 
@@ -80,13 +91,76 @@ class Merges:
     def words(self, unit: str) -> list[bytes | int]:
         """The words of a unit, and ids where it has special tokens."""
         out: list[bytes | int] = []
-        for part in self.cuts.split(unit) if self.cuts else [unit]:
+        for part in self.cuts.split(unit) if self.cuts and ">" in unit else [unit]:
             if part in self.special:
                 out.append(self.special[part])
-            elif part:
-                out += [part[a:b].encode() for _, (a, b) in self._split(part)]
+            elif not part:
+                continue
+            elif max(part) >= SETTLED:  # which characters are letters is for the library to say
+                out += [part[a:b].encode() for _, (a, b) in self._slow(part)]
+            elif part[part[0] == " " :].isalpha():
+                out.append(part.encode())
+            else:
+                out += [w.encode() for w in self._fast(part)]
         return out
 
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words one after another, and how many each has. Words of like length are rows of a matrix, and a step joins one pair in each of them."""
+        n = np.array(list(map(len, words)), np.int64)
+        sizes = np.zeros(len(words), np.int64)
+        parts, least = [], 0
+        for width in WIDTHS:
+            some = np.flatnonzero((n > least) & (n <= width))
+            least = width
+            for k in range(0, len(some), 20_000):
+                rows = some[k : k + 20_000]
+                ids = self._merge_rows([words[i] for i in rows.tolist()], width)
+                sizes[rows] = (ids >= 0).sum(1)
+                parts.append((rows, ids[ids >= 0]))
+        for i in np.flatnonzero(n > least).tolist():
+            ids = np.array(self.merge(words[i]), np.int32)
+            sizes[i] = len(ids)
+            parts.append((np.array([i]), ids))
+        begin = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        for rows, ids in parts:
+            m = sizes[rows]
+            out[np.arange(len(ids)) - np.repeat(np.cumsum(m) - m - begin[rows], m)] = ids
+        return out, sizes
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        none = np.int32(len(self.keys))
+        if not none:
+            return np.zeros(a.shape, np.int32)
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.ranks[at], none)
+
+    def _merge_rows(self, words: list[bytes], width: int) -> np.ndarray:
+        ids = np.full((len(words), width + 1), -1, np.int32)  # the last column stays empty
+        n = np.array(list(map(len, words)))
+        ids[:, :width][np.arange(width) < n[:, None]] = np.array(self.bytes, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        ranks = self._ranks_of(ids[:, :-1], ids[:, 1:])
+        column, on = np.arange(width), np.arange(len(words))
+        while len(on):
+            at = ranks[on].argmin(1)
+            best = ranks[on, at]
+            go = best < len(self.keys)
+            on, at, best = on[go], at[go], best[go]
+            if not len(on):
+                break
+            back = np.minimum(column + (column > at[:, None]), width)
+            rows, scores = ids[on], ranks[on]
+            rows[:, :width] = np.take_along_axis(rows, back, 1)
+            scores = np.take_along_axis(np.concatenate([scores, np.full((len(on), 1), len(self.keys), np.int32)], 1), back, 1)
+            line = np.arange(len(on))
+            rows[line, at] = self.joined[best]
+            scores[line, at] = self._ranks_of(rows[line, at], rows[line, at + 1])
+            inner = at > 0
+            scores[line[inner], at[inner] - 1] = self._ranks_of(rows[line[inner], at[inner] - 1], rows[line[inner], at[inner]])
+            ids[on], ranks[on] = rows, scores
+        return ids
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: of all adjacent pairs the one of least rank is joined, the first of like ones, until none is left."""
         ids, get = [self.bytes[b] for b in word], self.merges.get
@@ -132,10 +206,21 @@ class Encoder:
         lists = [self.merges.words(u.decode("utf-8", "replace")) for u in units]
         words = list(dict.fromkeys(w for x in lists for w in x if isinstance(w, bytes)))
         there, sizes, ids = self.lexicon.find(words)
-        ends = np.cumsum(sizes).tolist()
-        known = {w: ids[e - n : e].tolist() if t else self.merges.merge(w) for w, t, e, n in zip(words, there.tolist(), ends, sizes.tolist(), strict=True)}
-        told = [[i for w in x for i in (known[w] if isinstance(w, bytes) else (w,))] for x in lists]
-        self.pool.add([i for x in told for i in x], list(map(len, told)))
+        other = np.flatnonzero(~there)
+        merged, more = self.merges.merge_all([words[i] for i in other.tolist()])
+        pool = np.concatenate([ids, merged])
+        begin = np.cumsum(sizes) - sizes
+        begin[other], sizes[other] = len(ids) + np.cumsum(more) - more, more
+        place = dict(zip(words, range(len(words)), strict=True))
+        # a special token is one more entry of its own
+        pool = np.append(pool, list(self.merges.special.values())).astype(np.int32)
+        special = {i: len(words) + k for k, i in enumerate(self.merges.special.values())}
+        begin, sizes = np.append(begin, len(pool) - len(special) + np.arange(len(special))), np.append(sizes, np.ones(len(special), np.int64))
+        flat = np.array([place[w] if isinstance(w, bytes) else special[w] for x in lists for w in x], np.int64)
+        n = sizes[flat]
+        values = pool[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin[flat], n)]
+        ends = np.append(0, np.cumsum(n))[np.cumsum(list(map(len, lists)), dtype=np.int64)]
+        self.pool.add(values, np.diff(np.append(0, ends)).tolist())
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts one after another, and where each text ends."""
@@ -189,8 +274,9 @@ def frequent_words(docs: DataFrame, spec, most: int = LEXICON_WORDS) -> DataFram
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges.of(spec.value)
         for batch in batches:
-            ids = [merges.merge(w) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            ids, sizes = merges.merge_all(batch.column("word").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), lists], ["word", "ids"])
 
     return counts.filter(F.col("level") >= bar).select("word").mapInArrow(merged, "word binary, ids array<int>")
 
