@@ -27,6 +27,8 @@ from .units import Pool, Units, slices
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_BYTES = 8_000_000
+#: So many units go through the libraries at a time: what these return of a unit takes some kilobytes.
+UNITS_AT_A_TIME = 1000
 MARK = "▁"
 CHUNK = """chunk long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,
     codes binary, lengths binary, links binary, sizes binary, a array<int>, b array<int>, often array<long>"""
@@ -116,22 +118,27 @@ class Aligner:
 
     def reset(self) -> None:
         self.units, self.links = Units(self._learn), Pool(np.int64)
+        self.counts = Pool(np.int64)  # tokens by A, by B, and groups
         self.text: list[bytes] = []
-        self.counts: list[tuple[int, int, int]] = []
         self.same: list[bool] = []
 
     def _learn(self, units: list[bytes]) -> None:
+        for k in range(0, len(units), UNITS_AT_A_TIME):
+            self._learn_some(units[k : k + UNITS_AT_A_TIME])
+
+    def _learn_some(self, units: list[bytes]) -> None:
         texts = [u.decode("utf-8", "replace") for u in units]
-        links, sizes = [], []
+        links, sizes, counts = [], [], []
         for raw, (ids_a, ends_a), (ids_b, ends_b) in zip(units, self.t.tokens_a(texts), self.t.tokens_b(texts), strict=True):
             same = b"".join(map(self.t.pieces_a.__getitem__, ids_a)) == raw == b"".join(map(self.t.pieces_b.__getitem__, ids_b))
             some, groups = align(ids_a, ends_a, ids_b, ends_b) if same else ([], [])
             links += some
             sizes.append(len(some))
             self.text.append(";".join(groups).encode())
-            self.counts.append((len(ids_a), len(ids_b), len(groups)) if same else (0, 0, 0))
+            counts += (len(ids_a), len(ids_b), len(groups)) if same else (0, 0, 0)
             self.same.append(same)
         self.links.add(links, sizes)
+        self.counts.add(counts, [3] * len(units))
 
 
 def _one(values: pa.Array) -> pa.ListArray:
@@ -152,7 +159,7 @@ def _chunk(aligner: Aligner, rows: pa.RecordBatch, texts: list[bytes]) -> pa.Rec
     links, sizes = aligner.links.take(used)
     pairs, place = np.unique(links, return_inverse=True)
     total = np.bincount(place, weights=np.repeat(often, sizes), minlength=len(pairs)).astype(np.int64)
-    sums = [np.diff(np.append(0, np.append(0, np.cumsum(x[codes]))[ends])) for x in (*np.array(aligner.counts, np.int64).reshape(-1, 3).T, np.array(aligner.links.sizes, np.int64))]
+    sums = [np.diff(np.append(0, np.append(0, np.cumsum(x[codes]))[ends])) for x in (*aligner.counts.flat[: aligner.counts.n].reshape(-1, 3).T, np.array(aligner.links.sizes, np.int64))]
     told, at = [aligner.text[c] for c in codes.tolist()], np.append(0, ends).tolist()
     sha = [hashlib.sha256(b";".join(told[a:b])).hexdigest() if b > a else "" for a, b in zip(at, at[1:], strict=False)]
     columns = [

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A table of units is dropped and begun anew once it has so many entries, or so many bytes of text.
-MOST_UNITS, MOST_BYTES = 400_000, 32_000_000
+MOST_UNITS, MOST_BYTES = 250_000, 32_000_000
 CUT = re.compile(r"(?<=\S) ")
 
 
