@@ -315,8 +315,11 @@ def tail_usage(spark, sf):
 
 @query("SELECT ts::DATE::VARCHAR AS day, phase, count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion FROM usage_src GROUP BY ALL")
 def stream_rollup(spark, sf):
-    table = us.streamed(spark, lambda path, check: us.stream_rollup(event_stream(spark, sf), path, check))
-    return us.latest(table, ["day", "phase"]).withColumn("day", F.col("day").cast("string"))
+    """The log in a shuffled order, in several batches: rows that come too late are the batch rollup's, and both together are the whole."""
+    path, out = fresh_path(spark, "shuffled"), fresh_path(spark, "rollup")
+    events(spark, sf).repartitionByRange(5, F.xxhash64("event_id")).write.parquet(path)
+    us.stream_rollup(us.read_stream(spark, path + "/", 1), out, fresh_path(spark, "checkpoint"), fold_after=2)
+    return us.rollup_with_late(spark, out).withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT phase, count(*) AS calls, sum(prompt)::BIGINT AS prompt, sum(completion)::BIGINT AS completion FROM usage_src GROUP BY phase")
@@ -324,24 +327,29 @@ def stream_totals(spark, sf):
     return us.latest(us.streamed(spark, lambda path, check: us.stream_totals(event_stream(spark, sf), path, check)), ["phase"])
 
 
-@query("SELECT path, kind FROM diff")
+def listing(spark, sf, name):
+    """A snapshot view with paths as they are in a vault: strings."""
+    return view(spark, sf, name).withColumn("path", F.concat(F.lit("n/"), F.col("path"), F.lit(".md")))
+
+
+@query("SELECT 'n/' || path || '.md' AS path, kind FROM diff")
 def watch_changes(spark, sf):
     """Two polls: the second finds what changed since the first."""
     path = fresh_path(spark, "watch")
-    us.watch_changes(spark, view(spark, sf, "snapshot_prev"), path, 1)
-    return us.watch_changes(spark, view(spark, sf, "snapshot_cur"), path, 2)
+    us.watch_changes(spark, listing(spark, sf, "snapshot_prev"), path, 1)
+    return us.watch_changes(spark, listing(spark, sf, "snapshot_cur"), path, 2)
 
 
-@query("SELECT s.doc_id AS path, t.kept_seq, t.title, t.subtree_tokens FROM thinned t JOIN notes_src s USING (vault, node_id) WHERE s.doc_id % 10 <> 1")
+@query("SELECT 'n/' || s.doc_id || '.md' AS path, t.kept_seq, t.title, t.subtree_tokens FROM thinned t JOIN notes_src s USING (vault, node_id) WHERE s.doc_id % 10 <> 1")
 def watch_rebuild(spark, sf):
     """Section trees of all notes after two polls: built for what was added or modified, gone for what was deleted."""
-    path, raw = fresh_path(spark, "watch"), raw_notes(spark, sf)
-    us.watch_changes(spark, view(spark, sf, "snapshot_prev"), path, 1)
-    us.watch_changes(spark, view(spark, sf, "snapshot_cur"), path, 2)
+    path, raw = fresh_path(spark, "watch"), raw_notes(spark, sf).withColumn("path", F.concat(F.lit("n/"), F.col("doc_id"), F.lit(".md")))
+    us.watch_changes(spark, listing(spark, sf, "snapshot_prev"), path, 1)
+    us.watch_changes(spark, listing(spark, sf, "snapshot_cur"), path, 2)
 
     def rebuild(touched):
-        some = raw.join(touched, F.col("doc_id") == F.col("path"), "left_semi")
-        kept = sections.thin_sections(sections.section_tree(some)).join(raw.select("vault", "node_id", F.col("doc_id").alias("path")), ["vault", "node_id"])
+        some = raw.join(touched, "path", "left_semi")
+        kept = sections.thin_sections(sections.section_tree(some)).join(raw.select("vault", "node_id", "path"), ["vault", "node_id"])
         return kept.select("path", F.substring_index("section_id", "#", -1).cast("long").alias("kept_seq"), "title", "subtree_tokens")
 
     into = us.streamed(spark, lambda out, check: us.watch_rebuild(spark, path, check, rebuild, out))
@@ -352,8 +360,11 @@ def watch_rebuild(spark, sf):
     SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM (
       SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM usage_src)) GROUP BY session_id, n""")
 def stream_sessions(spark, sf):
-    table = us.streamed(spark, lambda out, check: us.stream_sessions(event_stream(spark, sf), out, check))
-    return us.latest(table, ["session_id", "start"])
+    """The log in a shuffled order, in several batches, all within the watermark."""
+    path = fresh_path(spark, "shuffled")
+    events(spark, sf).select("event_id", "session_id", "ts").repartitionByRange(4, F.xxhash64("event_id")).write.parquet(path)
+    table = us.streamed(spark, lambda out, check: us.stream_sessions(us.read_stream(spark, path + "/", 1), out, check, late="3650 days"))
+    return us.open_sessions(table)
 
 
 @query("SELECT kind, event_id FROM (SELECT 'backfill' AS kind, event_id FROM usage_src ORDER BY ts DESC, event_id DESC LIMIT 50) UNION ALL SELECT kind, event_id FROM (SELECT 'new' AS kind, event_id FROM usage_src ORDER BY ts, event_id LIMIT 200)")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import usage
 from ..operators.corpus import numbered
+from .tables import names_in
 
 
 def scan_notes(spark: SparkSession, root: str, vault: str = "main", folder: str | None = None) -> DataFrame:
@@ -28,6 +29,14 @@ def scan_notes(spark: SparkSession, root: str, vault: str = "main", folder: str
     return kept.select(F.lit(vault).alias("vault"), path.alias("node_id"), name.alias("title"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha"))
 
 
+def list_notes(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame:
+    """(path, mtime) of the notes below a folder, as `scan_notes` finds them, without opening any; none if the folder does not exist."""
+    at = root.rstrip("/")
+    if not names_in(spark, f"{at}/{folder.strip('/')}" if folder else at):
+        return spark.createDataFrame([], "path string, mtime timestamp")
+    return scan_notes(spark, root, folder=folder).select(F.col("node_id").alias("path"), "mtime")  # contents are pruned
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(pos, query): lines that are neither blank nor begin with ``#``, in the order of the file.
 
@@ -79,16 +88,21 @@ def write_snapshot(current: DataFrame, path: str, snapshot_id: int) -> None:
     current.write.mode("overwrite").parquet(f"{path}/snapshot_id={snapshot_id:012d}")
 
 
-def load_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last snapshot; None if there is none."""
+def load_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The last snapshot, of those before a version if one is given; None if there is none, or if its files cannot be read.
+
+    Names tell which is the last; no other is opened.
+    """
+    there = [x for x in sorted(names_in(spark, path)) if x.startswith("snapshot_id=")]
+    there = [x for x in there if before is None or int(x.partition("=")[2]) < before]
+    if not there:
+        return None
     try:
-        versions = spark.read.parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(f"{path}/{there[-1]}")  # looks at the footer of every file
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if any(x in str(e) for x in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "not a Parquet file", "Could not read footer")):
             return None
         raise
-    last = versions.agg(F.max("snapshot_id")).first()[0]
-    return versions.filter(F.col("snapshot_id") == last).drop("snapshot_id")
 
 
 def write_pages(pages: DataFrame, index: DataFrame, log: DataFrame, path: str) -> None:

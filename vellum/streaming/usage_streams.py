@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import changes, usage
-from ..sources.files import load_snapshot, write_snapshot
-from ..sources.tables import fresh_path
+from ..sources.files import list_notes, load_snapshot, write_snapshot
+from ..sources.tables import fresh_path, move, names_in, remove, stored
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -40,10 +42,67 @@ def tail_usage(events: DataFrame, path: str, checkpoint: str) -> None:
     drain(events, _append_to(path), checkpoint)
 
 
-def stream_rollup(events: DataFrame, path: str, checkpoint: str, late: str = "1 day") -> None:
-    """Daily totals by phase, upserted as they change: the last batch of a key holds. Later events are the batch rollup's."""
-    per = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "phase").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
-    drain(per.select(F.to_date("window.start").alias("day"), "phase", "calls", "prompt", "completion"), _append_to(path), checkpoint, "update")
+DAILY = ["calls", "prompt", "completion"]
+#: After so many batches the parts of a stream's rollup are folded into one.
+FOLD_AFTER = 20
+
+
+def stream_rollup(events: DataFrame, path: str, checkpoint: str, late: str = "1 day", fold_after: int = FOLD_AFTER) -> None:
+    """Daily totals by phase as they come: each batch adds a part, and parts are folded so that files stay few. `rollup_so_far` reads them.
+
+    An event older than the latest one of the batches before, less ``late``, is not added: it is kept whole in the table of
+    late rows, for the batch rollup (`rollup_with_late`). A batch that runs again replaces its part.
+    """
+    spark = events.sparkSession
+    delay = spark.sql(f"SELECT cast(INTERVAL {late} AS INTERVAL DAY TO SECOND) AS d").first()[0]
+
+    def sink(batch: DataFrame, n: int) -> None:
+        marks = _parts(spark, f"{path}/marks", n)
+        mark = spark.read.parquet(*marks).agg(F.max("mark")).first()[0] if marks else None
+        old = F.col("ts") < F.lit(mark - delay) if mark else F.lit(False)
+        batch.filter(old).write.mode("overwrite").parquet(f"{path}/late/n={n:09d}")
+        per = batch.filter(~old).groupBy(F.to_date("ts").alias("day"), "phase").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt").alias("prompt"), F.sum("completion").alias("completion"))
+        per.write.mode("overwrite").parquet(f"{path}/parts/n={n:09d}")
+        batch.agg(F.greatest(F.max("ts"), F.lit(mark).cast("timestamp")).alias("mark")).write.mode("overwrite").parquet(f"{path}/marks/n={n:09d}")
+        if n and n % fold_after == 0:
+            _fold(spark, path, n)
+
+    drain(events, sink, checkpoint)
+
+
+def _parts(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
+    """Parts ``n=…`` of a table, those before a batch; a fold ``n=…-folded`` stands for itself and all up to it."""
+    names = sorted(x for x in names_in(spark, path) if x.startswith("n="))
+    at = lambda x: int(x[2:11])
+    names = [x for x in names if before is None or at(x) < before]
+    folds = [at(x) for x in names if x.endswith("-folded")]
+    last = max(folds, default=-1)
+    return [f"{path}/{x}" for x in names if at(x) > last or at(x) == last and x.endswith("-folded")]
+
+
+def _fold(spark: SparkSession, path: str, n: int) -> None:
+    """Parts up to batch n become one. The fold is whole before they go, and readers take it as soon as it is there."""
+    for table, make in (("parts", lambda df: df.groupBy("day", "phase").agg(*[F.sum(c).alias(c) for c in DAILY])), ("marks", lambda df: df.agg(F.max("mark").alias("mark"))), ("late", lambda df: df)):
+        some = _parts(spark, f"{path}/{table}", n + 1)
+        make(spark.read.parquet(*some)).coalesce(1 if table == "marks" else 8).write.mode("overwrite").parquet(f"{path}/{table}/_fold")
+        move(spark, f"{path}/{table}/_fold", f"{path}/{table}/n={n:09d}-folded")
+        for old in some:
+            remove(spark, old)
+
+
+def rollup_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """(day, phase, calls, prompt, completion) of the events that came in time."""
+    return spark.read.parquet(*_parts(spark, f"{path}/parts")).groupBy("day", "phase").agg(*[F.sum(c).alias(c) for c in DAILY])
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(*_parts(spark, f"{path}/late"))
+
+
+def rollup_with_late(spark: SparkSession, path: str) -> DataFrame:
+    """The rollup with the late rows, reduced by the batch rollup, added to their days."""
+    late = usage.rollup_daily(late_rows(spark, path)).select("day", F.explode("by_phase").alias("phase", "t")).select("day", "phase", *[F.col(f"t.{c}").alias(c) for c in DAILY])
+    return rollup_so_far(spark, path).unionByName(late).groupBy("day", "phase").agg(*[F.sum(c).alias(c) for c in DAILY])
 
 
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,43 +117,79 @@ def stream_totals(events: DataFrame, path: str, checkpoint: str) -> None:
     drain(per, _append_to(path), checkpoint, "update")
 
 
-SESSION = T.StructType([T.StructField("session_id", T.LongType()), T.StructField("start", T.TimestampType()), T.StructField("last_active", T.TimestampType()), T.StructField("turns", T.LongType())])
-SESSION_STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("last", T.LongType()), T.StructField("turns", T.LongType())])
+SESSION = "session_id long, start timestamp, last_active timestamp, turns long"
+SESSION_STATE = "start long, last long, turns long"
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_sessions(turns: DataFrame, path: str, checkpoint: str, ttl_seconds: int = 3600) -> None:
-    """Sessions by idle time: (session_id, start, last_active, turns), upserted by id and start as they grow.
+class Sessions(StatefulProcessor):
+    """The open sessions of an id as a list in state, in order of time; a timer drops those that no turn can reach any more.
 
-    The state of an id is its last session, and goes once the watermark is past its end. A turn that is later than the
-    watermark allows is dropped; one that is older than its id's last session is a session of its own.
+    A turn goes to the sessions within ``ttl`` of it: none is a session of its own, one grows, and may begin earlier,
+    and two become one. A start that is no more is told with no turns.
     """
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        gap, told = ttl_seconds * 1_000_000, {}
-        start, last, n = state.get if state.exists else (None, None, 0)
-        times = sorted(int(t.value // 1000) for part in parts for t in part["ts"])
-        for t in times:
-            if start is not None and start - gap <= t <= last + gap:
-                if t < start:
-                    told.pop(start, None)
-                start, last, n = min(start, t), max(last, t), n + 1
-            elif start is not None and t < start:
-                told[t] = (t, told.get(t, (0, 0))[1] + 1)
-                continue
+    def __init__(self, ttl_seconds: int):
+        self.gap = ttl_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", SESSION_STATE)
+
+    def _keep(self, sessions: list[tuple[int, int, int]]) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if sessions:
+            self.open.put(sessions)
+            self.handle.registerTimer((min(last for _, last, _ in sessions) + self.gap) // 1000 + 1)
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sessions = sorted(tuple(x) for x in self.open.get()) if self.open.exists() else []
+        was = {s[0]: s for s in sessions}
+        turns = sorted(int(t.value // 1000) for part in rows for t in part["ts"])
+        out: list[tuple[int, int, int]] = []
+        for start, last, n in sorted([*sessions, *((t, t, 1) for t in turns)]):
+            if out and start <= out[-1][1] + self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
             else:
-                start, last, n = t, t, 1
-            told[start] = (last, n)
-        state.update((start, last, n))
-        state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+                out.append((start, last, n))
+        self._keep(out)
+        now = {s[0]: s for s in out}
+        told = [s for s in out if was.get(s[0]) != s] + [(s, s, 0) for s in was if s not in now]
         at = lambda x: pd.Timestamp(x * 1000)
-        yield pd.DataFrame({"session_id": [key[0]] * len(told), "start": [at(x) for x in told], "last_active": [at(x) for x, _ in told.values()], "turns": [k for _, k in told.values()]})
+        yield pd.DataFrame({"session_id": [key[0]] * len(told), "start": [at(s) for s, _, _ in told], "last_active": [at(x) for _, x, _ in told], "turns": [n for _, _, n in told]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.get_current_watermark_in_ms()
+        self._keep([s for s in map(tuple, self.open.get()) if (s[1] + self.gap) // 1000 >= past])
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
-    rows = turns.select("session_id", "ts").withWatermark("ts", f"{ttl_seconds} seconds")
-    per = rows.groupBy("session_id").applyInPandasWithState(fold, SESSION, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    drain(per, _append_to(path), checkpoint, "update")
+
+def stream_sessions(turns: DataFrame, path: str, checkpoint: str, ttl_seconds: int = 3600, late: str = "1 hour") -> None:
+    """Sessions by idle time, upserted by (session_id, start): (session_id, start, last_active, turns). `open_sessions` reads them.
+
+    Turns may come in any order within ``late``: whatever it was, the sessions are those of the batch. A turn that
+    is later than the watermark is dropped. State is held for an id's open sessions only.
+    """
+    conf, (key, rocks) = turns.sparkSession.conf, ROCKS
+    was = conf.get(key, None)
+    conf.set(key, rocks)  # lists and timers need this store
+    try:
+        rows = turns.select("session_id", "ts").withWatermark("ts", late)
+        per = rows.groupBy("session_id").transformWithStateInPandas(Sessions(ttl_seconds), SESSION, "Update", "EventTime")
+        drain(per, _append_to(path), checkpoint, "update")
+    finally:
+        conf.set(key, was) if was else conf.unset(key)
+
+
+def open_sessions(table: DataFrame) -> DataFrame:
+    """The sessions of a table that `stream_sessions` writes, without starts that have moved or been joined."""
+    return latest(table, ["session_id", "start"]).filter("turns > 0")
 
 
 def follow(events: DataFrame, path: str, checkpoint: str, log: DataFrame | None = None, backfill: int = 0, most: int | None = None, seconds: float | None = None, heartbeat: float = 15.0) -> int:
@@ -102,18 +197,33 @@ def follow(events: DataFrame, path: str, checkpoint: str, log: DataFrame | None
 
     First the last ``backfill`` events of ``log``, oldest first, then new ones as they come, until ``most`` have passed or
     ``seconds`` are over. After ``heartbeat`` seconds without any, a row of that kind says that the tail is alive.
+    What a batch holds beyond ``most`` is kept beside the checkpoint, and comes first when the tail goes on from there.
     """
+    spark, rest = events.sparkSession, f"{checkpoint}-unread"
     kept = ["event_id", "ts", "phase", "prompt", "completion"]
     put = lambda rows, kind, name: rows.select(F.lit(kind).alias("kind"), *kept).write.mode("overwrite").parquet(f"{path}/n={name}")
     if log is not None and backfill:
         put(usage.recent_events(log, backfill).orderBy("ts", "event_id"), "backfill", "backfill")
     passed: dict[int, int] = {}
 
+    def take(rows: DataFrame, n: int, name: str) -> None:
+        left = None if most is None else max(0, most - sum(k for b, k in passed.items() if b != n))
+        if left is None or rows.count() <= left:
+            put(rows, "new", name)
+        else:
+            put(rows.orderBy("ts", "event_id").limit(left), "new", name)
+            told = spark.read.parquet(f"{path}/n={name}").select("event_id")
+            rows.join(told, "event_id", "left_anti").select(*kept).write.mode("overwrite").parquet(f"{rest}/n={name}")
+        passed[n] = spark.read.parquet(f"{path}/n={name}").count()
+
     def sink(batch: DataFrame, n: int) -> None:
-        left = None if most is None else most - sum(k for b, k in passed.items() if b != n)
-        some = batch if left is None else batch.orderBy("ts", "event_id").limit(max(0, left))
-        put(some, "new", f"{n:09d}")
-        passed[n] = batch.sparkSession.read.parquet(f"{path}/n={n:09d}").count()
+        take(batch, n, f"{n:09d}")
+
+    if before := [f"{rest}/{x}" for x in names_in(spark, rest)]:
+        again = stored(spark.read.parquet(*before), "unread")  # what is left of it is written anew
+        for x in before:
+            remove(spark, x)
+        take(again, -1, f"again-{uuid.uuid4().hex}")
 
     query = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(processingTime="1 second").start()
     began = spoke = time.monotonic()
@@ -163,18 +273,64 @@ def session_history(turns: DataFrame) -> DataFrame:
 
 
 def watch_changes(spark: SparkSession, listing: DataFrame, path: str, snapshot_id: int) -> DataFrame | None:
-    """One poll: the change set against the last snapshot, appended to ``changes`` if not empty, and the snapshot moved on."""
-    diff = changes.snapshot_diff(load_snapshot(spark, f"{path}/snapshots"), listing)
+    """One poll: the change set against the last snapshot before this one, appended to ``changes``, and the snapshot moved on.
+
+    None, and nothing written, if nothing changed. The change set is whole before the snapshot, and a poll that runs
+    again finds the same one. Snapshots older than the one before go.
+    """
+    before = load_snapshot(spark, f"{path}/snapshots", snapshot_id)
+    diff = stored(changes.snapshot_diff(before, listing := stored(listing, "listing")), "diff")
+    if diff.isEmpty():
+        if before is None:
+            write_snapshot(listing, f"{path}/snapshots", snapshot_id)
+        return None
     out = f"{path}/changes/poll={snapshot_id:012d}"
     diff.write.mode("overwrite").parquet(out)
     write_snapshot(listing, f"{path}/snapshots", snapshot_id)
-    told = spark.read.parquet(out)
-    return None if told.isEmpty() else told
+    for name in [x for x in sorted(names_in(spark, f"{path}/snapshots")) if x.startswith("snapshot_id=")][:-2]:
+        remove(spark, f"{path}/snapshots/{name}")
+    return spark.read.parquet(out)
+
+
+def watch_folder(spark: SparkSession, root: str, path: str, folder: str | None = None, every: str = "10 seconds", polls: int | None = None, seconds: float | None = None, tell: Callable[[DataFrame, int], None] | None = None) -> int:
+    """Poll a folder of notes by a stream whose batches are the polls: how many change sets came.
+
+    A clock is the stream's source; each of its batches lists names and times, no contents, below ``folder`` of ``root``,
+    and makes a version of the snapshot under its own number, so a batch that runs again is the same poll. Versions
+    and the clock's checkpoint are below ``path``: a watch that starts there again goes on from the last snapshot.
+    ``tell`` gets each change set that is not empty. Ends after so many ``polls`` or ``seconds``, or when it is stopped.
+    """
+    done: dict[int, bool] = {}
+
+    def poll(_: DataFrame, n: int) -> None:
+        if polls is not None and len(done) >= polls and n not in done:
+            return
+        found = watch_changes(spark, list_notes(spark, root, folder), path, n + 1)
+        if found is not None and tell:
+            tell(found, n + 1)
+        done[n] = found is not None
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    query = clock.writeStream.option("checkpointLocation", f"{path}/clock").foreachBatch(poll).trigger(processingTime=every).start()
+    began = time.monotonic()
+    try:
+        while not query.awaitTermination(0.2):
+            if polls is not None and len(done) >= polls or seconds is not None and time.monotonic() - began >= seconds:
+                break
+    finally:
+        query.stop()
+    return sum(done.values())
 
 
 def watch_rebuild(spark: SparkSession, path: str, checkpoint: str, rebuild: Callable[[DataFrame], DataFrame], into: str) -> None:
-    """Hand each new change set to ``rebuild`` (touched paths in, derived rows with their path out) and store what it makes, and which paths changed at all."""
-    stream = spark.readStream.schema("path long, kind string").option("recursiveFileLookup", "true").parquet(f"{path}/changes")
+    """Hand each new change set to ``rebuild`` (touched paths in, derived rows with their path out) and store what it makes, and which paths changed at all.
+
+    Paths are of the type that the change sets have.
+    """
+    if not names_in(spark, f"{path}/changes"):
+        return
+    told = spark.read.parquet(f"{path}/changes").drop("poll").schema
+    stream = spark.readStream.schema(told).option("recursiveFileLookup", "true").parquet(f"{path}/changes")
 
     def sink(batch: DataFrame, n: int) -> None:
         # several polls may come in one batch: a path is gone if its last change says so, and that is the snapshot's to tell
