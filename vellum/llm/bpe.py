@@ -12,12 +12,12 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,19 @@ TOKENIZER = "byte_bpe_50k.json"
 #: The lexicon has at most so many words, the most frequent ones. Others are merged one by one.
 LEXICON_WORDS = 1 << 16
 SLICE_BYTES = 8_000_000
-# The pattern of byte-level pre-tokenizers, and a bound of code points below which all versions of Unicode class characters alike.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The pattern of byte-level pre-tokenizers, with classes of letters, digits and white space to be put in, and
+# a bound of code points below which all versions of Unicode class characters alike.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 SETTLED = "\u0250"
 #: Words of at most so many bytes are merged together, as rows of matrices of these widths; longer ones one by one.
 WIDTHS = (8, 16, 32, 64)
-#: A task hands on its counts of words when it has so many different ones.
-COUNTED = 400_000
+
+
+def settled_pattern(below: int) -> str:
+    """The pattern for texts of code points below a bound, in classes that the standard library knows."""
+    kind = lambda k: "".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c))[0] == k)
+    space = "".join(re.escape(chr(c)) for c in range(below) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
+    return PATTERN.format(L=kind("L"), N=kind("N"), S=space)
 
 
 def byte_of() -> dict[str, int]:
@@ -62,7 +68,7 @@ class Merges:
             raise ValueError("special tokens must be plain strings")
         vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in extra}
-        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if extra else None
+        self.cuts = re.compile(b"(" + b"|".join(re.escape(x.encode()) for x in sorted(self.special, key=len, reverse=True)) + b")") if extra else None
         self.pieces = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for piece, i in vocab.items():
             self.pieces[i] = bytes(map(byte.__getitem__, piece))
@@ -78,7 +84,8 @@ class Merges:
         self.keys, self.ranks = keys[order], np.arange(len(keys), dtype=np.int32)[order]
         self.joined = np.array([i for _, i in self.merges.values()], np.int32)  # by rank
         self._slow = Tokenizer.from_str(spec).pre_tokenizer.pre_tokenize_str
-        self._fast = regex.compile(PATTERN).findall
+        self._ascii = re.compile(settled_pattern(128).encode()).findall
+        self._fast = re.compile(settled_pattern(ord(SETTLED))).findall
         self.flat, self.sizes = np.frombuffer(b"".join(self.pieces), np.uint8), np.array(list(map(len, self.pieces)), np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
 
@@ -88,21 +95,22 @@ class Merges:
             cls.made[spec] = cls(spec)
         return cls.made[spec]
 
-    def words(self, unit: str) -> list[bytes | int]:
+    def words(self, unit: bytes) -> list[bytes | int]:
         """The words of a unit, and ids where it has special tokens."""
-        out: list[bytes | int] = []
-        for part in self.cuts.split(unit) if self.cuts and ">" in unit else [unit]:
-            if part in self.special:
-                out.append(self.special[part])
-            elif not part:
-                continue
-            elif max(part) >= SETTLED:  # which characters are letters is for the library to say
-                out += [part[a:b].encode() for _, (a, b) in self._slow(part)]
-            elif part[part[0] == " " :].isalpha():
-                out.append(part.encode())
-            else:
-                out += [w.encode() for w in self._fast(part)]
-        return out
+        if unit[unit[:1] == b" " :].isalpha():  # of ASCII letters alone
+            return [unit]
+        if self.cuts and b">" in unit and self.cuts.search(unit):
+            parts = self.cuts.split(unit)
+            return [w for p in parts if p for w in ((self.special[p.decode()],) if p.decode() in self.special else self._plain(p))]
+        return self._plain(unit)
+
+    def _plain(self, unit: bytes) -> list[bytes]:
+        if unit.isascii():
+            return self._ascii(unit)
+        part = unit.decode("utf-8", "replace")
+        if max(part) >= SETTLED:  # which characters are letters is for the library to say
+            return [part[a:b].encode() for _, (a, b) in self._slow(part)]
+        return [unit] if part[part[0] == " " :].isalpha() else [w.encode() for w in self._fast(part)]
 
     def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many words one after another, and how many each has. Words of like length are rows of a matrix, and a step joins one pair in each of them."""
@@ -203,7 +211,7 @@ class Encoder:
         self.pool, self.units = Pool(np.int32), Units(self._learn)
 
     def _learn(self, units: list[bytes]) -> None:
-        lists = [self.merges.words(u.decode("utf-8", "replace")) for u in units]
+        lists = list(map(self.merges.words, units))
         words = list(dict.fromkeys(w for x in lists for w in x if isinstance(w, bytes)))
         there, sizes, ids = self.lexicon.find(words)
         other = np.flatnonzero(~there)
@@ -234,28 +242,24 @@ class Encoder:
 def _count(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges.of(spec.value)
-        total: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
+        def told(units: Units, often: np.ndarray) -> pa.RecordBatch:
             words: Counter = Counter()
-            for u, n in total.items():
-                for w in merges.words(u.decode("utf-8", "replace")):
+            for u, n in zip(units.codes, often.tolist(), strict=True):
+                for w in merges.words(u) if n else ():
                     if isinstance(w, bytes):
                         words[w] += n
-            total.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        units = Units(lambda new: None)
+        units, often = Units(lambda new: None), np.zeros(0, np.int64)
         for _, texts in slices(batches, SLICE_BYTES):
-            codes, _ = units(texts)
-            often, names = np.bincount(codes, minlength=len(units.codes)), list(units.codes)
-            some = np.flatnonzero(often)
-            total.update(dict(zip([names[i] for i in some.tolist()], often[some].tolist(), strict=True)))
+            more = np.bincount(units(texts)[0], minlength=len(units.codes))
+            more[: len(often)] += often
+            often = more
             if units.full:
-                units = Units(lambda new: None)
-            if len(total) > COUNTED:
-                yield flush()
-        yield flush()
+                yield told(units, often)
+                units, often = Units(lambda new: None), np.zeros(0, np.int64)
+        yield told(units, often)
 
     return run
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,9 @@ class Units:
         return len(self.codes) > MOST_UNITS or self.size > MOST_BYTES
 
     def _add(self) -> None:
-        new = list(self.codes)[self.known :] if self.known else list(self.codes)
+        if self.known == len(self.codes):
+            return
+        new = list(islice(self.codes, self.known, None))
         self.open += [u[-4:].decode("utf-8", "ignore")[-1:].isspace() for u in new]
         self.size += sum(map(len, new))
         self.known = len(self.codes)
@@ -53,26 +56,20 @@ class Units:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The units of some texts as numbers one after another, and how many each text has."""
-        code, lists = self.codes.__getitem__, []
+        code, told = self.codes.__getitem__, []
+        number = lambda parts: np.fromiter(map(code, parts), np.int64, len(parts))
         for text in texts:
             if b"\xff" in text:  # not UTF-8
                 text = text.decode("utf-8", "replace").encode()
             parts = text.replace(b" ", b"\xff ").split(b"\xff")
-            lists.append(list(map(code, parts if parts[0] else parts[1:])))
+            told.append(number(parts if parts[0] else parts[1:]))
         self._add()
-        lengths = np.array([len(x) for x in lists], np.int64)
-        codes = np.fromiter((c for x in lists for c in x), np.int64, int(lengths.sum()))
-        bad = np.array(self.open, bool)[codes]
-        ends = np.cumsum(lengths)
-        bad[ends[lengths > 0] - 1] = False
-        wrong = np.unique(np.searchsorted(ends, np.flatnonzero(bad), side="right"))
-        if len(wrong):  # white space before a blank: cut these texts with care
-            for k in wrong.tolist():
-                lists[k] = list(map(code, cut(texts[k])))
-            self._add()
-            lengths = np.array([len(x) for x in lists], np.int64)
-            codes = np.fromiter((c for x in lists for c in x), np.int64, int(lengths.sum()))
-        return codes, lengths
+        is_open = np.array(self.open, bool)
+        for k, codes in enumerate(told):
+            if is_open[codes[:-1]].any():  # white space before a blank: cut this text with care
+                told[k] = number(cut(texts[k]))
+        self._add()
+        return np.concatenate(told) if told else np.zeros(0, np.int64), np.array(list(map(len, told)), np.int64)
 
 
 class Pool:
