@@ -24,11 +24,13 @@ def aggregate_entities(mentions: DataFrame) -> DataFrame:
     """Entities by key: name, category and first description are those of the first mention, by note and place; and the number of mentions.
 
     Mentions themselves stay rows of their own (`mention_facts`): an entity that every note names is still one small row.
+    Only places are compared in the aggregate; the texts of the one mention that a key needs are fetched by it.
     """
     place = F.struct("note_id", "pos")
-    return mentions.groupBy("key").agg(
-        F.min_by("name", place).alias("name"), F.min_by("category", place).alias("category"), F.min_by("description", place).alias("first_description"), F.count(F.lit(1)).alias("n_mentions"), F.min("note_id").alias("first_note"),
-    )
+    per = mentions.groupBy("key").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n_mentions"))
+    first = per.select(F.col("at.note_id").alias("note_id"), F.col("at.pos").alias("pos"), "key", "n_mentions")
+    told = mentions.select("note_id", "pos", "key", "name", "category", F.col("description").alias("first_description"))
+    return told.join(first, ["note_id", "pos", "key"]).select("key", "name", "category", "first_description", "n_mentions", F.col("note_id").alias("first_note")).dropDuplicates(["key"])  # a repeated row is one mention's text twice
 
 
 def first_mentions(mentions: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.tables import stored
 
 
 def note_links(notes: DataFrame) -> DataFrame:
@@ -25,15 +26,19 @@ def _keyed(links: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame, notes: DataFrame, strict: bool = False) -> DataFrame:
     """All notes that a link means: those with its title; with a path in front also only where the file's path ends so.
 
-    ``strict`` asks for whole folder names in front. An equi-join on the title: a title that very many links
-    name is split by the engine's skew join.
+    ``strict`` asks for whole folder names in front. A bare title is an equi-join on the title, whose rows are all links;
+    one that very many links name is split by the engine's skew join. A link with a path meets only notes that it
+    fits: notes are keyed by the ends of their paths, in the few lengths that links to their title have.
     """
-    end = F.concat(F.col("raw_target"), F.lit(".md"))
-    fits = F.col("target_id").endswith(end)
+    index, keyed = title_index(notes), _keyed(links)
+    bare = keyed.filter(~F.contains("raw_target", F.lit("/"))).join(index, "key")
+    paths = keyed.filter(F.contains("raw_target", F.lit("/"))).withColumn("end", F.concat("raw_target", F.lit(".md")))
+    sizes = paths.select("key", F.length("end").alias("n")).distinct()
+    ends = index.join(sizes, "key").filter(F.length("target_id") >= F.col("n")).withColumn("end", F.right("target_id", F.col("n")))
     if strict:
-        fits = (F.col("target_id") == end) | F.col("target_id").endswith(F.concat(F.lit("/"), end))
-    found = _keyed(links).join(title_index(notes), "key").filter(~F.contains("raw_target", F.lit("/")) | fits)
-    return found.select("vault", "source_id", "source_title", "pos", "raw_target", "anchor", "target_vault", "target_id", "target_title")
+        ends = ends.filter((F.length("target_id") == F.col("n")) | (F.substring("target_id", -(F.col("n") + 1), F.lit(1)) == "/"))
+    out = ["vault", "source_id", "source_title", "pos", "raw_target", "anchor", "target_vault", "target_id", "target_title"]
+    return bare.select(*out).unionByName(paths.join(ends, ["key", "end"]).select(*out))
 
 
 def dangling_links(links: DataFrame, notes: DataFrame) -> DataFrame:
@@ -116,13 +121,13 @@ def link_neighbours(start: DataFrame, edges: DataFrame, hops: int = 2) -> DataFr
     """Notes within so many links of each query's start notes, each once with the least number of hops.
 
     ``start`` is (query_id, vault, node_id), ``edges`` (vault, source_id, target_vault, target_id). One join
-    a hop, the visited ones taken out before the next.
+    a hop, the visited ones taken out before the next. Each hop is stored, so a plan never has more than one.
     """
     step = edges.select("vault", F.col("source_id").alias("node_id"), "target_vault", "target_id").distinct()
-    seen = start.select("query_id", "vault", "node_id", F.lit(0).cast("long").alias("hop"))
-    front = seen
+    step = stored(step, "steps")
+    seen = front = stored(start.select("query_id", "vault", "node_id", F.lit(0).cast("long").alias("hop")), "hop")
     for hop in range(1, hops + 1):
         near = front.join(step, ["vault", "node_id"]).select("query_id", F.col("target_vault").alias("vault"), F.col("target_id").alias("node_id")).distinct()
-        front = near.join(seen, ["query_id", "vault", "node_id"], "left_anti").withColumn("hop", F.lit(hop).cast("long"))
+        front = stored(near.join(seen, ["query_id", "vault", "node_id"], "left_anti").withColumn("hop", F.lit(hop).cast("long")), "hop")
         seen = seen.unionByName(front)
     return seen

@@ -133,7 +133,7 @@ class Model:
     strict: bool = False
 
     def ask(self, rows: DataFrame, phase: str) -> DataFrame:
-        return stored(enrich.ask(rows, self.model_fn, phase, KEY, self.retries, self.strict), phase).select(*KEY, "response", "error", (F.col("prompt") + F.col("completion")).alias("used"))
+        return stored(enrich.ask(rows, self.model_fn, phase, KEY, self.retries, self.strict, phase, self.lang), phase).select(*KEY, "response", "error", (F.col("prompt") + F.col("completion")).alias("used"))
 
     def choose(self, look: DataFrame, tree: Tree, reuse_context: bool) -> DataFrame:
         scored = candidates(look, tree.slim, reuse_context)
@@ -319,7 +319,7 @@ def answers(walks: DataFrame, nodes: DataFrame, model_fn: enrich.ModelFn = enric
         prompt = F.when(F.col("history") != "", with_history).otherwise(prompts.build_prompt("answer", {"query": F.col("query"), "notes": F.col("notes")}, lang))
     else:
         prompt = prompts.build_prompt("answer", {"query": F.col("query"), "notes": F.col("notes")}, lang)
-    said = stored(enrich.ask(ready.select(*KEY, prompt.alias("prompt_text")), model_fn, "final", KEY, retries, strict), "answers").select(*KEY, "response", F.col("error").alias("failed"))
+    said = stored(enrich.ask(ready.select(*KEY, prompt.alias("prompt_text")), model_fn, "final", KEY, retries, strict, "answer", lang), "answers").select(*KEY, "response", F.col("error").alias("failed"))
     told = told.join(said, KEY, "left").join(parts, KEY, "left")
     none = F.concat(F.lit("[no evidence] no note was found that bears on the question: "), F.col("reason"))
     answer = F.when(F.col("status") == "none", none).when(F.col("status") == "partial", F.concat(F.lit("[over budget: notes only]"), F.coalesce("parts", F.lit("")))).otherwise(tx.strip(F.col("response")))
@@ -357,7 +357,7 @@ def _merged(queries: DataFrame, good: DataFrame, told: DataFrame, model_fn: enri
     per = stored(queries.select("query_id", "query").join(fails, "query_id").join(per, "query_id", "left").withColumn("l", F.coalesce("l", F.array().cast(per.schema["l"].dataType))), "parts")
     found = F.filter("l", lambda x: x["status"] != "none")
     several = per.filter(F.size(found) > 1).select("query_id", prompts.build_prompt("synthesise", {"query": F.col("query"), "parts": F.array_join(F.transform(found, lambda x: F.substring(x["text"], 1, prompts.CAPS["synthesise"]["content"])), "\n\n")}, lang).alias("prompt_text"))
-    one = stored(enrich.ask(several, model_fn, "synthesise", ["query_id"]), "synthesis").select("query_id", "response", F.col("error").alias("problem"))
+    one = stored(enrich.ask(several, model_fn, "synthesise", ["query_id"], kind="synthesise", lang=lang), "synthesis").select("query_id", "response", F.col("error").alias("problem"))
     answer = (
         F.when(F.size("l") == 0, all_failed).when(F.size(found) == 0, F.get("l", F.lit(0))["answer"]).when(F.size(found) == 1, F.get(found, F.lit(0))["answer"])
         .otherwise(F.coalesce(tx.strip(F.col("response")), F.array_join(F.transform(found, lambda x: x["text"]), "\n\n")))
@@ -368,7 +368,7 @@ def _merged(queries: DataFrame, good: DataFrame, told: DataFrame, model_fn: enri
 
 def decompose(queries: DataFrame, model_fn: enrich.ModelFn, most: int = 4, lang: str = "en") -> DataFrame:
     """(query_id, vault, part, query): the sub-queries that a model makes of each query, at most ``most``; the query itself if it makes none, or fails."""
-    said = stored(enrich.ask(queries.select(*KEY, prompts.build_prompt("decompose", {"n": F.lit(most), "query": F.col("query")}, lang).alias("prompt_text")), model_fn, "decompose", KEY), "decompose")
+    said = stored(enrich.ask(queries.select(*KEY, prompts.build_prompt("decompose", {"n": F.lit(most), "query": F.col("query")}, lang).alias("prompt_text")), model_fn, "decompose", KEY, kind="decompose", lang=lang), "decompose")
     subs = F.slice(rs.parse_decompose(F.coalesce("response", F.lit(""))), 1, most)
     told = queries.join(said.select(*KEY, subs.alias("subs")), KEY)
     return told.select(*KEY, F.posexplode(F.when(F.size("subs") > 1, F.col("subs")).otherwise(F.array("query"))).alias("part", "query"))
@@ -400,7 +400,7 @@ def chat_turn(turns: DataFrame, asked: DataFrame, nodes: DataFrame, edges: DataF
     said = last.filter(F.col("k") <= n_history).groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("history"))
     told = stored(asked.join(n, "session_id", "left").join(said, "session_id", "left").select("session_id", "vault", "question", (F.coalesce("turn", F.lit(0)) + 1).alias("turn"), F.coalesce("history", F.lit("")).alias("history")), "asked")
     rows = told.filter("history <> ''").select("session_id", prompts.build_prompt("rewrite", {"history": F.col("history"), "query": F.col("question")}, lang).alias("prompt_text"))
-    again = stored(enrich.ask(rows, model_fn, "rewrite", ["session_id"]), "rewritten").select("session_id", tx.strip(F.col("response")).alias("again"))
+    again = stored(enrich.ask(rows, model_fn, "rewrite", ["session_id"], kind="rewrite", lang=lang), "rewritten").select("session_id", tx.strip(F.col("response")).alias("again"))
     told = told.join(again, "session_id", "left").withColumn("rewritten", F.coalesce(F.nullif("again", F.lit("")), "question")).drop("again")
     walks = stored(navigate(told.select(F.col("session_id").alias("query_id"), "vault", F.col("rewritten").alias("query")), nodes, edges, policy, **options), "walks")
     history = told.select(F.col("session_id").alias("query_id"), "vault", "history")

@@ -18,9 +18,9 @@ INTRO = "(intro)"
 def section_tree(notes: DataFrame) -> DataFrame:
     """Sections with their parent (the last earlier heading of a lower level) and end (the next of the same or a lower one).
 
-    A note is cut at its headings where it stands: no line, and no text at all, is shuffled. Headings inside
-    of ``` fences do not count. The work is linear in the text and quadratic, in small steps, in the number
-    of a note's headings.
+    A note is cut at its headings where it stands: no line, and no text at all, is shuffled, only sizes and titles.
+    Headings inside of ``` fences do not count. All windows run from the first row of a note on or from the last, so the
+    work is linear in the text and in the number of headings.
     """
     parts, marks = F.split("body", FENCE), F.regexp_extract_all("body", F.lit(FENCE), 0)
     cut = notes.select(*KEY, F.col("title").alias("note_title"), "body", parts.alias("parts"), marks.alias("marks"))
@@ -28,22 +28,24 @@ def section_tree(notes: DataFrame) -> DataFrame:
     cut = cut.select(*KEY, "note_title", (F.length("body") + 1).cast("long").alias("end_chars"), F.split(F.array_join(plain, ""), AT_HEADING).alias("pieces"))
     breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
     level = lambda p: F.length(F.regexp_extract(p, HEADING, 1))
-    sizes = F.transform("pieces", lambda p: F.struct(F.length(p).alias("chars"), breaks(p).alias("lines"), level(p).alias("level"), tx.strip(F.regexp_extract(p, HEADING, 2)).alias("title")))
-    cut = cut.select(*KEY, "note_title", "end_chars", sizes.alias("p"))
-    upto = lambda i, field: F.aggregate(F.slice("p", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x[field])
-    placed = F.transform("p", lambda x, i: F.struct(x["level"].alias("level"), x["title"].alias("title"), (upto(i, "lines") + 1).alias("start_line"), upto(i, "chars").alias("before")))
-    cut = cut.select(*KEY, "note_title", "end_chars", (upto(F.size("p"), "lines") + 1).alias("n_lines"), F.filter(placed, lambda h: h["level"] > 0).alias("h"))
-
-    def whole(me: Column, i: Column) -> Column:
-        after = F.get(F.filter(F.slice("h", i + 2, F.size("h")), lambda x: x["level"] <= me["level"]), F.lit(0))
-        above = F.filter(F.sequence(F.lit(0), i), lambda j: F.get("h", j)["level"] < me["level"])
-        return F.struct(
-            (i + 1).cast("long").alias("seq"), me["level"].alias("level"), me["title"].alias("title"), me["start_line"].alias("start_line"),
-            F.coalesce(after["start_line"], F.col("n_lines") + 1).alias("end_line"), (F.get(above, F.size(above) - 1) + 1).cast("long").alias("parent_seq"),
-            (F.coalesce(after["before"], F.col("end_chars")) - me["before"] - 1).alias("chars"),
-        )
-
-    return cut.select(*KEY, "note_title", "n_lines", F.explode(F.transform("h", whole)).alias("s")).select(*KEY, "note_title", "s.*", "n_lines")
+    sizes = F.transform("pieces", lambda p: F.struct(F.length(p).cast("long").alias("size"), breaks(p).cast("long").alias("lines"), level(p).alias("level"), tx.strip(F.regexp_extract(p, HEADING, 2)).alias("title")))
+    rows = cut.select(*KEY, "note_title", "end_chars", F.posexplode(sizes).alias("i", "p")).select(*KEY, "note_title", "end_chars", "i", "p.*")
+
+    zero, heading = F.lit(0).cast("long"), F.col("level") > 0
+    down, up = Window.partitionBy(*KEY).orderBy("i"), Window.partitionBy(*KEY).orderBy(F.desc("i"))
+    ahead, behind = down.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "before": F.coalesce(F.sum("size").over(ahead), zero), "start_line": F.coalesce(F.sum("lines").over(ahead), zero) + 1, "seq": F.count_if(heading).over(down.rowsBetween(Window.unboundedPreceding, 0)), "n_lines": F.sum("lines").over(Window.partitionBy(*KEY)) + 1,
+    })
+    open_at = [F.last(F.when(F.col("level") == n, F.col("seq")), ignorenulls=True).over(ahead) for n in range(1, 6)]
+    rows = rows.withColumn("parent_seq", F.greatest(*[F.when(F.col("level") > n, x) for n, x in enumerate(open_at, 1)]))
+    place = F.struct("start_line", "before")
+    ends = [F.when(F.col("level") == n, F.last(F.when(heading & (F.col("level") <= n), place), ignorenulls=True).over(behind)) for n in range(1, 7)]
+    rows = rows.withColumn("next", F.coalesce(*ends)).filter(heading)
+    return rows.select(
+        *KEY, "note_title", "seq", "level", "title", "start_line", F.coalesce("next.start_line", F.col("n_lines") + 1).alias("end_line"), "parent_seq",
+        (F.coalesce("next.before", "end_chars") - F.col("before") - 1).alias("chars"), "n_lines",
+    )
 
 
 def thin_sections(tree: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
@@ -59,8 +61,8 @@ def thin_sections(tree: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
 
 def section_ranges(kept: DataFrame) -> DataFrame:
     """Ends over kept sections: the next sibling's start, else the parent's end, else past the note's last line."""
-    order = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    nexts = [F.when(F.col("level") == n, F.first(F.when(F.col("level") <= n, F.col("start_line")), ignorenulls=True).over(order)) for n in range(1, 7)]
+    order = Window.partitionBy(*KEY).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # from the last on: linear
+    nexts = [F.when(F.col("level") == n, F.last(F.when(F.col("level") <= n, F.col("start_line")), ignorenulls=True).over(order)) for n in range(1, 7)]
     return kept.withColumn("end_line", F.coalesce(*nexts, F.col("n_lines") + 1))
 
 

@@ -15,6 +15,14 @@ def parse_time_bound(text: str | None) -> datetime | None:
     return datetime.fromisoformat(text) if text else None
 
 
+def time_bound(text: Column) -> Column:
+    """The same for a column, as (bound, error): a null or blank text is no bound, and one that is neither date nor timestamp an error."""
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    shape = text.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,6})?)?(Z|[+-]\d\d:?\d\d)?)?$")
+    bound = F.when(shape & ~blank, F.try_to_timestamp(text))
+    return F.struct(bound.alias("bound"), F.when(~blank & bound.isNull(), F.concat(F.lit("neither a date nor a timestamp: "), text)).alias("error"))
+
+
 def _totals() -> list[Column]:
     zero = F.lit(0).cast("long")
     return [

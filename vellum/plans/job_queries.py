@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import changes, corpus, enrich, entities as en, links, navigate as nav, prompts, sections, usage
 from ..sources import files
+from ..sources.keyed import cache_at
 from ..sources.tables import fresh_path, stored
 from ..streaming import usage_streams as us
 from .corpus_queries import notes, queries_, raw_notes, thinned
@@ -122,6 +123,55 @@ def summarize_notes(spark, sf):
     return enrich.summarize_notes(dated, cache=cache)[0].drop("mtime")
 
 
+@query(f"""SELECT vault, node_id, trim({echo(SUMMARY)}, ' ' || chr(10) || chr(34) || chr(39)) AS summary, 1 AS calls_a_note, true AS cached
+  FROM (SELECT n.*, s.doc_id FROM notes n JOIN notes_src s USING (vault, node_id) WHERE tier = 'atomic')""")
+def summarize_cached(spark, sf):
+    """Three runs with a cache that lasts: two notes in three, then all of them, then again. What an earlier run asked is not asked again."""
+    dated = notes(spark, sf).join(raw_notes(spark, sf).select("vault", "node_id", F.col("doc_id").alias("mtime")), ["vault", "node_id"])
+    cache = cache_at(spark, buckets=8)
+    asked = [enrich.summarize_notes(some, cache=cache)[1] for some in (dated.filter("mtime % 3 > 0"), dated)]
+    said, _ = enrich.summarize_notes(dated, cache=cache)
+    n = asked[0].unionByName(asked[1]).count() / max(1, cache.entries().count())  # of both runs together
+    return said.select("vault", "node_id", "summary", F.lit(n).cast("int").alias("calls_a_note"), "cached")
+
+
+def counting_model(batch):
+    """Echoes, and reports a thousand tokens of prompt and a hundred of answer for each call."""
+    return [enrich.Reply(text, 1000, 100) for text in enrich.echo_model(batch)]
+
+
+WAVE, BUDGET = 40, 100_000
+REACHED = f"{WAVE} * ceil({BUDGET} / ({WAVE} * 1100))"
+
+
+@query(f"""SELECT least(n, {REACHED})::BIGINT AS calls, least(n, {REACHED})::BIGINT * 1100 AS tokens, greatest(0, n - {REACHED})::BIGINT AS left_out, first_left_out FROM (
+    SELECT count(*) AS n, min(CASE WHEN k > {REACHED} THEN vault || '/' || node_id END) AS first_left_out FROM (
+      SELECT vault, node_id, row_number() OVER (ORDER BY vault, node_id) AS k FROM notes WHERE tier = 'atomic'))""")
+def summarize_budget(spark, sf):
+    """Summaries in waves until the tokens that the model reports reach the budget."""
+    todo = notes(spark, sf).withColumn("mtime", F.lit(0))
+    said, used, left = enrich.summarize_within(todo, BUDGET, counting_model, WAVE)
+    rest = todo.filter("tier = 'atomic'").join(said.select("vault", "node_id"), ["vault", "node_id"], "left_anti").agg(F.min(F.concat_ws("/", "vault", "node_id")))
+    told = used.agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("prompt") + F.col("completion")).alias("tokens"))
+    return told.select("calls", "tokens", F.lit(left).cast("long").alias("left_out"), rest.scalar().alias("first_left_out"))
+
+
+def system_model(batch):
+    """Answers with the length of the standing part and of the rest, and reports these as tokens."""
+    return [enrich.Reply(f"{len(system)}+{len(user)}", len(system) + len(user), 7) for system, user in batch]
+
+
+ANSWER, STANDING = sql_prompt("answer", {"query": "query", "notes": "query"}), len(prompts.SYSTEM["answer"]["en"])
+
+
+@query(f"SELECT query_id, '{STANDING}+' || length(p) AS response, {STANDING} + length(p) AS prompt, 7 AS completion, true AS cacheable FROM (SELECT query_id, {ANSWER} AS p FROM queries_src)")
+def track_real_usage(spark, sf):
+    """Calls of a model that takes the standing part apart and reports its own tokens."""
+    rows = queries_(spark, sf).select("query_id", prompts.build_prompt("answer", {"query": F.col("query"), "notes": F.col("query")}).alias("prompt_text"))
+    said = enrich.ask(rows, enrich.SystemModel(system_model), "final", ["query_id"], kind="answer")
+    return said.select("query_id", "response", "prompt", F.col("completion").cast("int").alias("completion"), "cacheable")
+
+
 def section_rows(spark, sf):
     kept = sections.section_ranges(thinned(spark, sf))
     return sections.section_texts(kept, raw_notes(spark, sf))
@@ -317,7 +367,7 @@ def tail_usage(spark, sf):
 def stream_rollup(spark, sf):
     """The log in a shuffled order, in several batches: rows that come too late are the batch rollup's, and both together are the whole."""
     path, out = fresh_path(spark, "shuffled"), fresh_path(spark, "rollup")
-    events(spark, sf).repartitionByRange(5, F.xxhash64("event_id")).write.parquet(path)
+    events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(5, F.xxhash64("event_id")).write.parquet(path)
     us.stream_rollup(us.read_stream(spark, path + "/", 1), out, fresh_path(spark, "checkpoint"), fold_after=2)
     return us.rollup_with_late(spark, out).withColumn("day", F.col("day").cast("string"))
 
@@ -362,7 +412,7 @@ def watch_rebuild(spark, sf):
 def stream_sessions(spark, sf):
     """The log in a shuffled order, in several batches, all within the watermark."""
     path = fresh_path(spark, "shuffled")
-    events(spark, sf).select("event_id", "session_id", "ts").repartitionByRange(4, F.xxhash64("event_id")).write.parquet(path)
+    events(spark, sf).select("event_id", "session_id", F.col("ts").cast("timestamp").alias("ts")).repartitionByRange(4, F.xxhash64("event_id")).write.parquet(path)
     table = us.streamed(spark, lambda out, check: us.stream_sessions(us.read_stream(spark, path + "/", 1), out, check, late="3650 days"))
     return us.open_sessions(table)
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import responses as rs
 from ..operators import entities as en
+from ..operators.mention_store import MentionStore
+from ..sources.tables import fresh_path
 from .registry import query
 from .usage_queries import snapshot_diff
 from .views import view
@@ -136,13 +138,16 @@ def response_quality(spark, sf):
 @query("""SELECT key, count(*) AS n_mentions, min(doc_id) AS first_note FROM (
     SELECT key, doc_id FROM mentions WHERE doc_id % 10 NOT IN (1, 2, 0) UNION ALL SELECT key, doc_id FROM mentions WHERE doc_id % 10 IN (0, 2)) GROUP BY key""")
 def compile_incremental(spark, sf):
-    """The state before holds residues 1 to 9; residue 1 is deleted, 2 modified, 0 added."""
-    diff = snapshot_diff(spark, sf)
+    """The state before holds residues 1 to 9; then, in three change sets, residue 0 is added, 1 deleted, and 2 modified."""
+    store = MentionStore(spark, fresh_path(spark, "compile"), "long")
     facts = en.mention_facts(outputs(spark, sf))
-    changed = diff.filter("kind <> 'deleted'").select(F.col("path").alias("note_id"))
-    fresh = en.mention_facts(outputs(spark, sf).join(changed, "note_id", "left_semi"))
-    merged = en.incremental_mentions(facts.filter("note_id % 10 <> 0"), diff, fresh)
-    return en.aggregate_entities(merged).select("key", "n_mentions", "first_note")
+    store.apply(facts.filter("note_id % 10 <> 0").select(F.col("note_id").alias("path")).distinct(), facts.filter("note_id % 10 <> 0"))
+    diff = snapshot_diff(spark, sf)
+    for kind in ("added", "deleted", "modified"):
+        some = diff.filter(F.col("kind") == kind)
+        changed = some.filter("kind <> 'deleted'").select(F.col("path").alias("note_id"))
+        store.apply(some, en.mention_facts(outputs(spark, sf).join(changed, "note_id", "left_semi")))
+    return store.entities().select("key", "n_mentions", "first_note")
 
 
 @query("SELECT file, key FROM (SELECT regexp_replace(trim(regexp_replace(name, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || '.md' AS file, max(key) AS key FROM entities GROUP BY 1)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import changes, corpus, usage
 from ..sources import files
+from ..sources.keyed import cache_at
 from ..sources.tables import fresh_path
 from .corpus_queries import notes, raw_notes
 from .registry import query
@@ -223,9 +224,11 @@ def cache_miss(spark, sf):
 
 @query("SELECT vault, node_id, CASE WHEN doc_id % 10 <= 2 THEN 1 ELSE 0 END AS saved, CASE WHEN doc_id % 10 <= 2 THEN -1 ELSE length(body) END AS value FROM notes_src")
 def cache_upsert(spark, sf):
-    old = cached(spark, sf).select("vault", "node_id", F.lit(0).alias("saved"), "value")
-    fresh = cache_miss(spark, sf).select("vault", "node_id", F.lit(1).alias("saved"), F.lit(-1).alias("value"))
-    return changes.cache_upsert(old, fresh, ["vault", "node_id"])
+    """A table that an earlier run left, and what this run makes of its misses merged into it."""
+    cache = cache_at(spark, value="value int", buckets=8)
+    cache.save(cached(spark, sf))
+    cache.save(cache.misses(wanted(spark, sf)).withColumn("value", F.lit(-1)))
+    return cache.entries().select("vault", "node_id", (F.col("value") == -1).cast("int").alias("saved"), "value")
 
 
 @query("SELECT source AS owner, count(*) FILTER (doc_id % 10 > 2) AS hits, count(*) FILTER (doc_id % 10 <= 2) AS misses FROM documents GROUP BY source")
@@ -235,3 +238,16 @@ def cache_by_vault(spark, sf):
     owned = corpus.owner_vault(rows.select("path", "node_id", "mtime", "model"), roots, "src0")
     hit = owned.join(cached(spark, sf), KEYS, "left")
     return hit.groupBy(F.col("vault").alias("owner")).agg(F.count("value").alias("hits"), F.count_if(F.col("value").isNull()).alias("misses"))
+
+
+BOUNDS = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN substring(cast(ts AS varchar(30)), 1, 10) WHEN 1 THEN replace(substring(cast(ts AS varchar(30)), 1, 19), ' ', 'T')
+    WHEN 2 THEN substring(cast(ts AS varchar(30)), 1, 19) WHEN 3 THEN 'yesterday' WHEN 4 THEN '' ELSE '2024-13-' || cast(event_id AS varchar(20)) END AS said FROM usage_src"""
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 6 < 3 THEN strftime(try_cast(said AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') END AS bound,
+  CASE WHEN event_id % 6 IN (3, 5) THEN 'neither a date nor a timestamp: ' || said END AS error FROM ({BOUNDS})""")
+def parse_time_bound(spark, sf):
+    """Dates and timestamps as parameters come, one an event; those that are neither are told, and no bound is none."""
+    view(spark, sf, "usage_src").createOrReplaceTempView("usage_src_bounds")
+    told = spark.sql(BOUNDS.replace("usage_src", "usage_src_bounds")).select("event_id", usage.time_bound(F.col("said")).alias("b"))
+    return told.select("event_id", F.date_format("b.bound", "yyyy-MM-dd HH:mm:ss").alias("bound"), "b.error")
