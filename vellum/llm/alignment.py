@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .units import Pool, Units, slices
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_BYTES = 8_000_000
-#: So many units go through the libraries at a time: what these return of a unit takes some kilobytes.
+#: So many units go through the libraries at a time, as one text: no token reaches across them.
 UNITS_AT_A_TIME = 1000
 MARK = "▁"
 CHUNK = """chunk long, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,
@@ -58,6 +59,9 @@ class Tokenizers:
             raise ValueError("a piece reaches across a blank")
         self.pieces_b = [bytes([int(t[3:5], 16)]) if self.b.is_byte(i) else t.replace(MARK, " ").encode() for i, t in zip(n, text, strict=True)]
         self.blank = self.b.piece_to_id(MARK)
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.pieces_a, self.pieces_b))
+        self.digits = [b"%d" % i for i in range(max(len(self.pieces_a), len(self.pieces_b)))]
+        self.is_byte = np.array([self.b.is_byte(i) for i in n], bool)
 
     @classmethod
     def of(cls, key: int, a: str, b: bytes) -> Tokenizers:
@@ -65,48 +69,54 @@ class Tokenizers:
             cls.made[key] = cls(a, b)
         return cls.made[key]
 
-    def tokens_a(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids and byte ends of the tokens of each unit."""
-        for unit, told in zip(units, self.a.encode_batch(units, add_special_tokens=False), strict=True):
-            ids, spans = told.ids, told.offsets
-            if unit.isascii():
-                yield ids, [e for _, e in spans]
-                continue
-            byte_at = np.append(0, np.cumsum([len(c.encode()) for c in unit])).tolist()
-            ends, at = [], 0
-            for k, (i, (_, end)) in enumerate(zip(ids, spans, strict=True)):
-                # a character that the next token shares is cut by what this one decodes to
-                at = at + len(self.pieces_a[i]) if k + 1 < len(spans) and spans[k + 1][0] < end else byte_at[end]
-                ends.append(at)
-            yield ids, ends
-
-    def tokens_b(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids and byte ends of the tokens of each unit; a unit's first blank is the one that the model adds."""
-        for unit, told in zip(units, self.b.encode([u[1:] for u in units], return_type="proto", num_threads=1), strict=True):
-            if len(unit) == 1:  # to the model an empty text has no blank in front
-                yield [self.blank], [1]
-                continue
-            ids, ends, at = [], [], 0
-            for piece in told.pieces:
-                i, end = piece.id, piece.end + 1
-                at = end if end > at else at + len(self.pieces_b[i])  # an empty span: a byte of a character, or the added blank alone
-                ids.append(i)
-                ends.append(at)
-            yield ids, ends
-
-
-def align(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> tuple[list[int], list[str]]:
-    """Linked pairs (a << 32 | b) of tokens whose bytes overlap, in order, and the groups between common ends as text."""
-    links, groups, i, j, from_a, from_b = [], [], 0, 0, 0, 0
-    while i < len(ids_a):
-        links.append(ids_a[i] << 32 | ids_b[j])
-        end_a, end_b = ends_a[i], ends_b[j]
-        i += end_a <= end_b
-        j += end_b <= end_a
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, ids_a[from_a:i]))}|{','.join(map(str, ids_b[from_b:j]))}")
-            from_a, from_b = i, j
-    return links, groups
+    def bytes_a(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces_a.__getitem__, ids.tolist()))
+
+    def bytes_b(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.pieces_b.__getitem__, ids.tolist()))
+
+    def tokens_a(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and byte ends of the tokens of one text."""
+        told = self.a.encode(text, add_special_tokens=False)
+        ids = np.array(told.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(told.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        size = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        coarse = np.append(0, np.cumsum(size))[spans[:, 1]]
+        # a character that the next token shares is cut by what its tokens decode to
+        return ids, refined(coarse, np.append(spans[1:, 0] < spans[:-1, 1], False), self.size_a[ids])
+
+    def tokens_b(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and byte ends of the tokens of one text that begins with a blank, which is the one that the model adds."""
+        if len(text) == 1:  # to the model an empty text has no blank in front
+            return np.array([self.blank]), np.array([1])
+        pieces = self.b.encode(text[1:], return_type="proto").pieces
+        told = np.fromiter(chain.from_iterable((p.id, p.end) for p in pieces), np.int64, 2 * len(pieces)).reshape(-1, 2)
+        ids, coarse = told[:, 0], told[:, 1] + 1
+        # an empty span is a byte of a character that later tokens end, or the added blank alone
+        empty = np.diff(np.append(0, told[:, 1])) == 0
+        byte = self.is_byte[ids]
+        return ids, refined(coarse, empty | byte & np.append(byte[1:] & empty[1:], False), self.size_b[ids])
+
+
+def refined(coarse: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Byte ends: as told, but for tokens inside a character, which end so many bytes after the one before."""
+    ends, total = coarse.copy(), np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(inside, -1, np.arange(len(coarse))))  # the last token with a cut of its own
+    base = np.where(last >= 0, coarse[last] - total[last], 0)
+    ends[inside] = (base + total)[inside]
+    return ends
+
+
+def align(ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs (a << 32 | b) of tokens whose bytes overlap, in order, the byte end of each link, and the ends common to both.
+
+    Between two ends of either sort lies one token of each, and no other stretch has both.
+    """
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    twice = np.append(ends[1:] == ends[:-1], False)
+    every = ends[~twice]
+    return ids_a[np.searchsorted(ends_a, every)] << 32 | ids_b[np.searchsorted(ends_b, every)], every, ends[twice]
 
 
 class Aligner:
@@ -127,18 +137,49 @@ class Aligner:
             self._learn_some(units[k : k + UNITS_AT_A_TIME])
 
     def _learn_some(self, units: list[bytes]) -> None:
-        texts = [u.decode("utf-8", "replace") for u in units]
-        links, sizes, counts = [], [], []
-        for raw, (ids_a, ends_a), (ids_b, ends_b) in zip(units, self.t.tokens_a(texts), self.t.tokens_b(texts), strict=True):
-            same = b"".join(map(self.t.pieces_a.__getitem__, ids_a)) == raw == b"".join(map(self.t.pieces_b.__getitem__, ids_b))
-            some, groups = align(ids_a, ends_a, ids_b, ends_b) if same else ([], [])
-            links += some
-            sizes.append(len(some))
-            self.text.append(";".join(groups).encode())
-            counts += (len(ids_a), len(ids_b), len(groups)) if same else (0, 0, 0)
-            self.same.append(same)
-        self.links.add(links, sizes)
-        self.counts.add(counts, [3] * len(units))
+        # a unit that ends in white space, or has the mark of a blank in it, would reach into one put behind it
+        odd = [MARK.encode() in u or u[-4:].decode("utf-8", "ignore")[-1:].isspace() for u in units]
+        even = [u for u, o in zip(units, odd, strict=True) if not o]
+        told = iter(self._together(even) or map(self._alone, even))
+        rows = [self._alone(u) if o else next(told) for u, o in zip(units, odd, strict=True)]
+        self.links.add(np.concatenate([r[0] for r in rows]), [len(r[0]) for r in rows])
+        self.text += [r[1] for r in rows]
+        self.counts.add([x for r in rows for x in r[2]], [3] * len(rows))
+        self.same += [r[3] for r in rows]
+
+    def _alone(self, raw: bytes) -> tuple[np.ndarray, bytes, tuple[int, int, int], bool]:
+        """Links, groups and counts of one unit, and whether both tokenizers give back its bytes."""
+        text = raw.decode("utf-8", "replace")
+        (ids_a, ends_a), (ids_b, ends_b) = self.t.tokens_a(text), self.t.tokens_b(text)
+        if not self.t.bytes_a(ids_a) == raw == self.t.bytes_b(ids_b):
+            return np.zeros(0, np.int64), b"", (0, 0, 0), False
+        links, _, common = align(ids_a, ends_a, ids_b, ends_b)
+        return links, b";".join(self._grouped(ids_a, ends_a, ids_b, ends_b, common)), (len(ids_a), len(ids_b), len(common)), True
+
+    def _grouped(self, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray, common: np.ndarray) -> list[bytes]:
+        """The ids between common ends, as ``a1,a2|b1``."""
+        a, b = (np.searchsorted(x, common, side="right").tolist() for x in (ends_a, ends_b))
+        text_a, text_b = (list(map(self.t.digits.__getitem__, x.tolist())) for x in (ids_a, ids_b))
+        join = b",".join
+        return [join(text_a[p:q]) + b"|" + join(text_b[x:y]) for p, q, x, y in zip([0, *a], a, [0, *b], b, strict=False)]
+
+    def _together(self, units: list[bytes]) -> list[tuple[np.ndarray, bytes, tuple[int, int, int], bool]] | None:
+        """The same for many units put behind one another; None if the tokenizers don't give back the whole, or reach across units."""
+        if not units:
+            return []
+        raw = b"".join(units)
+        text = raw.decode("utf-8", "replace")
+        (ids_a, ends_a), (ids_b, ends_b) = self.t.tokens_a(text), self.t.tokens_b(text)
+        if not self.t.bytes_a(ids_a) == raw == self.t.bytes_b(ids_b):
+            return None
+        links, every, common = align(ids_a, ends_a, ids_b, ends_b)
+        at = np.cumsum(list(map(len, units)))
+        if (common[np.minimum(np.searchsorted(common, at), len(common) - 1)] != at).any():
+            return None
+        cuts = [np.searchsorted(x, at, side="right") for x in (every, common, ends_a, ends_b)]
+        groups = self._grouped(ids_a, ends_a, ids_b, ends_b, common)
+        link, group, n_a, n_b = (np.append(0, c).tolist() for c in cuts)
+        return [(links[link[k] : link[k + 1]], b";".join(groups[group[k] : group[k + 1]]), (n_a[k + 1] - n_a[k], n_b[k + 1] - n_b[k], group[k + 1] - group[k]), True) for k in range(len(units))]
 
 
 def _one(values: pa.Array) -> pa.ListArray:
