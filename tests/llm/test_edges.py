@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,17 @@ def test_chat(spark):
     assert chat.chat_digest(chat.format_chats(spark.createDataFrame([], schema))).count() == 0
 
 
+def test_long_conversations(spark):
+    """Sixteen thousand turns by turns of two roles, and of one role alone."""
+    rows = spark.range(32_000).select((F.col("id") % 2).alias("conv_id"), F.col("id").alias("turn"), F.when((F.col("id") % 2 == 0) & (F.col("id") % 4 < 2), "user").otherwise("assistant").alias("role"), F.concat(F.lit("é#text "), F.repeat(F.lit("x"), 200), "id").alias("text"))
+    began = time.monotonic()
+    got = {r.conv_id: r for r in chat.chat_digest(chat.format_chats(rows)).collect()}
+    assert time.monotonic() - began < 40
+    for c in (0, 1):
+        text = [f"é#text {'x' * 200}{i}" for i in range(c, 32_000, 2) if c or i % 4 >= 2]
+        assert (got[c].n_turns, got[c].loss_sha256) == (16_000, hashlib.sha256("".join(text).encode()).hexdigest())
+
+
 def test_exact_dedup(docs, none):
     got = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect())
     assert got == [(0, None, 1, True), (0, None, 1, True), (1, 7, 4, False), (2, 7, 4, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 4, True), (7, 7, 4, True), (8, 8, 1, True), (9, 9, 1, True)]

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 OPEN, ROLE_END, CUT, CLOSE = "### ", ": ", "<cut>", "</turn>\n"
 
 
@@ -54,27 +56,17 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), blank).alias("role"), F.coalesce(F.col(text), blank).alias("text")).alias("t"),
     )
     told = of.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    n = F.size("turns")
-    at = lambda i: F.get("turns", i)
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (at(i)["role"] != at(i - 1)["role"]))
-    told = told.select("conv_id", "turns", starts.alias("starts"))
-
-    def block(first: Column, b: Column) -> Column:
-        end = F.coalesce(F.get("starts", b + 1), n)
-        return F.struct(
-            at(first)["role"].alias("role"),
-            F.concat(F.lit(OPEN), _swap(at(first)["role"], ROLE_ESCAPES), F.lit(ROLE_END)).alias("head"),
-            F.transform(F.slice("turns", first + 1, end - first), lambda t: escape(t["text"])).alias("texts"),
-        )
 
-    told = told.select("conv_id", F.transform("starts", block).alias("blocks"))
-    whole = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], CUT), F.lit(CLOSE))), "")
+    def piece(t: Column, i: Column) -> Column:
+        """A turn with what stands before it: a cut after a turn of the same role, else the end of the block before and a head."""
+        same = F.coalesce(F.get("turns", i - 1)["role"] == t["role"], F.lit(False))
+        head = F.concat(F.when(i > 0, CLOSE).otherwise(""), F.lit(OPEN), _swap(t["role"], ROLE_ESCAPES), F.lit(ROLE_END))
+        return F.struct(F.when(same, CUT).otherwise(head).alias("before"), escape(t["text"]).alias("text"), (t["role"] == learn).alias("loss"))
 
-    def runs(b: Column, k: Column) -> Column:
-        before = F.length(b["head"]) + F.when(k > 0, len(CLOSE)).otherwise(0)
-        return F.transform(b["texts"], lambda t, j: F.struct(F.when(j == 0, before).otherwise(len(CUT)).alias("skip"), F.length(t).alias("take"), (b["role"] == learn).alias("loss")))
-
-    return told.select("conv_id", whole.alias("formatted"), F.flatten(F.transform("blocks", runs)).alias("loss_mask"))
+    told = told.select("conv_id", F.transform("turns", piece).alias("pieces"))
+    whole = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"])), ""), F.lit(CLOSE))
+    mask = F.transform("pieces", lambda p: F.struct(F.length(p["before"]).alias("skip"), F.length(p["text"]).alias("take"), p["loss"].alias("loss")))
+    return told.select("conv_id", whole.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_chats(formatted: Column) -> Column:
@@ -82,26 +74,31 @@ def read_chats(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, CLOSE), lambda b: b != "")
 
     def parts(b: Column) -> Column:
-        two = F.split(b, ROLE_END, 2)
-        role = _swap(F.substring(F.get(two, F.lit(0)), len(OPEN) + 1, 1 << 30), [(y, x) for x, y in reversed(ROLE_ESCAPES)])
-        return F.transform(F.split(F.get(two, F.lit(1)), CUT), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        def texts(two: Column) -> Column:
+            role = _swap(F.substring(F.get(two, F.lit(0)), len(OPEN) + 1, 1 << 30), [(y, x) for x, y in reversed(ROLE_ESCAPES)])
+            return let(role, lambda r: F.transform(F.split(F.get(two, F.lit(1)), CUT), lambda t: F.struct(r.alias("role"), unescape(t).alias("text"))))
+
+        return let(F.split(b, ROLE_END, 2), texts)
 
     return F.flatten(F.transform(blocks, parts))
 
 
 def under_mask(formatted: Column, mask: Column) -> Column:
-    """What the runs of a mask that count for the loss cover, cut out of the formatted text and unescaped: an array of texts."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
-    step = lambda acc, r: F.struct((acc["at"] + r["skip"] + r["take"]).alias("at"), F.array_append(acc["begins"], acc["at"] + r["skip"]).alias("begins"))
-    placed = F.arrays_zip(mask.alias("run"), F.aggregate(mask, zero, step)["begins"].alias("begin"))
-    return F.transform(F.filter(placed, lambda x: x["run"]["loss"]), lambda x: unescape(formatted.substr(x["begin"] + 1, x["run"]["take"])))
+    """What the runs of a mask that count for the loss cover, cut out of the formatted text and unescaped: an array of texts.
 
+    Control strings part the text into as many pieces as there are runs, and a run covers the end of its piece: the text is
+    cut once, and each piece on its own. A run whose skipped points are not the head of its piece and one control string is an error.
+    """
+    pieces = F.split(formatted, f"{CUT}|{CLOSE}")
+    runs = F.arrays_zip(mask.alias("run"), F.slice(pieces, 1, F.size(mask)).alias("piece"))
+    head = lambda x: x["run"]["skip"] - F.length(x["piece"]) + x["run"]["take"]
+    fits = lambda x: (x["run"]["take"] == 0) | head(x).isin(0, len(CUT), len(CLOSE))
+    cut = lambda x: F.when(fits(x), F.right(x["piece"], x["run"]["take"])).otherwise(F.raise_error(F.lit("the mask does not fit the text")).cast("string"))
+    return F.transform(F.filter(runs, lambda x: x["run"]["loss"]), lambda x: unescape(cut(x)))
 
-def chat_digest(formatted: DataFrame) -> DataFrame:
-    """Digests of what `read_chats` and the loss mask give back from `format_chats` output; the mask alone says what counts for the loss.
 
-    Cutting by positions takes time in proportion to the turns times the length of a conversation.
-    """
+def chat_digest(formatted: DataFrame) -> DataFrame:
+    """Digests of what `read_chats` and the loss mask give back from `format_chats` output; the mask alone says what counts for the loss."""
     back = formatted.select("conv_id", "formatted", under_mask(F.col("formatted"), F.col("loss_mask")).alias("parts"), read_chats(F.col("formatted")).alias("back"))
     told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     back = back.select("conv_id", F.size("back").cast("long").alias("n_turns"), told.alias("told"), F.array_join("parts", "").alias("under"), F.length("formatted").cast("long").alias("formatted_chars"))
