@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -126,6 +127,23 @@ def test_viterbi_against_all_paths():
         assert langid.viterbi(e, np.array([n]), 2.0).tolist() == paths[value.argmax()].tolist()
 
 
+def test_long_texts_in_many_languages_are_labelled_in_stretches(monkeypatch):
+    rng = np.random.default_rng(7)
+    model = langid.Model([f"l{k}" for k in range(40)], rng.normal(0, 1, (langid.BUCKETS, 40)).astype(np.float32), np.ones((len(langid.SCRIPTS) + 1, 40), bool))
+    text = " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000))
+    whole = model.predict([text])
+    monkeypatch.setattr(langid, "CHUNK_CELLS", 4000)
+    assert model.predict([text]) == whole and model.predict(["", text[:300]])[0] == ("und", 0.0, 0)
+    # a quarter of a million words in five hundred languages are 500 MB of scores, and half of that again of pointers
+    monkeypatch.setattr(langid, "CHUNK_CELLS", 8_000_000)
+    model = langid.Model([f"l{k}" for k in range(500)], rng.normal(0, 1, (langid.BUCKETS, 500)).astype(np.float32), np.ones((len(langid.SCRIPTS) + 1, 500), bool))
+    tracemalloc.start()
+    label = model._labels(langid.Words(["word and wort " * 83_000]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(label) == 249_000 and len(set(label[1000:-1000])) == 1 and peak < 200e6
+
+
 def test_secrets(spark, docs, none):
     schema = "doc_id long, text string, lang string, source string"
     key, example, mine = "AKIA" + "Q" * 16, "xK9vQ2mB7zL4tR8wN3yP6", "Zr5cW1jH8dF3sG6aU9eM2"

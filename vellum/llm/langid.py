@@ -7,7 +7,7 @@ of them, and a Viterbi pass over the words with a penalty for each switch labels
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -82,17 +82,45 @@ class Words:
         self.script = script[points[at[self.first]]]
         self.per_text = np.bincount(self.text, minlength=len(texts))
 
-    def sums(self, table: np.ndarray) -> np.ndarray:
-        """For each word the sum of its characters' rows of the table, gathered a stretch of characters at a time."""
-        out = np.zeros((len(self.first), table.shape[1]), table.dtype)
-        step = max(1, CHUNK_CELLS // table.shape[1])
-        for low in range(0, len(self.buckets), step):
-            some = self.buckets[low : low + step]
-            a, b = np.searchsorted(self.first, low, side="right") - 1, np.searchsorted(self.first, low + len(some), side="left")
-            out[a:b] += np.add.reduceat(table[some], np.maximum(self.first[a:b] - low, 0), axis=0)
+    def sums(self, table: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """For each word of a stretch the sum of its characters' rows of the table, gathered a number of characters at a time."""
+        stop = len(self.first) if stop is None else stop
+        first = self.first[start:stop]
+        out = np.zeros((len(first), table.shape[1]), table.dtype)
+        if not len(first):
+            return out
+        step, end = max(1, CHUNK_CELLS // table.shape[1]), self.first[stop] if stop < len(self.first) else len(self.buckets)
+        for low in range(int(first[0]), int(end), step):
+            some = self.buckets[low : min(low + step, end)]
+            a, b = np.searchsorted(first, low, side="right") - 1, np.searchsorted(first, low + len(some), side="left")
+            out[a:b] += np.add.reduceat(table[some], np.maximum(first[a:b] - low, 0), axis=0)
         return out
 
 
+def viterbi_long(scores: Callable[[int, int], np.ndarray], length: int, n: int, penalty: float = SWITCH) -> np.ndarray:
+    """`viterbi` of one sequence whose scores are made a stretch at a time.
+
+    All that is kept of a word is the best label before it and, a bit a label, which labels switch from that one.
+    """
+    best, bits = np.zeros(length, np.int16), np.zeros((length, (n + 7) // 8), np.uint8)
+    value, step = np.zeros(n, np.float32), max(1, CHUNK_CELLS // n)
+    for low in range(0, length, step):
+        some = scores(low, min(low + step, length))
+        switched = np.zeros(some.shape, bool)
+        for t in range(len(some)):
+            k = value.argmax()
+            over = value[k] - np.float32(penalty if low + t else 0)
+            best[low + t], switched[t] = k, over > value
+            value = np.maximum(value, over) + some[t]
+        bits[low : low + len(some)] = np.packbits(switched, axis=1)
+    out, label = np.zeros(length, np.int64), int(value.argmax()) if length else 0
+    for t in range(length - 1, -1, -1):
+        out[t] = label
+        if bits[t, label >> 3] >> (7 - (label & 7)) & 1:
+            label = int(best[t])
+    return out
+
+
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """The best label of each word; sequences of the given lengths lie one after another and advance together."""
     n = scores.shape[1]
@@ -127,16 +155,23 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, scripts: np.ndarray):
         self.languages, self.weights, self.scripts = languages, weights, scripts
 
+    def _labels(self, words: Words) -> np.ndarray:
+        def scores(start: int, stop: int) -> np.ndarray:
+            mine = self.scripts[words.script[start:stop]]
+            return np.where(mine | ~mine.any(axis=1, keepdims=True), words.sums(self.weights, start, stop), np.float32(-1e4))
+
+        n, languages = len(words.first), len(self.languages)
+        if len(words.per_text) == 1 and n * languages > CHUNK_CELLS:  # one long text: a stretch of its scores at a time
+            return viterbi_long(scores, n, languages)
+        return viterbi(scores(0, n), words.per_text)
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """(language, share of the letters in its spans, number of spans) of each text."""
         if not self.languages:
             return [("und", 0.0, 0)] * len(texts)
         n = len(self.languages)
         words = Words(texts)
-        scores = words.sums(self.weights)
-        mine = self.scripts[words.script]
-        scores = np.where(mine | ~mine.any(axis=1, keepdims=True), scores, np.float32(-1e4))
-        label = viterbi(scores, words.per_text)
+        label = self._labels(words)
         letters = np.bincount(words.text * n + label, weights=words.letters, minlength=len(texts) * n).reshape(-1, n)
         total = letters.sum(axis=1)
         best = letters.argmax(axis=1)
@@ -147,9 +182,7 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[str, int]]:
         """(language, number of words) of the spans of one text, in order."""
-        words = Words([text])
-        mine = self.scripts[words.script]
-        label = viterbi(np.where(mine | ~mine.any(axis=1, keepdims=True), words.sums(self.weights), np.float32(-1e4)), words.per_text)
+        label = self._labels(Words([text]))
         out: list[tuple[str, int]] = []
         for x in label:
             name = self.languages[x]
