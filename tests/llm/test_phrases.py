@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import phrases
@@ -43,10 +42,9 @@ def longer(c, least, made={}):  # noqa: B006
     return made[id(c)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_random_texts(spark, seed):
+def test_random_texts(spark):
     """Few words and many ties; levels are lowered several times, since few phrases are let in at first."""
-    rng = random.Random(seed)
+    rng = random.Random(1)
     word = lambda: rng.choice("abcdefghij") * rng.choice([1, 1, 2]) + rng.choice(["", "é", "B"])
     fixed = [" ".join(word() + "x" for _ in range(4)) for _ in range(6)]
     docs = []
