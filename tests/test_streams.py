@@ -22,10 +22,9 @@ def as_minutes(rows):
     return sorted((r.session_id, minute(r.start), minute(r.last_active), r.turns) for r in rows)
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_sessions_in_any_order_and_batching(spark, tmp_path, seed):
+def test_sessions_in_any_order_and_batching(spark, tmp_path):
     """Turns shuffled over batches, a start of the stream anew between them: starts move, sessions join, equal times count."""
-    rng = random.Random(seed)
+    rng = random.Random(0)
     rows = [(s, rng.randint(0, 900)) for s in range(6) for _ in range(rng.randint(1, 14))]
     rows += rows[:5]
     want = as_minutes(usage.sessions(turns_of(spark, rows)).collect())

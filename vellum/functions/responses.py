@@ -99,6 +99,7 @@ def parse_decompose(response: Column) -> Column:
 def parse_entities(response: Column) -> Column:
     """(name, category, description) of ``ENTITY: a | b | c`` lines; a text that is ``NONE`` has none."""
     whole = F.regexp_extract_all(response, F.lit(ENTITY_LINE), 0)
-    part = lambda m, k: strip(F.regexp_extract(m, ENTITY_LINE, k))
-    rows = F.transform(whole, lambda m: F.struct(part(m, 1).alias("name"), F.lower(part(m, 2)).alias("category"), part(m, 3).alias("description")))
+    fields = F.transform(whole, lambda m: F.split(F.regexp_replace(m, ENTITY_LINE, "$1\n$2\n$3"), "\n"))  # no field holds a line break
+    part = lambda x, k: strip(F.get(x, F.lit(k)))
+    rows = F.transform(fields, lambda x: F.struct(part(x, 0).alias("name"), F.lower(part(x, 1)).alias("category"), part(x, 2).alias("description")))
     return F.filter(F.when(F.upper(strip(response)) == "NONE", F.slice(rows, 1, 0)).otherwise(rows), lambda r: r["name"] != "")

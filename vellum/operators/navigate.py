@@ -332,16 +332,28 @@ def until_error(rows: DataFrame, pos: str = "pos") -> DataFrame:
     return rows.filter(F.coalesce(F.col(pos) <= first, F.lit(True)))
 
 
-def answer_vaults(queries: DataFrame, vaults: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, policy: Overlap | Model | None = None, model_fn: enrich.ModelFn = enrich.echo_model, exclude: tuple[str, ...] = (), only: tuple[str, ...] = (), lang: str = "en", **options) -> DataFrame:
+def answer_vaults(queries: DataFrame, vaults: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, policy: Overlap | Model | None = None, model_fn: enrich.ModelFn = enrich.echo_model, exclude: tuple[str, ...] = (), only: tuple[str, ...] = (), lang: str = "en", split: bool = False, **options) -> DataFrame:
     """Every query in every vault, each on its own, and one answer: (query_id, answer, cited as ``vault::id``, steps, vaults with evidence, failed vaults).
 
     ``vaults`` are (pos, vault); ``exclude`` and ``only`` restrict them. A vault whose walk ends with an error counts
     as failed and the others go on; if all fail, the answer says so. Answers of several vaults are made one by the model.
+    With ``split`` a query is first split into parts, once for all vaults, and a vault's answer is made of those of its
+    parts; a vault has then failed if all its parts have.
     """
     vaults = vaults.filter(F.col("vault").isin(*only)) if only else vaults
     vaults = vaults.filter(~F.col("vault").isin(*exclude)) if exclude else vaults
     every = vaults.agg(F.collect_list(F.struct("pos", "vault"))).scalar()  # vaults are few: every query meets every one of them
     asked = queries.select("query_id", "query", F.explode(every).alias("v")).select("query_id", "query", "v.*")
+    if split:
+        keyed = stored(asked.withColumn("key", F.concat_ws("/", "query_id", "vault")), "asked")
+        subs = decompose(queries.withColumn("vault", F.lit("")), model_fn, lang=lang).select("query_id", "part", F.col("query").alias("sub"))
+        subs = keyed.join(subs, "query_id").select(F.col("key").alias("query_id"), "vault", "part", F.col("sub").alias("query"))
+        said = answer_decomposed(keyed.select(F.col("key").alias("query_id"), "vault", "query"), nodes, edges, policy, model_fn, subs, lang, **options)
+        parts = subs.groupBy(F.col("query_id").alias("key")).agg(F.count(F.lit(1)).alias("n_parts"))
+        said = said.select(F.col("query_id").alias("key"), "answer", "cited", "steps", F.when(F.col("with_evidence") > 0, "normal").otherwise("none").alias("status"), F.size("failed").alias("n_failed"))
+        told = stored(keyed.join(said, "key").join(parts, "key").withColumn("error", F.when(F.col("n_failed") >= F.col("n_parts"), F.col("answer"))), "told")
+        good = told.filter("error IS NULL").withColumn("cited", F.transform("cited", lambda c: F.concat("vault", F.lit("::"), c)))
+        return _merged(queries, good, told, model_fn, lang, F.col("vault"), "failed", F.col("vault"), "[all vaults failed]")
     walks = stored(navigate(asked.select(*KEY, "query"), nodes, edges, policy, **options), "walks")
     said = answers(walks, nodes, model_fn, lang, options.get("max_tokens"))
     told = asked.join(said, KEY).join(walks.select(*KEY, "steps"), KEY)

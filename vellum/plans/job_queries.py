@@ -66,7 +66,7 @@ PAGE_FILES = "(SELECT regexp_replace(trim(regexp_replace(name, '[^\\w\\s\\p{L}-]
 
 
 def entities(spark, sf):
-    return en.aggregate_entities(en.mention_facts(view(spark, sf, "model_output_src").select(F.col("doc_id").alias("note_id"), "response")))
+    return en.aggregate_entities(stored(en.mention_facts(view(spark, sf, "model_output_src").select(F.col("doc_id").alias("note_id"), "response"))))
 
 
 @query(f"SELECT 'pages' AS part, file AS name, 1 AS n FROM {PAGE_FILES} UNION ALL SELECT 'index', category, count(*) FROM entities GROUP BY category UNION ALL SELECT 'log', '', 2")
@@ -215,7 +215,7 @@ def first_word_model(batch):
 def extract_entities(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("note_id"), F.lit("t").alias("title"), F.replace("text", F.lit("|"), F.lit("/")).alias("body"))
     said, _ = enrich.extract_entities(docs, first_word_model)
-    return en.aggregate_entities(en.mention_facts(said)).select("key", "category", "n_mentions")
+    return en.aggregate_entities(stored(en.mention_facts(said))).select("key", "category", "n_mentions")
 
 
 @query(f"SELECT file, key FROM {PAGE_FILES}")
@@ -287,6 +287,14 @@ def navigate_vaults(spark, sf):
     return nav.answer_vaults(queries_(spark, sf), stored(vaults, "vaults"), nodes, edges)
 
 
+@query()
+def navigate_vaults_decomposed(spark, sf):
+    """Every query, split by a model, in every vault: parts are answered inside of each vault, and vaults after that."""
+    nodes, edges = walk_inputs(spark, sf)
+    vaults = nodes.select("vault").distinct().select(F.rank().over(Window.orderBy("vault")).alias("pos"), "vault")  # a row a vault
+    return nav.answer_vaults(queries_(spark, sf), stored(vaults, "vaults"), nodes, edges, model_fn=guide, split=True)
+
+
 @query()
 def navigate_decomposed(spark, sf):
     """Queries that a model splits, whose parts are walked and whose answers are made one."""

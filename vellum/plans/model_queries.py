@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import responses as rs
 from ..operators import entities as en
 from ..operators.mention_store import MentionStore
-from ..sources.tables import fresh_path
+from ..sources.tables import fresh_path, stored
 from .registry import query
 from .usage_queries import snapshot_diff
 from .views import view
@@ -76,11 +76,11 @@ def mention_facts(spark, sf):
 @query("""SELECT key, arg_min(name, doc_id) AS name, arg_min(category, doc_id) AS category, arg_min(description, doc_id) AS first_description, count(*) AS n_mentions, min(doc_id) AS first_note
   FROM mentions GROUP BY key""")
 def aggregate_entities(spark, sf):
-    return en.aggregate_entities(en.mention_facts(outputs(spark, sf)))
+    return en.aggregate_entities(stored(en.mention_facts(outputs(spark, sf)), "mentions"))
 
 
 def entities(spark, sf):
-    return en.aggregate_entities(en.mention_facts(outputs(spark, sf)))
+    return en.aggregate_entities(stored(en.mention_facts(outputs(spark, sf)), "mentions"))
 
 
 @query("""SELECT key, string_agg(doc_id::VARCHAR || ':' || description, chr(10) ORDER BY doc_id) AS mentions
