@@ -126,20 +126,20 @@ def fallback_summary(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tx.fallback_summary(F.col("text")).alias("summary"))
 
 
-@query("SELECT item_id, trim(text, ' ' || chr(10)) AS summary FROM benchmark")
+@query("SELECT doc_id, trim(text, ' ' || chr(10)) AS summary FROM documents")
 def clean_summary(spark, sf):
     said = F.concat(F.lit(' \n"'), F.col("text"), F.lit("\"' \n"))
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.clean_summary(said).alias("summary"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tx.clean_summary(said).alias("summary"))
 
 
-@query("SELECT item_id, regexp_replace(trim(regexp_replace(text, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || '.md' AS file FROM benchmark")
+@query("SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[^\\w\\s\\p{L}-]', '', 'g')), '\\s+', '-', 'g') || '.md' AS file FROM documents")
 def slugify(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.file_slug(F.col("text")).alias("file"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tx.file_slug(F.col("text")).alias("file"))
 
 
-@query("SELECT item_id, lower(trim(text, ' ' || chr(9) || chr(10))) AS key FROM benchmark")
+@query("SELECT doc_id, lower(trim(text, ' ' || chr(9) || chr(10))) AS key FROM documents")
 def entity_key(spark, sf):
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tx.entity_key(F.concat(F.lit(" "), "text", F.lit("\t"))).alias("key"))
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tx.entity_key(F.concat(F.lit(" "), "text", F.lit("\t"))).alias("key"))
 
 
 @query("SELECT vault, node_id AS note_id, kept_seq FROM thinned")

@@ -55,9 +55,11 @@ def parse_with_fallback(spark, sf):
     return told.select("query_id", "p.action", "p.value", "p.attempt")
 
 
-@query("""SELECT item_id AS query_id, k - 1 AS pos, trim(s) AS sub FROM (SELECT item_id, unnest(string_split(replace(text, chr(10), ' '), ' ')[1:3]) AS s, unnest(range(1, 4)) AS k FROM benchmark WHERE item_id % 3 <> 0)""")
+@query("""SELECT item_id AS query_id, unnest(range(0, len(ws))) AS pos, unnest(ws) AS sub FROM (
+    SELECT item_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda w: w <> '') AS ws FROM benchmark WHERE item_id % 3 <> 0)""")
 def parse_decompose(spark, sf):
-    words = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 3)
+    """Every word of an item as a line of a model's reply; one reply in three says that the question is single."""
+    words = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
     said = F.concat(F.lit("Here:\n"), F.array_join(F.transform(words, lambda w: F.concat(F.lit(" sub: "), w)), "\n"), F.when(F.col("item_id") % 3 == 0, "\nSINGLE").otherwise(""))
     told = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.posexplode(rs.parse_decompose(said)).alias("pos", "sub"))
     return told.withColumn("pos", F.col("pos").cast("long"))
