@@ -172,6 +172,41 @@ def test_warc(spark):
     assert all(r.record_type == "response" for r in apart)
 
 
+def test_warc_of_other_tools():
+    """Records of each type as crawlers write them: chunks, no length, no payload digest, ids and digests of other sorts; errors only for damage."""
+    sha = warc.sha1_base32
+
+    def made(kind, block, *more, version="WARC/1.1", drop=""):
+        head = [version, f"WARC-Type: {kind}", "WARC-Date: 2021-02-03T04:05:06Z", "WARC-Record-ID: <urn:uuid:12345678-1234-1234-1234-1234567890ab>", f"Content-Length: {len(block)}", *more]
+        return "\r\n".join(x for x in head if not drop or not x.startswith(drop)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http, page = b"HTTP/1.1 200 OK\r\nServer: x\r\n", b"<html>x</html>"
+    chunked = http + b"Transfer-Encoding: chunked\r\n\r\n6\r\n<html>\r\n8;a=b\r\nx</html>\r\n0\r\n\r\n"
+    good = {
+        made("warcinfo", b"software: x\r\nformat: WARC\r\n", "Content-Type: application/warc-fields", version="WARC/1.0"): b"software: x\r\nformat: WARC\r\n",
+        made("response", http + b"\r\n" + page, "Content-Type: application/http; msgtype=response"): page,
+        made("response", http + b"\r\n" + page, f"WARC-Payload-Digest: sha1:{sha(page)}", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>"): page,
+        made("response", http + b"\r\n" + page, "WARC-Payload-Digest: md5:abc", "WARC-Block-Digest: md5:abc"): page,
+        made("response", chunked, f"WARC-Payload-Digest: sha1:{sha(page)}"): page,
+        made("response", chunked, f"WARC-Payload-Digest: sha1:{sha(chunked.partition(bytes([13, 10, 13, 10]))[2])}"): page,
+        made("response", b"a dns answer", "Content-Type: text/dns"): b"a dns answer",
+        made("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "Content-Type: application/http; msgtype=request"): b"",
+        made("metadata", b"via: y\r\n", "WARC-Refers-To: <urn:c>"): b"via: y\r\n", made("resource", page): page, made("conversion", b"text"): b"text", made("continuation", b"more"): b"more",
+        made("revisit", http + b"\r\n", "WARC-Refers-To-Target-URI: http://x/", "WARC-Payload-Digest: sha1:ABC"): None,
+    }
+    for raw, payload in good.items():
+        r = warc.parse_record(raw)
+        assert (r["payload"], r["page_id"], r["refers_to"]) == (payload, None, None)
+        assert payload is None or r["payload_bytes"] == len(payload)
+    bad = [made("response", http + b"\r\n" + page, drop=x) for x in ("WARC-Type", "WARC-Date", "WARC-Record-ID", "Content-Length")]
+    bad += [made("other", page), made("response", page), made("response", chunked[:-14]), made("response", http + b"Content-Length: 3\r\n\r\n" + page), made("revisit", http + b"\r\n"), made("resource", page, f"WARC-Block-Digest: sha1:{sha(b'')}")]
+    for raw in bad:
+        with pytest.raises(ValueError):
+            warc.parse_record(raw)
+    own = warc.parse_record(warc.record(None, "u", b"x", sha(b"x"), 1, None))
+    assert own["page_id"] is None and warc.parse_record(warc.record(-5, "u", b"x", sha(b"x"), 1, None))["page_id"] == -5
+
+
 def test_warc_finds_damage():
     rows = [warc.record(i, "u", b"data %d" % i, warc.sha1_base32(b"data %d" % i), 6, None) for i in range(3)]
     d = b"x" * 64

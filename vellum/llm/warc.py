@@ -10,6 +10,7 @@ import hashlib
 import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -46,9 +47,17 @@ def _record_id(page_id: int) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
-def _page_id(record_id: str) -> int:
-    low = int(record_id[len("<urn:uuid:") : -1].replace("-", "")[16:], 16)
-    return low - (1 << 64) if low >> 63 else low
+def _page_id(record_id: str) -> int | None:
+    """The page of one of our ids; None of any other."""
+    whole = re.fullmatch(r"<urn:uuid:([0-9a-f]{8})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{4})-([0-9a-f]{12})>", record_id)
+    n = int("".join(whole.groups()), 16) if whole else 0
+    low = n & (1 << 64) - 1
+    return (low - (1 << 64) if low >> 63 else low) if n >> 64 == ID_PREFIX >> 64 else None
+
+
+def _foreign_id(*parts: str) -> str:
+    """The id of a record without a page: a name made of what it holds."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
 
 
 def _line(value: str) -> str:
@@ -60,7 +69,7 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
     """A WARC record; one that refers to another has the HTTP head only."""
     block = HTTP_HEAD % size + (b"" if refers_to is not None else payload)
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Date: {DATE}"]
-    head += [f"WARC-Record-ID: {_record_id(page_id)}"] if page_id is not None else []
+    head += [f"WARC-Record-ID: {_record_id(page_id) if page_id is not None else _foreign_id(digest, url or '')}"]
     head += [f"WARC-Target-URI: {_line(url)}"] if url is not None else []
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to)}"]
@@ -68,41 +77,76 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+# The record types of the standard.
+TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The payload of a body in chunked transfer coding; ValueError if it is cut."""
+    out, at = [], 0
+    while True:
+        line, sep, _ = body[at : at + 4096].partition(b"\r\n")
+        size = int(line.split(b";")[0].strip() or b"x", 16)
+        at += len(line) + 2
+        if not sep or at + size > len(body):
+            raise ValueError("cut chunk")
+        if not size:
+            return b"".join(out)
+        out.append(body[at : at + size])
+        at += size + 2
+
+
 def parse_record(data: bytes) -> dict:
-    """Fields of a record; ValueError if a header, a length or a digest is not as it should be."""
+    """Fields of a record of any type; ValueError if a header, a length or a digest is not as it should be.
+
+    What the standard demands of every record must be there. Payload digests, block digests and the length in an HTTP head
+    are checked where they are given; a digest that is not SHA-1 is taken as it is. The payload of a record with an HTTP
+    head is what follows it, chunks put together; that of any other record is its block.
+    """
     head, sep, rest = data.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not sep or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("not a WARC record")
     fields: dict[str, str] = {}
     for line in lines[1:]:
+        if line[:1] in (" ", "\t"):  # a header goes on
+            continue
         name, colon, value = line.partition(":")
-        if not colon or name.lower() in fields:
+        if not colon or name.lower() in fields and name.lower() != "warc-concurrent-to":
             raise ValueError(f"bad or repeated header {name[:40]!r}")
         fields[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-date", "content-length", "warc-payload-digest"):
+    for name in ("warc-record-id", "warc-type", "warc-date", "content-length"):
         if name not in fields:
             raise ValueError(f"no {name}")
-    size = int(fields["content-length"])
+    kind, size = fields["warc-type"], int(fields["content-length"])
+    if kind not in TYPES:
+        raise ValueError(f"no record type {kind[:40]!r}")
     block = rest[:size]
     if len(block) != size or rest[size:] != b"\r\n\r\n":
         raise ValueError("Content-Length does not fit")
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
+    block_digest = fields.get("warc-block-digest", "")
+    if block_digest.startswith("sha1:") and block_digest != f"sha1:{sha1_base32(block)}":
         raise ValueError("block digest differs")
-    http, sep, payload = block.partition(b"\r\n\r\n")
-    told = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http)
-    if not sep or not http.startswith(b"HTTP/") or not told:
-        raise ValueError("bad HTTP head")
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    kind = fields["warc-type"]
-    if kind == "response" and (len(payload) != int(told[1]) or sha1_base32(payload) != digest):
+    payload, told, bodies = block, None, [block]
+    if kind in ("response", "request", "revisit") and fields.get("content-type", "application/http").startswith("application/http"):
+        http, sep, payload = block.partition(b"\r\n\r\n")
+        if not sep or kind != "request" and not http.startswith(b"HTTP/"):
+            raise ValueError("bad HTTP head")
+        bodies = [payload]
+        if re.search(rb"(?im)^transfer-encoding:.*\bchunked\b", http):
+            if kind == "response":
+                bodies.append(payload := _unchunked(payload))
+        elif length := re.search(rb"(?im)^content-length:\s*(\d+)\s*$", http):
+            told = int(length[1])
+    digest = fields.get("warc-payload-digest", "")
+    if kind == "response" and (told is not None and len(payload) != told or digest.startswith("sha1:") and digest[5:] not in map(sha1_base32, bodies)):
         raise ValueError("payload length or digest differs")
-    if kind == "revisit" and (payload or "warc-refers-to" not in fields):
+    if kind == "revisit" and (payload or "warc-refers-to" not in fields and "warc-refers-to-target-uri" not in fields):
         raise ValueError("bad revisit")
-    own, to = fields.get("warc-record-id"), fields.get("warc-refers-to")
+    to = fields.get("warc-refers-to")
     return {
-        "page_id": _page_id(own) if own else None, "payload_bytes": int(told[1]), "payload_digest": digest, "record_type": kind,
-        "refers_to": _page_id(to) if kind == "revisit" else None, "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None,
+        "page_id": _page_id(fields["warc-record-id"]), "payload_bytes": told if kind == "revisit" else len(payload), "payload_digest": digest.removeprefix("sha1:") or (None if kind == "revisit" else sha1_base32(payload)), "record_type": kind,
+        "refers_to": _page_id(to) if kind == "revisit" and to else None, "url": fields.get("warc-target-uri"), "payload": None if kind == "revisit" else payload,
     }
 
 
