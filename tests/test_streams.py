@@ -46,6 +46,16 @@ def test_a_late_turn_moves_a_start_and_joins_two_sessions(spark, tmp_path):
     assert seen == [[(30, 30, 1)], [(10, 30, 2)], [(10, 30, 2), (130, 130, 1)], [(10, 130, 4)]]
 
 
+def test_sessions_that_no_turn_can_reach_leave_the_state(spark, tmp_path):
+    """Days apart: the watermark passes sessions, timers drop them, and the table keeps them."""
+    path, out, check = (str(tmp_path / x) for x in ("turns", "out", "check"))
+    rows = [(1, 0), (2, 5), (1, 30), (1, 3000), (2, 3000), (1, 6000), (2, 6010), (1, 6050)]
+    for some in (rows[:3], rows[3:5], rows[5:]):
+        turns_of(spark, some).coalesce(1).write.mode("append").parquet(path)
+        us.stream_sessions(us.read_stream(spark, path + "/"), out, check, late="10 minutes")
+    assert as_minutes(us.open_sessions(spark.read.parquet(out)).collect()) == as_minutes(usage.sessions(turns_of(spark, rows)).collect())
+
+
 def events_of(spark, rows):
     made = spark.createDataFrame(rows, "event_id long, h long, phase string")
     return made.select("event_id", F.timestamp_seconds(F.lit(START) + F.col("h") * 3600).alias("ts"), "phase", F.lit(3).cast("long").alias("prompt"), F.lit(1).cast("long").alias("completion"), F.lit(0.5).alias("elapsed"))

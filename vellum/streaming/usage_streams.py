@@ -162,7 +162,7 @@ class Sessions(StatefulProcessor):
         yield pd.DataFrame({"session_id": [key[0]] * len(told), "start": [at(s) for s, _, _ in told], "last_active": [at(x) for _, x, _ in told], "turns": [n for _, _, n in told]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        past = timerValues.get_current_watermark_in_ms()
+        past = timerValues.getCurrentWatermarkInMs()
         self._keep([s for s in map(tuple, self.open.get()) if (s[1] + self.gap) // 1000 >= past])
         return iter(())
 
