@@ -79,3 +79,16 @@ def test_json_parsers(spark):
     got = [tuple(x) for x in one(spark, answers, rs.parse_select_json)]
     assert got[:2] == [("SELECT", "a", None), ("DONE", "m", None)]
     assert all(g[:2] == (None, None) and g[2] for g in got[2:])
+
+
+def test_token_counts(spark):
+    rng = random.Random(5)
+    texts = [None, "", " ,; ", "a", "aa", "aa AA, aa-bb", "é É éé (éé)"] + [" ".join(rng.choice(["to", "of", "x", "data", "Data", "[mix]"]) for _ in range(rng.randrange(400))) for _ in range(20)]
+    got = one(spark, texts, tx.token_counts)
+    for text, r in zip(texts, got, strict=True):
+        if text is None:
+            assert r is None
+            continue
+        tokens = [t for t in re.split(tx.TOKEN_SEPARATORS.removeprefix("(?U)"), text.lower()) if len(t) >= 2]
+        assert r.len == len(tokens) and len(r.counts) == len(set(tokens))
+        assert {c.token: c.tf for c in r.counts} == {t: tokens.count(t) for t in tokens}

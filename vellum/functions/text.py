@@ -56,6 +56,19 @@ def tokenize(text: Column, min_len: int = 2) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SEPARATORS), lambda t: F.length(t) >= min_len)
 
 
+def token_counts(text: Column) -> Column:
+    """How many tokens a text has, and each different one with its count, all within the row: (len, counts of (token, tf))."""
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def runs(tokens: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0)))
+        first = F.filter(places, lambda i: (i < F.size(tokens)) & ~F.get(tokens, i).eqNullSafe(F.get(tokens, i - 1)))
+        counts = once(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(tokens, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(tokens)) - i).cast("long").alias("tf"))))
+        return F.struct(F.size(tokens).alias("len"), counts.alias("counts"))
+
+    return F.when(text.isNotNull(), once(F.sort_array(tokenize(text)), runs))
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, LINE_BREAKS)
 

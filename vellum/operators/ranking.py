@@ -26,15 +26,14 @@ def _bonus(length: Column) -> Column:
 def bm25_score(queries: DataFrame, texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(query_id, keys, score) of each query and each of the texts that shares a token with it.
 
-    Sum over the query's tokens, repeats included, of tf 2.2 / (tf + 1.2), and a bonus for short texts. Tokens
-    of texts that no query has drop before they are counted, and counts are made before the join.
+    Sum over the query's tokens, repeats included, of tf 2.2 / (tf + 1.2), and a bonus for short texts. A text's
+    tokens are counted within its row, and tokens that no query has drop where they stand. All hits of a text lie in one
+    task, so their sum is complete before the only shuffle, which moves one row a (query, text) with a hit.
     """
     asked = _query_tokens(queries)
     put = F.broadcast if asked.agg(F.count(F.lit(1))).first()[0] <= MOST_TOKENS else lambda df: df
-    # length and tokens are made together below the explode, or the length would be made again for each token
-    cut = F.get(F.transform(F.array(tx.tokenize(F.col(text))), lambda t: F.struct(F.size(t).alias("len"), t.alias("tokens"))), F.lit(0))
-    each = texts.select(*keys, cut.alias("_cut")).select(*keys, F.col("_cut.len").alias("_len"), F.explode("_cut.tokens").alias("token"))
-    each = each.join(put(asked.select("token").distinct()), "token", "left_semi").groupBy(*keys, "_len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    each = texts.select(*keys, tx.token_counts(F.col(text)).alias("_cut")).select(*keys, F.col("_cut.len").alias("_len"), F.explode("_cut.counts").alias("_hit"))
+    each = each.select(*keys, "_len", "_hit.token", "_hit.tf")
     part = F.col("n") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1)
     found = each.join(put(asked), "token").groupBy("query_id", *keys, "_len").agg(F.sum(part).alias("score"))
     return found.select("query_id", *keys, (F.col("score") + _bonus(F.col("_len"))).alias("score"))
