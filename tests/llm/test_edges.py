@@ -244,6 +244,17 @@ def test_decontamination(spark, docs, none):
     assert decontamination.find_items(none, items).count() == 0 and decontamination.find_items(docs, items.limit(0)).count() == 0
 
 
+def test_shuffled_search_over_whole_tables(spark):
+    """Beyond the bound of what is broadcast probes pass a bitmap of the sketches: the same pairs, from few stored probes."""
+    sf = "/root/testdata/sf0.01"
+    docs, items = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "benchmark"))
+    one, many = (sorted(map(str, decontamination.find_items(docs, items, most_broadcast=m).collect())) for m in (1_000_000, 0))
+    assert one and one == many
+    slots = spark.createDataFrame([(1,), (8,), (9,), (32768,), (32769,), (65536,)], "slot long")
+    told = exact_dedup.with_bit(spark.range(1, 65537), F.col("id"), exact_dedup.slot_bitmaps(slots), "there").filter("there")
+    assert sorted(r.id for r in told.collect()) == [1, 8, 9, 32768, 32769, 65536]
+
+
 def test_sketch_is_large_enough():
     import math
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, fold_case, let, materialize, shingles_of, words_of
+from .exact_dedup import filter_bits, slot_bitmaps, with_bit
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -79,8 +80,10 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     wanted = sketch.select("item_id", "hash", "need")
     if small:
         near = probes.join(F.broadcast(wanted), "hash")
-    else:  # a passage that many documents share is one hot hash: its probes stay where they are
-        probes = materialize(probes, "probes")
+    else:  # probes that no sketch can have drop where they are made; a passage that many documents share is one hot hash: its probes stay too
+        bits, _ = filter_bits(n_hashes)
+        slot = F.pmod("hash", F.lit(bits)) + 1
+        probes = materialize(with_bit(probes, slot, slot_bitmaps(sketch.select(slot.alias("slot"))), "_in").filter("_in").drop("_in"), "probes")
         met = wanted.join(probes.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
         near = attach(probes, met, "hash", "n", probes.count()).filter("n IS NOT NULL")
     near = near.filter(F.col("n_words") >= F.col("need"))

@@ -35,8 +35,20 @@ def _slots(digest: Column, bits: int) -> Column:
 
 def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
     """The Bloom filter of pass one as (bucket, bitmap) rows of 4 KB: bits of slots that two rows or more hit."""
-    hit = hashes.select(F.explode(_slots(F.col("text_sha256"), bits)).alias("slot")).groupBy("slot").count().filter("count > 1")
-    return hit.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    return slot_bitmaps(hashes.select(F.explode(_slots(F.col("text_sha256"), bits)).alias("slot")).groupBy("slot").count().filter("count > 1"))
+
+
+def slot_bitmaps(slots: DataFrame) -> DataFrame:
+    """The set of slots (column ``slot``, counted from 1) as (bucket, bitmap) rows of 4 KB."""
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+
+
+def with_bit(rows: DataFrame, slot: Column, bitmaps: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean: whether the slot is in the set. The bitmaps are broadcast: at most MOST_BITS bits."""
+    place = F.bitmap_bit_position(slot)
+    met = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bitmap")
 
 
 def maybe_repeated(hashes: DataFrame, bloom: DataFrame, bits: int) -> DataFrame:
@@ -44,12 +56,7 @@ def maybe_repeated(hashes: DataFrame, bloom: DataFrame, bits: int) -> DataFrame:
     out = hashes.withColumn("_slots", _slots(F.col("text_sha256"), bits))
     maybe = F.lit(True)
     for k in range(PROBES):
-        slot = F.coalesce(F.get("_slots", F.lit(k)), F.get("_slots", F.lit(0)))
-        place = F.bitmap_bit_position(slot)
-        out = out.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bloom), "bucket", "left")
-        byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-        bit = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-        out = out.withColumn(f"_bit{k}", bit).drop("bucket", "bitmap")
+        out = with_bit(out, F.coalesce(F.get("_slots", F.lit(k)), F.get("_slots", F.lit(0))), bloom, f"_bit{k}")
         maybe = maybe & F.col(f"_bit{k}")
     return out.withColumn("maybe", maybe).drop("_slots", *[f"_bit{k}" for k in range(PROBES)])
 
@@ -70,9 +77,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_rows = hashes.count()
     bits, classes = filter_bits(n_rows, most_bits)
     told_path = fresh_path(spark, "told")
-    if classes > 1:  # a folder a class, so that each pass reads its own alone
+    if classes > 1:  # a folder a class, so that each pass reads its own alone; one shuffle, whose large classes are split, keeps files few
         path = fresh_path(spark, "classes")
-        hashes.withColumn("class", F.pmod(F.xxhash64("text_sha256", F.lit(PROBES)), F.lit(classes))).write.option("compression", "zstd").partitionBy("class").parquet(path)
+        hashes.withColumn("class", F.pmod(F.xxhash64("text_sha256", F.lit(PROBES)), F.lit(classes))).hint("rebalance", "class").write.option("compression", "zstd").partitionBy("class").parquet(path)
         hashes = spark.read.parquet(path)
     for k in range(classes):
         some = hashes.filter(F.col("class") == k).drop("class") if classes > 1 else hashes
