@@ -13,7 +13,10 @@ SUMMARY_CHARS = 160
 TOKEN_SEPARATORS = r"""(?U)[\s,.;:!?\-()\[\]{}"'`/\\]+"""
 LINK = r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]"
 LINK_WITH_ANCHOR = r"\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|[^\]]*)?\]\]"
-LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}"
+LINE_BREAKS = rf"\r\n|[{BREAKS}]"
+
+FIRST_LINE = rf"(?U)(?:\A|[{BREAKS}])[\s&&[^{BREAKS}]]*([^\s#{BREAKS}][^{BREAKS}]*)"
 
 
 def strip(c: Column) -> Column:
@@ -21,6 +24,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Whether there is anything but white space; looks no further than that."""
+    return F.rlike(c, F.lit(r"(?U)\S"))
+
+
 def estimate_tokens(text: Column, empty: int = 1) -> Column:
     """A third of the characters, at least 1; for an empty text ``empty``."""
     guess = F.greatest(F.lit(1), F.floor(F.length(text) / CHARS_PER_TOKEN)).cast("long")
@@ -86,10 +94,12 @@ def truncate_content(text: Column, cap: int = CONTENT_CAP, marker: str = "\n\n[.
 
 
 def fallback_summary(text: Column, most: int = SUMMARY_CHARS) -> Column:
-    """The first line that is neither blank nor a heading, cut to ``most`` characters."""
-    body = F.filter(F.transform(lines_of(text), strip), lambda x: (x != "") & ~x.startswith("#"))
-    first = F.coalesce(F.get(body, F.lit(0)), F.lit(""))
-    return F.when(F.length(first) > most, F.concat(F.regexp_replace(F.substring(first, 1, most), r"(?U)\s+$", ""), F.lit("…"))).otherwise(first)
+    """The first line that is neither blank nor a heading, cut to ``most`` characters. The search ends at this line."""
+
+    def cut(line: Column) -> Column:
+        return F.when(F.length(line) > most, F.concat(F.regexp_replace(F.substring(line, 1, most), r"(?U)\s+$", ""), F.lit("…"))).otherwise(line)
+
+    return F.get(F.transform(F.array(strip(F.regexp_extract(text, FIRST_LINE, 1))), cut), F.lit(0))
 
 
 def clean_summary(answer: Column) -> Column:

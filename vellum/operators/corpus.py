@@ -103,7 +103,7 @@ def filter_tier(notes: DataFrame, tier: str, without_summary: bool = False) -> D
 
 
 def nonblank_notes(notes: DataFrame) -> DataFrame:
-    return notes.filter(tx.strip(F.col("body")) != "")
+    return notes.filter(tx.has_text(F.col("body")))
 
 
 def tier_stats(notes: DataFrame) -> DataFrame:

@@ -173,7 +173,7 @@ def summarize_sections(sections: DataFrame, model_fn: ModelFn = echo_model, leas
 
 def extract_entities(notes: DataFrame, model_fn: ModelFn, lang: str = "en") -> tuple[DataFrame, DataFrame]:
     """(note_id, response) over notes (note_id, title, body) that are not blank, and the usage."""
-    todo = notes.filter(tx.strip(F.col("body")) != "")
+    todo = notes.filter(tx.has_text(F.col("body")))
     asked = todo.select("note_id", prompts.build_prompt("entities", {"title": F.col("title"), "content": F.col("body")}, lang).alias("prompt_text"))
     said, usage = enrich(asked, ["note_id"], model_fn, "compile", kind="entities", lang=lang)
     return said.select("note_id", F.coalesce("response", F.lit("")).alias("response")), usage
