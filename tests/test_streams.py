@@ -167,3 +167,13 @@ def test_rebuilding_what_changed(spark, tmp_path):
     run()
     assert built == [["n/a.md", "n/b.md", "n/c.md"], ["n/b.md"]]
     assert sorted(r.made for r in us.current(spark.read.parquet(str(tmp_path / "out")), "path").collect()) == ["N/A.MD", "N/B.MD"]
+
+
+def test_many_ids_share_a_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(us, "STATES", 2)
+    rows = [(i, m) for i in range(40) for m in (i, i + 30, i + 100)]
+    path, out, check = (str(tmp_path / x) for x in ("turns", "out", "check"))
+    for part in (rows[::2], rows[1::2]):
+        turns_of(spark, part).write.mode("append").parquet(path)
+        us.stream_sessions(us.read_stream(spark, path + "/"), out, check, late="2 days")
+    assert as_minutes(us.open_sessions(spark.read.parquet(out)).collect()) == as_minutes(usage.sessions(turns_of(spark, rows)).collect())
