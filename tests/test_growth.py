@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
-from vellum.operators import ranking
+from vellum.operators import enrich, ranking
 
 TEXTS = ["alpha beta beta", "gamma", "", "alpha " * 70 + "beta", "x y", "Delta, alpha; BETA"]
 
@@ -55,3 +55,9 @@ def test_first_line_is_found_without_cutting_all_lines(spark):
 def test_only_text_tells(spark):
     got = spark.createDataFrame([(" \t\n\xa0 ",), ("",), (" a ",), (None,)], "t string").select(tx.has_text(F.col("t"))).collect()
     assert [r[0] for r in got] == [False, False, True, None]
+
+
+def test_a_model_gets_few_prompts_at_a_time(spark):
+    prompts = spark.range(1300).coalesce(1).select(F.col("id").alias("k"), F.concat(F.lit("p"), "id").alias("prompt_text"))
+    said = enrich.ask(prompts, lambda batch: [str(len(batch))] * len(batch), "p", ["k"])
+    assert sorted(int(r.response) for r in said.collect()) == [300] * 300 + [500] * 1000

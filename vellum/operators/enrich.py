@@ -9,8 +9,11 @@ from functools import reduce
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as tx
 from ..sources.keyed import Cache
@@ -19,6 +22,11 @@ from . import corpus, prompts
 from .changes import cache_hits, cache_misses
 from .entities import SHOWN_MENTIONS, first_mentions
 
+#: Prompts that a model gets at a time.
+ASKED = 500
+SAID = "response string, error string, phase string, prompt long, completion long, elapsed double, cacheable boolean"
+
+
 class Reply(NamedTuple):
     """What a model says, and the tokens that it has counted itself; without these they are estimated."""
 
@@ -53,8 +61,18 @@ def ask(rows: DataFrame, model_fn: ModelFn | SystemModel, phase: str, keys: list
     system = prompts.SYSTEM.get(kind or "", {}).get(lang, "") if apart else ""
     call = (lambda batch: model_fn.fn([(system, p) for p in batch])) if apart else model_fn
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    kept = rows.select(*keys, "prompt_text")
+    kinds = T.StructType([f for f in kept.schema if f.name != "prompt_text"] + list(T.StructType.fromDDL(SAID)))
+    schema = to_arrow_schema(kinds)
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        """A batch's rows a stretch at a time: only these are ever Python strings."""
+        for batch in batches:
+            for low in range(0, len(batch), ASKED):
+                yield batch.slice(low, ASKED).to_pandas()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in few(batches):
             asked, began = list(pdf.pop("prompt_text")), time.perf_counter()
             try:
                 said, errors = list(call(asked)), [None] * len(asked)
@@ -75,14 +93,14 @@ def ask(rows: DataFrame, model_fn: ModelFn | SystemModel, phase: str, keys: list
             said = [r if isinstance(r, Reply) else Reply(r) for r in said]
             guess = lambda t: max(1, len(t) // tx.CHARS_PER_TOKEN) if t else 0
             told = lambda n, t: guess(t) if n is None else n
-            yield pdf.assign(
+            out = pdf.assign(
                 response=[r.text for r in said], error=errors, phase=phase, prompt=[told(r.prompt, system + p) for r, p in zip(said, asked, strict=True)],
                 completion=[told(r.completion, r.text) for r in said], elapsed=each, cacheable=bool(system),
             )
+            yield pa.RecordBatch.from_pandas(out[schema.names], schema=schema, preserve_index=False)
+
+    return kept.mapInArrow(run, kinds)
 
-    kept = rows.select(*keys, "prompt_text")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "prompt_text")
-    return kept.mapInPandas(run, f"{kinds}, response string, error string, phase string, prompt long, completion long, elapsed double, cacheable boolean")
 
 
 def enrich(rows: DataFrame, keys: list[str], model_fn: ModelFn = echo_model, phase: str = "model", cache: DataFrame | Cache | None = None, retries: int = 0, strict: bool = False, kind: str | None = None, lang: str = "en") -> tuple[DataFrame, DataFrame]:
