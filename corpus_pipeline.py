@@ -28,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more, or steps of it) one row stays: that with the least id, any id before none.
 
+    SimHash finds candidates, MinHash bands those that it misses, and their shingles are compared.
     Rows are told apart by a stored number and not by their id: unlike texts under one id, or without an id, all stay.
     """
     rows = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")

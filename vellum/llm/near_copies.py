@@ -1,11 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands find the candidates.
+"""Near copies by exact Jaccard similarity of word shingles; SimHash and MinHash bands find the candidates.
 
-SimHash cannot find them: at a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, give or take
+SimHash alone cannot find them all: at a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, give or take
 three, and within a radius that holds nearly all such pairs there are ever more pairs of unrelated texts.
 
 1. Texts with the same set of shingles are one node.
 2. A node has BANDS keys of ROWS minima each. Two nodes at similarity s share a key with probability
    1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8. Those that share a key are candidates.
+   Beside these a node has the component of its SimHash as a key: what `simhash` links is compared too.
 3. Keys with the same nodes count once. All candidates of a key are compared by their sets; a key with more
    than a block of them is dealt out as pairs of blocks, so that no key is large and no pair is left out.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, fold_case, let, materialize, shingles_of, words_of
-from .simhash import components
+from .simhash import components, simhash_groups
 
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS, SEED = 5, 24, 23
@@ -141,7 +142,9 @@ def row_groups(rows: DataFrame, id_col: str = "row_id", text_col: str = "text",
     told = materialize(hashes.mapInArrow(_features, "row_id long, digest binary, size long, keys array<long>"), "features")
     named = materialize(told.groupBy("digest").agg(F.min("row_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
     spread = told.join(named.select("node"), F.col("row_id") == F.col("node"), "left_semi").select(F.col("row_id").alias("node"), "size", F.explode("keys").alias("key"))
-    spread = materialize(spread, "keys")
+    nodes_of = told.filter("size > 0").join(named.select("node"), F.col("row_id") == F.col("node"), "left_semi").select(F.col("row_id").alias("node"), "size")
+    near = simhash_groups(texts, "row_id").select(F.col("doc_id").alias("node"), F.xxhash64("component_id", F.lit("simhash")).alias("key"))
+    spread = materialize(spread.unionByName(near.join(nodes_of, "node").select("node", "size", "key")), "keys")
     sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"sum{i}") for i in range(2)]
     met = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"), *sums).filter("members > 1")
     met = met.groupBy("members", "total", "sum0", "sum1").agg(F.min("key").alias("key"))
