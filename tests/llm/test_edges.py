@@ -384,6 +384,50 @@ def test_lm_windows_lie_at_every_stride_of_training_texts():
     assert sum(found) / 500 == pytest.approx((1 + 1001 + 4) / lm.STRIDE, rel=0.05)
 
 
+def test_lm_learns_from_every_subword():
+    """Each subword of each text is a target once, with the same slopes as `gradients` gives."""
+    model, rng = lm_model(60), np.random.default_rng(4)
+    lengths = np.array([1, 16, 17, 0, 5, 900])
+    ids = rng.integers(0, 60, lengths.sum())
+    goals, slopes = [], []
+    at, seen, first, opens, left = model._cut(ids, lengths)
+    place = np.clip(first[:, None] + lm.CELL, 0, len(at) - 1)
+    known = np.arange(lm.SCORED) < left[:, None]
+    assert sorted(place[:, lm.CONTEXT :][known].tolist()) == list(range(len(ids)))
+    valid = np.ones(place.shape, dtype=bool)
+    valid[opens, : lm.CONTEXT] = False
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    _, want = model.gradients(seen[place], valid, at[place[:, lm.CONTEXT :]], known)
+    got = model.slopes(model._tables(), seen[place], opens, model.group[at[place[:, lm.CONTEXT :]]].reshape(-1), known.reshape(-1) / known.sum())
+    assert sorted(got) == sorted(want) and all(got[k] == pytest.approx(want[k], rel=1e-4, abs=1e-7) for k in want)
+    model = lm_model(60)
+    plain = model.slopes
+
+    def told(tables, x, first, want, weight):
+        goals.extend(want[weight > 0].tolist())
+        slopes.append(weight.sum())
+        return plain(tables, x, first, want, weight)
+
+    model.slopes = told
+    old = -model.logs(ids, lengths)[0].mean()
+    assert model.learn(iter([(ids, lengths)] * 30), lambda t: 0.01) == 30 * len(ids)
+    assert sorted(goals) == sorted(30 * model.group[model.of_id[ids]].tolist()) and sum(slopes) == pytest.approx(30)
+    assert -model.logs(ids, lengths)[0].mean() < old
+
+
+def test_lm_trains_on_whole_training_documents(spark):
+    """What a task trains on is every training document, each to its end, and nothing held out."""
+    rows = [(i, "ab cd " * (3 + i % 5)) for i in range(40)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r.h for r in docs.select(lm.held_out("doc_id").alias("h")).collect()]
+    with open(lm.TOKENIZER, "rb") as f:
+        subwords = lm.Subwords.of(f.read())
+    batch = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", lm.held_out("doc_id").alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).coalesce(1).toArrow().combine_chunks().to_batches()
+    ((ids, lengths),) = lm._texts(lm._chunks(iter(batch), subwords), subwords)
+    want = [[*subwords((t or "").split())[0]] for (_, t), h in zip(rows, out, strict=True) if not h]
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x] and any(out)
+
+
 def test_sharding(docs, none):
     got = sharding.shard_rows(docs, 3).collect()
     assert len(got) == len(DOCS) and len({r.shard for r in got if r.doc_id in (1, 7)}) == 1
