@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import corpus, enrich, links, sections
 from vellum.operators.mention_store import MentionStore
+from vellum.sources import bitmaps, keyed
 from vellum.sources.keyed import Cache, KeyedTable
 
 ENTRY = "vault string, node_id string, mtime long, model string"
@@ -147,6 +148,50 @@ def test_mentions_after_change_sets_equal_a_full_run(spark, tmp_path):
         assert sorted(map(tuple, store.entities().collect())) == want == sorted(map(tuple, store.recompiled().collect()))
 
 
+def test_a_change_set_moves_only_texts_of_its_notes(spark, tmp_path, monkeypatch):
+    """Of 300 notes two change: others are not dealt anew, except every DEAL-th time; texts are not kept a second time by entity."""
+    dealt, rng, frame = [], random.Random(5), type(spark.range(0))
+    plain = frame.hint
+
+    def hint(self, name, *a):
+        if "description" in self.columns:
+            dealt.append(self.count())
+        return plain(self, name, *a)
+
+    monkeypatch.setattr(frame, "hint", hint)
+    monkeypatch.setattr(keyed, "DEAL", 3)
+    store = MentionStore(spark, str(tmp_path / "m"), "long", buckets=2)
+    schema = "note_id long, pos long, key string, name string, category string, description string"
+    said = lambda i: (i, 0, f"k{i % 250}", "N", "c", "".join(rng.choices("abcdefghijklmnop", k=2000)))
+    notes = {i: said(i) for i in range(300)}
+    path = "path long, kind string"
+    store.apply(spark.createDataFrame([(i, "added") for i in notes], path), spark.createDataFrame([*notes.values()], schema))
+    for k in range(1, 3):
+        notes[k] = said(k)
+        del notes[100 + k]
+        store.apply(spark.createDataFrame([(k, "modified"), (100 + k, "deleted")], path), spark.createDataFrame([notes[k], said(200)], schema))
+    assert dealt[0] == 300 and dealt[1] < 30 and dealt[2] > 100
+    want = {key: min(m for m in notes.values() if m[2] == key) for key in {m[2] for m in notes.values()}}
+    want = sorted((key, "N", "c", m[5], sum(x[2] == key for x in notes.values()), m[0]) for key, m in want.items())
+    assert sorted(map(tuple, store.entities().collect())) == want == sorted(map(tuple, store.recompiled().collect()))
+    size = lambda part: sum(f.stat().st_size for f in (tmp_path / "m" / part / "data" / "v=000000000001").rglob("*.parquet"))
+    assert size("entities") < size("mentions") / 5
+
+
+def test_joins_past_a_bitmap_are_exact(spark):
+    """Also where every bit is set, and for nulls; what is surely no key has not been shuffled."""
+    rows = spark.range(0, 3000, 1, 3).select(F.when(F.col("id") % 10 != 9, F.col("id")).alias("k"), F.col("id").alias("x"))
+    keys = spark.range(0, 3000, 7).select(F.col("id").alias("k"))
+    want = {i for i in range(0, 3000, 7) if i % 10 != 9}
+    assert {r.x for r in bitmaps.among(rows, keys, "k").collect()} == want
+    assert {r.x for r in bitmaps.not_among(rows, keys, "k").collect()} == {*range(3000)} - want
+    sure, maybe = bitmaps.apart(rows, keys, "k")
+    assert not want & {r.x for r in sure.collect()} and sure.count() + maybe.count() == 3000 and maybe.count() < len(want) + 100
+    assert sure.rdd.getNumPartitions() == 3
+    sure, maybe = bitmaps.apart(rows, keys, "k", 1)
+    assert not want & {r.x for r in sure.collect()} and sure.count() + maybe.count() == 3000
+
+
 def test_links_with_a_path_meet_only_notes_that_fit(spark):
     """Ten thousand notes of one title in folders of their own; links to some of them by path."""
     n = 10_000

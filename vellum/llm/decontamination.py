@@ -14,8 +14,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.bitmaps import slot_bitmaps, with_bit
 from .common import attach, fold_case, let, materialize, shingles_of, words_of
-from .exact_dedup import filter_bits, slot_bitmaps, with_bit
+from .exact_dedup import filter_bits
 
 WORDS = 5
 THRESHOLD = 0.8

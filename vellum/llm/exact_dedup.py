@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.bitmaps import slot_bitmaps, with_bit
 from ..sources.tables import fresh_path
 from .common import attach, fold_case
 
@@ -38,19 +39,6 @@ def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
     return slot_bitmaps(hashes.select(F.explode(_slots(F.col("text_sha256"), bits)).alias("slot")).groupBy("slot").count().filter("count > 1"))
 
 
-def slot_bitmaps(slots: DataFrame) -> DataFrame:
-    """The set of slots (column ``slot``, counted from 1) as (bucket, bitmap) rows of 4 KB."""
-    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-
-
-def with_bit(rows: DataFrame, slot: Column, bitmaps: DataFrame, name: str) -> DataFrame:
-    """``rows`` with a boolean: whether the slot is in the set. The bitmaps are broadcast: at most MOST_BITS bits."""
-    place = F.bitmap_bit_position(slot)
-    met = rows.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmaps), "bucket", "left")
-    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return met.withColumn(name, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bitmap")
-
-
 def maybe_repeated(hashes: DataFrame, bloom: DataFrame, bits: int) -> DataFrame:
     """``hashes`` with a boolean ``maybe``; false only for rows whose text no other row has."""
     out = hashes.withColumn("_slots", _slots(F.col("text_sha256"), bits))

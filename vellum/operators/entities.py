@@ -28,6 +28,11 @@ def aggregate_entities(mentions: DataFrame) -> DataFrame:
     """
     place = F.struct("note_id", "pos")
     per = mentions.groupBy("key").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n_mentions"))
+    return first_texts(mentions, per)
+
+
+def first_texts(mentions: DataFrame, per: DataFrame) -> DataFrame:
+    """Entities (key, place of the first mention, number of mentions) with the texts of that mention."""
     first = per.select(F.col("at.note_id").alias("note_id"), F.col("at.pos").alias("pos"), "key", "n_mentions")
     told = mentions.select("note_id", "pos", "key", "name", "category", F.col("description").alias("first_description"))
     return told.join(first, ["note_id", "pos", "key"]).select("key", "name", "category", "first_description", "n_mentions", F.col("note_id").alias("first_note")).dropDuplicates(["key"])  # a repeated row is one mention's text twice

@@ -1,8 +1,9 @@
 """The state of a compile between runs: mentions by note, and what each entity is by them, kept up to date by change sets.
 
 Mentions lie in hash buckets of their note. Of each entity and bucket there is one small row: how many mentions, and the
-first of them. A change set rewrites the buckets of its notes, and the rows of entities that had or have a mention in
-these notes; nothing else is read. An entity that every note names has as many rows as there are buckets.
+place of the first of them; its texts stay with the mention. A change set rewrites the buckets of its notes, where mentions
+of other notes are not shuffled, and the rows of entities that had or have a mention in these notes; nothing else is read.
+An entity that every note names has as many rows as there are buckets.
 """
 
 from __future__ import annotations
@@ -10,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.bitmaps import apart, not_among
 from ..sources.keyed import BUCKETS, KeyedTable
 from ..sources.tables import stored
-from .entities import aggregate_entities
+from .entities import aggregate_entities, first_texts
 
 
 class MentionStore:
@@ -20,20 +22,26 @@ class MentionStore:
 
     def __init__(self, spark: SparkSession, folder: str, note: str = "string", buckets: int = BUCKETS):
         self.mentions = KeyedTable(spark, f"{folder}/mentions", f"note_id {note}, pos long, key string, name string, category string, description string", ["note_id"], buckets)
-        self.parts = KeyedTable(spark, f"{folder}/entities", f"key string, part int, n long, first struct<note_id: {note}, pos: long>, name string, category string, description string", ["key"], buckets)
+        self.parts = KeyedTable(spark, f"{folder}/entities", f"key string, part int, n long, first struct<note_id: {note}, pos: long>", ["key"], buckets)
 
     def apply(self, diff: DataFrame, fresh: DataFrame) -> None:
         """A change set (path, kind) and the mentions (note_id, pos, key, name, category, description) found anew in its added and modified notes."""
         notes = stored(diff.select(F.col("path").alias("note_id")).distinct(), "changed_notes")
         # mentions of notes that the change set does not name are not of this change
-        fresh = stored(fresh.join(notes, "note_id", "left_semi").select(*self.mentions.schema.names), "fresh")
+        fresh = stored(fresh.select(*self.mentions.schema.names), "fresh")
+        fresh = not_among(fresh, stored(fresh.select("note_id").distinct().join(notes, "note_id", "left_anti"), "strangers"), "note_id").filter("note_id IS NOT NULL")
         buckets = self.mentions.touched(notes)
         gone = stored(self.mentions.read(buckets).join(notes, "note_id", "left_semi").select("key"), "gone")
         keys = stored(gone.unionByName(fresh.select("key")).distinct(), "touched_keys")
-        self.mentions.change(notes, lambda old: old.join(notes, "note_id", "left_anti").unionByName(fresh))
+
+        def renew(old: DataFrame) -> tuple[DataFrame, DataFrame]:
+            stay, maybe = apart(old, notes, "note_id")
+            return stay, maybe.join(notes, "note_id", "left_anti").unionByName(fresh)
+
+        self.mentions.change(notes, renew)
         now = self.mentions.read(buckets).withColumn("part", self.mentions._bucket()).join(keys, "key", "left_semi")
         at = F.struct("note_id", "pos")
-        new = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), *[F.min_by(c, at).alias(c) for c in ("name", "category", "description")])
+        new = now.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
         place = F.array(*[F.lit(b) for b in buckets]).cast("array<int>")  # at most as many as there are buckets
         seen = keys.withColumn("_seen", F.lit(True))
 
@@ -45,9 +53,8 @@ class MentionStore:
 
     def entities(self) -> DataFrame:
         """As `aggregate_entities` gives them over all mentions: (key, name, category, first_description, n_mentions, first_note)."""
-        first = lambda c: F.min_by(c, "first")
-        rows = self.parts.read().groupBy("key").agg(first("name").alias("name"), first("category").alias("category"), first("description").alias("first_description"), F.sum("n").alias("n_mentions"), F.min("first").alias("first"))
-        return rows.select("key", "name", "category", "first_description", "n_mentions", F.col("first.note_id").alias("first_note"))
+        per = self.parts.read().groupBy("key").agg(F.sum("n").alias("n_mentions"), F.min("first").alias("at"))
+        return first_texts(self.mentions.read(), per)
 
     def recompiled(self) -> DataFrame:
         """The same from all mentions at once."""

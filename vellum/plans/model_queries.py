@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import responses as rs
 from ..operators import entities as en
 from ..operators.mention_store import MentionStore
+from ..sources.bitmaps import among
 from ..sources.tables import fresh_path, stored
 from .registry import query
 from .usage_queries import snapshot_diff
@@ -144,11 +145,11 @@ def compile_incremental(spark, sf):
     store = MentionStore(spark, fresh_path(spark, "compile"), "long")
     facts = en.mention_facts(outputs(spark, sf))
     store.apply(facts.filter("note_id % 10 <> 0").select(F.col("note_id").alias("path")).distinct(), facts.filter("note_id % 10 <> 0"))
-    diff = snapshot_diff(spark, sf)
+    diff = stored(snapshot_diff(spark, sf), "diff")
     for kind in ("added", "deleted", "modified"):
         some = diff.filter(F.col("kind") == kind)
         changed = some.filter("kind <> 'deleted'").select(F.col("path").alias("note_id"))
-        store.apply(some, en.mention_facts(outputs(spark, sf).join(changed, "note_id", "left_semi")))
+        store.apply(some, en.mention_facts(among(outputs(spark, sf), changed, "note_id")))
     return store.entities().select("key", "n_mentions", "first_note")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from .tables import fresh_path, names_in, put_text, remove, stored, text_of
 
 BUCKETS = 64
+#: Every so many versions of a table all rows of touched buckets are dealt anew, so that files stay few.
+DEAL = 8
 
 
 class KeyedTable:
@@ -52,19 +54,25 @@ class KeyedTable:
         places = [f"{self.path}/data/v={v:012d}/_b={b}" for b, v in of.items() if only is None or int(b) in only]
         return self.spark.read.schema(self.schema).parquet(*places) if places else self.spark.createDataFrame([], self.schema)
 
-    def change(self, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
+    def change(self, keys: DataFrame, make: Callable[[DataFrame], DataFrame | tuple[DataFrame, DataFrame]]) -> int:
         """Replace the rows of the buckets that ``keys`` touch by what ``make`` makes of them; the new version.
 
-        ``make`` may only return rows whose keys fall into these buckets.
+        ``make`` may only return rows whose keys fall into these buckets. It may return two tables: old rows
+        that no shuffle has moved, which are written by the tasks that read them, and rows to be dealt to their buckets.
         """
         buckets = self.touched(keys)
         n, of = self._last()
         if not buckets:
             return n
-        rows = make(self.read(buckets)).select(*self.schema.names).withColumn("_b", self._bucket())
+        made = make(self.read(buckets))
+        stay, move = made if isinstance(made, tuple) else (None, made)
+        if stay is not None and (n + 1) % DEAL == 0:
+            stay, move = None, stay.unionByName(move)
+        placed = lambda rows: rows.select(*self.schema.names).withColumn("_b", self._bucket())
+        rows = placed(move).hint("rebalance", "_b")  # large buckets are split over tasks and files
+        rows = rows if stay is None else placed(stay).unionByName(rows)
         at = f"{self.path}/data/v={n + 1:012d}"
-        # large buckets are split over tasks and files
-        rows.hint("rebalance", "_b").write.mode("overwrite").partitionBy("_b").parquet(at)
+        rows.write.mode("overwrite").partitionBy("_b").parquet(at)
         there = {x.partition("=")[2] for x in names_in(self.spark, at) if x.startswith("_b=")}
         of = {b: v for b, v in of.items() if int(b) not in buckets} | {b: n + 1 for b in there}
         put_text(self.spark, f"{self.path}/manifest/{n + 1:012d}.json", json.dumps({"buckets": self.buckets, "key": self.key, "of": of}))
