@@ -56,6 +56,10 @@ class MentionStore:
         per = self.parts.read().groupBy("key").agg(F.sum("n").alias("n_mentions"), F.min("first").alias("at"))
         return first_texts(self.mentions.read(), per)
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Drop what only versions before the last ``keep`` name; how many folders of buckets went."""
+        return self.mentions.vacuum(keep) + self.parts.vacuum(keep)
+
     def recompiled(self) -> DataFrame:
         """The same from all mentions at once."""
         return aggregate_entities(self.mentions.read())

@@ -150,6 +150,7 @@ def compile_incremental(spark, sf):
         some = diff.filter(F.col("kind") == kind)
         changed = some.filter("kind <> 'deleted'").select(F.col("path").alias("note_id"))
         store.apply(some, en.mention_facts(among(outputs(spark, sf), changed, "note_id")))
+        store.vacuum()
     return store.entities().select("key", "n_mentions", "first_note")
 
 

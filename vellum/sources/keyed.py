@@ -72,7 +72,7 @@ class KeyedTable:
         rows = placed(move).hint("rebalance", "_b")  # large buckets are split over tasks and files
         rows = rows if stay is None else placed(stay).unionByName(rows)
         at = f"{self.path}/data/v={n + 1:012d}"
-        rows.write.mode("overwrite").partitionBy("_b").parquet(at)
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("_b").parquet(at)
         there = {x.partition("=")[2] for x in names_in(self.spark, at) if x.startswith("_b=")}
         of = {b: v for b, v in of.items() if int(b) not in buckets} | {b: n + 1 for b in there}
         put_text(self.spark, f"{self.path}/manifest/{n + 1:012d}.json", json.dumps({"buckets": self.buckets, "key": self.key, "of": of}))
