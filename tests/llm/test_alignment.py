@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -72,3 +74,41 @@ def test_small_chunks(spark, both, monkeypatch):
     table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert alignment._encoded(table, "doc_id", "text", None, None).count() == 60
     assert sorted(tuple(r) for r in alignment.align_texts(table).collect()) == sorted(brute(docs, both))
+
+
+def test_only_recurring_units_stay_known(both, monkeypatch):
+    """Units that a slice alone has are forgotten after it, whatever a task goes through; what is made of a slice stays the same."""
+    for name, value in (("MOST_KNOWN", 300), ("MOST_KEPT", 100)):
+        monkeypatch.setattr(alignment, name, value, raising=False)
+    tokenizers = alignment.Tokenizers(both[0].to_str(), both[1].serialized_model_proto())
+    aligner, most = alignment.Aligner(tokenizers), 0
+    for k in range(5):
+        docs = [f"the same words é \U0001f642 and{k}x{i} more{i % 7} ▁" for i in range(400)] + ["", "lone  blanks \n x"]
+        rows = pa.RecordBatch.from_arrays([pa.array([k] * len(docs)), pa.array(range(len(docs)))], ["row_id", "doc_id"])
+        texts = [d.encode() for d in docs]
+        told, anew = (alignment._chunk(x, rows, texts) for x in (aligner, alignment.Aligner(tokenizers)))
+        for c in ("chunk", "ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "often"):
+            assert told.column(c).equals(anew.column(c)), c
+        most = max(most, len(aligner.units.codes))
+    assert most < 1000  # of over 2,000 units
+    assert {b" same", b" words", b" more3"} <= set(aligner.units.codes)
+
+
+def test_no_task_gathers_chunks(spark, both, monkeypatch):
+    """A chunk is some megabytes: row groups have few of them, and no aggregate holds the pairs of many."""
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 40)
+    made, materialize = [], alignment.materialize
+    monkeypatch.setattr(alignment, "materialize", lambda df, name, **options: made.append((name, out := materialize(df, name, **options))) or out)
+    docs = [(i, f"word{i % 7} and žluťoučký kůň {i % 3}") for i in range(60)]
+    told = alignment.align_texts(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in dict(made)["chunks"].inputFiles()]
+    sizes = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(sizes) == 60 and max(sizes) <= 4
+    assert "collect_list" not in told._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in told.collect()) == sorted(brute(docs, both))
+
+
+def test_chunk_without_pairs(spark, both, monkeypatch):
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 1)
+    docs = [(1, None), (2, ""), (3, "a▁b"), (4, None)]
+    assert sorted(map(str, map(tuple, alignment.align_texts(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()))) == sorted(map(str, brute(docs, both)))

@@ -8,7 +8,10 @@ they decode to. Steps, each a Spark job over the whole table:
 1. Texts are encoded by units (`units.py`), each distinct one once. A chunk of documents keeps its documents as units,
    the links of its units, and how often each pair of ids is linked in it.
 2. Links are counted by pair of ids over all chunks, and the highest count of each B id.
-3. Chunks meet the counts of their pairs again, and documents sum them up.
+3. Chunks meet the counts of their pairs again, a chunk at a time, and documents sum them up.
+
+Whatever the size of the table, a task holds one slice of texts, the units that recur, and a chunk or two: chunks are
+some megabytes each, so neither a batch, nor a row group, nor an aggregate may gather many of them.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from .units import Pool, Units, slices
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK_BYTES = 8_000_000
+#: With more units than this, or more bytes of them, a task forgets all but those that recurred, the most frequent so many, before its next slice.
+MOST_KNOWN, KNOWN_BYTES, MOST_KEPT, KEPT_BYTES = 150_000, 16_000_000, 100_000, 4_000_000
+#: Chunks in a row group: readers and writers hold a row group in memory.
+CHUNKS_A_GROUP = 4
 #: So many units go through the libraries at a time, as one text: no token reaches across them.
 UNITS_AT_A_TIME = 1000
 MARK = "▁"
@@ -124,19 +131,34 @@ class Aligner:
 
     def __init__(self, tokenizers: Tokenizers):
         self.t = tokenizers
-        self.reset()
-
-    def reset(self) -> None:
         self.units, self.links = Units(self._learn), Pool(np.int64)
-        self.counts = Pool(np.int64)  # tokens by A, by B, and groups
+        self.counts = np.zeros((0, 3), np.int32)  # tokens by A, by B, and groups
         self.text: list[bytes] = []
         self.same: list[bool] = []
+        self.often = np.zeros(0, np.int64)  # times met
+
+    def met(self, codes: np.ndarray) -> np.ndarray:
+        """How often each unit occurs in a slice."""
+        now = np.bincount(codes, minlength=len(self.units.codes))
+        self.often = now + np.append(self.often, np.zeros(len(now) - len(self.often), np.int64))
+        return now
+
+    def forget(self) -> None:
+        """Between two slices: units that recur stay known, the most frequent ones within bounds. Numbers of units change."""
+        if len(self.units.codes) <= MOST_KNOWN and self.units.size <= KNOWN_BYTES:
+            return
+        kept = np.argsort(-self.often, kind="stable")[:MOST_KEPT]
+        kept = kept[self.often[kept] > 1]
+        kept = np.sort(kept[np.cumsum(self.units.bytes_of()[kept]) <= KEPT_BYTES])
+        self.units.keep(kept)
+        self.links.keep(kept)
+        self.counts, self.often = self.counts[kept], self.often[kept]
+        self.text, self.same = ([x[k] for k in kept.tolist()] for x in (self.text, self.same))
 
     def _learn(self, units: list[bytes]) -> None:
-        for k in range(0, len(units), UNITS_AT_A_TIME):
-            self._learn_some(units[k : k + UNITS_AT_A_TIME])
+        self.counts = np.concatenate([self.counts, *[self._learn_some(units[k : k + UNITS_AT_A_TIME]) for k in range(0, len(units), UNITS_AT_A_TIME)]])
 
-    def _learn_some(self, units: list[bytes]) -> None:
+    def _learn_some(self, units: list[bytes]) -> np.ndarray:
         # a unit that ends in white space, or has the mark of a blank in it, would reach into one put behind it
         odd = [MARK.encode() in u or u[-4:].decode("utf-8", "ignore")[-1:].isspace() for u in units]
         even = [u for u, o in zip(units, odd, strict=True) if not o]
@@ -144,8 +166,8 @@ class Aligner:
         rows = [self._alone(u) if o else next(told) for u, o in zip(units, odd, strict=True)]
         self.links.add(np.concatenate([r[0] for r in rows]), [len(r[0]) for r in rows])
         self.text += [r[1] for r in rows]
-        self.counts.add([x for r in rows for x in r[2]], [3] * len(rows))
         self.same += [r[3] for r in rows]
+        return np.array([r[2] for r in rows], np.int32)
 
     def _alone(self, raw: bytes) -> tuple[np.ndarray, bytes, tuple[int, int, int], bool]:
         """Links, groups and counts of one unit, and whether both tokenizers give back its bytes."""
@@ -186,26 +208,43 @@ def _one(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+def _packed(numbers: np.ndarray) -> pa.Array:
+    """An array as one value: what moves between tasks is a third of what it would be, in memory as on disk."""
+    return pa.array([pa.compress(numbers.astype(np.int32).tobytes(), codec="zstd", asbytes=True)], pa.binary())
+
+
+def _unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(pa.input_stream(value.as_buffer(), compression="zstd").read(), np.int32)
+
+
 def _chunk(aligner: Aligner, rows: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-    if aligner.units.full:
-        aligner.reset()
+    aligner.forget()
     codes, lengths = aligner.units([b" " + t if t else b"" for t in texts])
+    codes = codes.astype(np.int32)
     # a text that one of the tokenizers does not give back has no tokens
-    doc = np.repeat(np.arange(len(texts)), lengths)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     bad = np.zeros(len(texts), bool)
     bad[doc[~np.array(aligner.same, bool)[codes]]] = True
-    codes, lengths = codes[~bad[doc]], np.where(bad, 0, lengths)
+    if bad.any():
+        codes, lengths = codes[~bad[doc]], np.where(bad, 0, lengths)
+    del doc
     ends = np.cumsum(lengths)
-    used, local, often = np.unique(codes, return_inverse=True, return_counts=True)
+    often = aligner.met(codes)
+    used = np.flatnonzero(often)
+    local = np.zeros(len(often), np.int32)
+    local[used] = np.arange(len(used))
     links, sizes = aligner.links.take(used)
     pairs, place = np.unique(links, return_inverse=True)
-    total = np.bincount(place, weights=np.repeat(often, sizes), minlength=len(pairs)).astype(np.int64)
-    sums = [np.diff(np.append(0, np.append(0, np.cumsum(x[codes]))[ends])) for x in (*aligner.counts.flat[: aligner.counts.n].reshape(-1, 3).T, np.array(aligner.links.sizes, np.int64))]
-    told, at = [aligner.text[c] for c in codes.tolist()], np.append(0, ends).tolist()
-    sha = [hashlib.sha256(b";".join(told[a:b])).hexdigest() if b > a else "" for a, b in zip(at, at[1:], strict=False)]
+    del links
+    total = np.bincount(place, weights=np.repeat(often[used], sizes), minlength=len(pairs)).astype(np.int64)
+    packed = [_packed(x) for x in (local[codes], lengths, place, sizes)]
+    del place
+    sums = [np.diff(np.append(0, np.append(0, np.cumsum(x[codes], dtype=np.int64))[ends])) for x in (*aligner.counts.T, np.array(aligner.links.sizes, np.int32))]
+    at = np.append(0, ends).tolist()
+    sha = [hashlib.sha256(b";".join(map(aligner.text.__getitem__, codes[a:b].tolist()))).hexdigest() if b > a else "" for a, b in zip(at, at[1:], strict=False)]
     columns = [
         pa.array([rows.column("row_id")[0].as_py()], pa.int64()), _one(rows.column("doc_id")), *[_one(pa.array(x, pa.int64())) for x in sums], _one(pa.array(sha, pa.string())),
-        *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (local, lengths, place, sizes)], _one(pa.array(pairs >> 32, pa.int32())), _one(pa.array(pairs & 0xFFFFFFFF, pa.int32())), _one(pa.array(total)),
+        *packed, _one(pa.array(pairs >> 32, pa.int32())), _one(pa.array(pairs & 0xFFFFFFFF, pa.int32())), _one(pa.array(total)),
     ]
     return pa.RecordBatch.from_arrays(columns, NAMES)
 
@@ -213,23 +252,17 @@ def _chunk(aligner: Aligner, rows: pa.RecordBatch, texts: list[bytes]) -> pa.Rec
 NAMES = [x.split()[0] for x in CHUNK.split(",")]
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of chunks that have met the counts of their pairs."""
-    for batch in batches:
-        for k in range(len(batch)):
-            row = batch.slice(k, 1)
-            codes, lengths, links, sizes = (np.frombuffer(row.column(c)[0].as_py(), np.int32).astype(np.int64) for c in ("codes", "lengths", "links", "sizes"))
-            told = row.column("told")[0].values
-            place, count, best = (told.field(c).to_numpy(zero_copy_only=False) for c in ("place", "count", "best"))
-            ends = np.cumsum(lengths)
-            out = {c: row.column(c)[0].values for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-            for name, values in (("n_best", best), ("count_sum", count)):
-                of_pair = np.zeros(len(place), np.int64)
-                of_pair[place] = values
-                of_unit = np.diff(np.append(0, np.append(0, np.cumsum(of_pair[links]))[np.cumsum(sizes)]))
-                out[name] = pa.array(np.diff(np.append(0, np.append(0, np.cumsum(of_unit[codes]))[ends])), pa.int64())
-            out = {c: out[c] for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")}
-            yield pa.RecordBatch.from_arrays(list(out.values()), ["doc_id", *list(out)[1:]])
+def _sums(chunk: pa.Table, told: pa.Table) -> pa.Table:
+    """Documents of one chunk that has met the counts of its pairs."""
+    codes, lengths, links, sizes = (_unpacked(chunk.column(c)[0]) for c in ("codes", "lengths", "links", "sizes"))
+    ends, place = np.cumsum(lengths, dtype=np.int64), told.column("place").to_numpy()
+    out = {c: chunk.column(c).combine_chunks().flatten() for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
+    for name in ("best", "count"):
+        of_pair = np.zeros(len(place), np.int64)
+        of_pair[place] = told.column(name).to_numpy()
+        of_unit = np.diff(np.append(0, np.append(0, np.cumsum(of_pair[links]))[np.cumsum(sizes, dtype=np.int64)]))
+        out[name] = pa.array(np.diff(np.append(0, np.append(0, np.cumsum(of_unit[codes]))[ends])), pa.int64())
+    return pa.table([out[c] for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "best", "count", "groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def align_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_a: str | None = None, tokenizer_b: str | None = None) -> DataFrame:
@@ -242,14 +275,14 @@ def align_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows count and come back each, null ids too; other columns are ignored; an empty table gives an empty result.
     The tokenizers are files on the driver, from where they are sent to the tasks.
     """
-    chunks = materialize(_encoded(docs, id_col, text_col, tokenizer_a, tokenizer_b), "chunks")
+    chunks = materialize(_encoded(docs, id_col, text_col, tokenizer_a, tokenizer_b), "chunks", **{"parquet.block.row.count.limit": CHUNKS_A_GROUP})
     pairs = chunks.select("chunk", F.posexplode(F.arrays_zip("a", "b", "often")).alias("place", "p")).select("chunk", "place", "p.*")
     counts = materialize(pairs.groupBy("a", "b").agg(F.sum("often").alias("count")), "pairs")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # a row an entry of B's vocabulary
     counts = counts.join(F.broadcast(highest), "b").select("a", "b", "count", (F.col("count") == F.col("highest")).cast("long").alias("best"))
-    told = pairs.select("chunk", "place", "a", "b").join(counts, ["a", "b"]).groupBy("chunk").agg(F.collect_list(F.struct("place", "count", "best")).alias("told"))  # no more than a chunk has
-    met = chunks.drop("a", "b", "often").join(told, "chunk", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<place:int,count:long,best:long>>")))
-    return met.mapInArrow(_sums, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    told = pairs.select(F.col("chunk").alias("of"), "place", "a", "b").join(counts, ["a", "b"]).select("of", "place", "count", "best")
+    schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return chunks.drop("a", "b", "often").groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_sums, schema)
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, tokenizer_a: str | None, tokenizer_b: str | None) -> DataFrame:

@@ -45,6 +45,16 @@ class Units:
     def full(self) -> bool:
         return len(self.codes) > MOST_UNITS or self.size > MOST_BYTES
 
+    def bytes_of(self) -> np.ndarray:
+        return np.fromiter(map(len, self.codes), np.int64, len(self.codes))
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Forget all units but some, given by number in order, which are numbered anew."""
+        some = set(kept.tolist())
+        self.codes = _Codes(zip((u for k, u in enumerate(self.codes) if k in some), range(len(some)), strict=True))
+        self.open = [self.open[k] for k in kept.tolist()]
+        self.known, self.size = len(some), sum(map(len, self.codes))
+
     def _add(self) -> None:
         if self.known == len(self.codes):
             return
@@ -86,6 +96,13 @@ class Pool:
         self.n += len(values)
         self.sizes += sizes
 
+    def keep(self, lists: np.ndarray) -> None:
+        """Forget all lists but some, which are numbered anew."""
+        values, sizes = self.take(lists)
+        self.flat, self.n = np.empty(max(1024, len(values)), self.flat.dtype), 0
+        self.sizes = []
+        self.add(values, sizes.tolist())
+
     def take(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of some lists one after another, and the size of each."""
         sizes = np.array(self.sizes, np.int64)
